@@ -5,8 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seriesloom.llm.common import table
+from seriesloom.llm.common import fold, table
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the components their links make."""
+    from seriesloom.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,9 +26,49 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learned from the rows not held out."""
+    from seriesloom.llm import quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold(F.col("doc_id"), 5) == 0
+    field = quality.train(docs.where(~held_out), table(spark, sf_dir, "labels").where(~held_out))
+    found = quality.score(docs.select("doc_id", held_out.alias("held_out"), "text"), field)
+    return found.select("doc_id", "held_out", "score", F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the rows not held out."""
+    from seriesloom.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    model = langid.train(docs.where(~held_out).select("doc_id", "text", "lang"))
+    return langid.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, compared."""
+    from seriesloom.llm.minhash import with_edited_and_next
+
+    return with_edited_and_next(table(spark, sf_dir, "documents"))
+
+
+def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of the benchmark occurs in each document."""
+    from seriesloom.llm.decontam import decontaminate
+
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_simhash": op3_simhash,
         "op5_packing": op5_packing,
+        "op6_quality": op6_quality,
+        "op7_langid": op7_langid,
+        "op9_fingerprints": op9_fingerprints,
+        "op10_decontam": op10_decontam,
     }
 
 
