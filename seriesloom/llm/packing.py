@@ -10,9 +10,10 @@ shuffled but one total for each partition.
 
 from __future__ import annotations
 
-import re
+import string
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,9 @@ from seriesloom.llm.common import slices, stored
 WINDOW = 4096
 END_ID = 2
 #: Words a worker remembers at most; the memory bound of pass one.
-REMEMBERED = 300_000
+REMEMBERED = 800_000
+#: Marks whose run after a word's letters is a unit of its own to the tokenizer.
+MARKS = string.punctuation.replace("'", "")
 
 _encoders: dict[str, "WordEncoder"] = {}
 
@@ -34,8 +37,10 @@ class WordEncoder:
     """Ids of texts, equal to the tokenizer's own, from remembered words.
 
     The tokenizer drops white space and never merges across it, so a text's ids
-    are its words' ids in turn. Words of letters only, with or without one
-    closing mark, are encoded many at a time; others one by one.
+    are its words' ids in turn. Words are UTF-8 bytes between ASCII white space
+    with A-Z lowered; how other letters are lowered stays the tokenizer's affair.
+    Words of letters only, with or without closing marks, are encoded many at a
+    time; others one by one. When too many are remembered, those seen once go.
     """
 
     def __init__(self, path: str, limit: int = REMEMBERED):
@@ -48,25 +53,43 @@ class WordEncoder:
         for token, i in vocabulary.items():
             self.closes[i] = token.endswith("</w>")
         self.kind = np.uint16 if len(self.closes) <= 1 << 16 else np.uint32
-        self.forget()
-
-    def forget(self) -> None:
-        self.code: dict[str, int] = {}
+        self.code: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 20, self.kind)
         self.ends = np.zeros(1 << 17, np.int64)
+        self.uses = np.zeros(1 << 17, np.int64)
         self.n = 0
 
-    def _add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+    def _add(self, words: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
         first, start = self.n, int(self.ends[self.n])
         while start + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while first + len(words) + 1 > len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+            self.uses = np.concatenate([self.uses, np.zeros_like(self.uses)])
         self.flat[start : start + len(ids)] = ids
         self.ends[first + 1 : first + 1 + len(words)] = start + np.cumsum(lengths)
         self.code.update(zip(words, range(first, first + len(words)), strict=True))
         self.n += len(words)
 
+    def _gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many words, one after another, and how many each has."""
+        starts = self.ends[codes]
+        lengths = self.ends[codes + 1] - starts
+        before = np.cumsum(lengths) - lengths
+        return self.flat[np.arange(int(lengths.sum()), dtype=np.int64) + np.repeat(starts - before, lengths)], lengths
+
+    def _forget(self) -> None:
+        keep = np.flatnonzero(self.uses[: self.n] > 1)
+        if len(keep) > self.limit // 2:
+            keep = keep[np.argsort(-self.uses[keep], kind="stable")[: self.limit // 2]]
+        words = np.array(list(self.code), dtype=object)[keep].tolist()  # a dict keeps its order, which is the codes'
+        ids, lengths = self._gather(keep)
+        uses = self.uses[keep]
+        self.code, self.n = {}, 0
+        self.uses[:] = 0
+        self._add(words, ids, lengths)
+        self.uses[: len(keep)] = uses
+
     def _raw(self, word: str) -> list[int]:
         return self.tokenizer.encode(word, add_special_tokens=False).ids
 
@@ -76,70 +99,54 @@ class WordEncoder:
             ids = np.array(self._raw(" ".join(some)), self.kind)
             stops = np.flatnonzero(self.closes[ids]) + 1
             if len(stops) == len(some) and (not len(stops) or stops[-1] == len(ids)):
-                self._add(some, ids, np.diff(stops, prepend=0))
+                self._add([w.encode() for w in some], ids, np.diff(stops, prepend=0))
             else:  # a letter that normalises to more than letters
                 self._learn_any(some)
 
     def _learn_any(self, words: list[str]) -> None:
         each = [self._raw(w) for w in words]
-        self._add(words, np.array([i for e in each for i in e], self.kind), np.array([len(e) for e in each], np.int64))
-
-    def _get(self, word: str) -> np.ndarray:
-        i = self.code[word]
-        return self.flat[self.ends[i] : self.ends[i + 1]]
+        self._add([w.encode() for w in words], np.array([i for e in each for i in e], self.kind), np.array([len(e) for e in each], np.int64))
 
-    def _learn(self, words: set[str]) -> None:
-        plain, marked, odd = [], [], []
-        for w in words:
+    def _learn(self, words: list[bytes]) -> None:
+        plain, cores, marks, odd = [], [], [], []
+        for raw in words:
+            w = raw.decode()
             if w.isalpha():
                 plain.append(w)
-            elif w[:-1].isalpha() and w[-1] in ".,!?;:":
-                marked.append(w)
+                continue
+            core = w.rstrip(MARKS)
+            if core.isalpha():
+                cores.append(core)
+                marks.append(w[len(core) :])
             else:
                 odd.append(w)
-        fresh = {w[:-1] for w in marked}.difference(self.code, plain)
-        self._learn_letters(plain + sorted(fresh))
-        self._learn_any(odd)
-        marks = {w[-1] for w in marked}.difference(self.code)
-        self._learn_any(sorted(marks))
-        if marked:
-            parts = [p for w in marked for p in (self._get(w[:-1]), self._get(w[-1]))]
-            lengths = np.array([len(p) for p in parts], np.int64).reshape(-1, 2).sum(1)
-            self._add(marked, np.concatenate(parts), lengths)
+        known = self.code
+        self._learn_letters(plain)
+        self._learn_letters([c for c in dict.fromkeys(cores) if c.encode() not in known])
+        self._learn_any([m for m in dict.fromkeys(marks) if m.encode() not in known])
+        self._learn_any([w for w in odd if w.encode() not in known])
+        if cores:
+            pairs = np.array([known[x.encode()] for pair in zip(cores, marks, strict=True) for x in pair], np.int64)
+            ids, lengths = self._gather(pairs)
+            whole = [(c + m).encode() for c, m in zip(cores, marks, strict=True)]
+            self._add(whole, ids, lengths.reshape(-1, 2).sum(axis=1))
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and each text's number of ids."""
         if self.n > self.limit:
-            self.forget()
-        split = [t.lower().split() if t.isascii() and not _controls.search(t) else _words(t) for t in texts]
-        new = set()
-        for words in split:
-            new.update(words)
-        new.difference_update(self.code)
+            self._forget()
+        split = [t.encode().lower().split() for t in texts]
+        new = set(chain.from_iterable(split)).difference(self.code)
         if new:
-            self._learn(new)
-        counts = np.array([len(w) for w in split], np.int64)
-        codes = np.fromiter((c for words in split for c in map(self.code.__getitem__, words)), np.int64, int(counts.sum()))
-        starts = self.ends[codes]
-        lengths = self.ends[codes + 1] - starts
-        total = int(lengths.sum())
-        before = np.cumsum(lengths) - lengths
-        flat = self.flat[np.arange(total, dtype=np.int64) + np.repeat(starts - before, lengths)]
+            self._learn(sorted(new))
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        codes = np.fromiter(map(self.code.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        self.uses[: self.n] += np.bincount(codes, minlength=self.n)
+        flat, lengths = self._gather(codes)
         edges = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
         return flat, np.diff(edges)
 
 
-_gap = re.compile(r"[ \t-\r]+")
-_controls = re.compile(r"[\x1c-\x1f]")  # white space for str.split, not for the tokenizer
-_low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-
-
-def _words(text: str) -> list[str]:
-    """Words between ASCII white space. Only A-Z are lowered here: how other
-    letters are lowered is the tokenizer's own affair."""
-    return [w for w in _gap.split(text.translate(_low)) if w]
-
-
 def encoder(path: str) -> WordEncoder:
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
