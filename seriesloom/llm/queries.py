@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 from seriesloom.llm.common import fold, table
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines of each document go, and a digest of what is left."""
+    from seriesloom.llm.linededup import dedup_lines
+
+    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and the components their links make."""
     from seriesloom.llm.simhash import near_duplicates
@@ -63,6 +71,7 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_line_dedup": op2_line_dedup,
         "op3_simhash": op3_simhash,
         "op5_packing": op5_packing,
         "op6_quality": op6_quality,
@@ -73,4 +82,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from seriesloom.llm import sql
+
+    return {"op2_line_dedup": sql.LINE_DEDUP, "op10_decontam": sql.DECONTAM}
