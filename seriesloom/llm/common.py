@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder, as in local tests.
@@ -40,7 +40,14 @@ def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
     survives the loss of any executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{label}-{uuid.uuid4().hex}"
-    df.write.options(**{"compression": "zstd", **options}).parquet(path)
+    # The shuffle files of this write are of no use to a later one.
+    tidy = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(tidy, None)
+    spark.conf.set(tidy, "true")
+    try:
+        df.write.options(**{"compression": "zstd", **options}).parquet(path)
+    finally:
+        spark.conf.set(tidy, before) if before is not None else spark.conf.unset(tidy)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,6 +60,20 @@ def dropped(df: DataFrame) -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = "__key") -> DataFrame:
+    """``docs`` with a column ``key`` that tells all rows apart and orders them.
+
+    It is the id itself where no id repeats or is null; else the id and a number
+    among the rows of one id, in the order of their texts, null first.
+    """
+    ids = docs.select(F.col(id_col).alias("i"))
+    if ids.groupBy("i").count().where("count > 1 OR i IS NULL").isEmpty():
+        return docs.withColumn(key, F.col(id_col))
+    order = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_first())
+    docs = stored(docs.withColumn("__no", F.row_number().over(order)), "numbered")
+    return docs.withColumn(key, F.struct(F.col(id_col), F.col("__no"))).drop("__no")
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else; null stays null.
 

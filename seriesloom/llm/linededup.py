@@ -24,10 +24,10 @@ from __future__ import annotations
 import math
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import WORD_GAP, stored
+from seriesloom.llm.common import WORD_GAP, keyed, stored
 
 THRESHOLD = 0.8
 #: Hashed counters of words: a fixed number, whatever the corpus.
@@ -142,13 +142,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
     """
     docs = docs.drop("n_lines", "n_removed")
     named = docs.columns
-    key = F.col(id_col)
-    ids = docs.where(key.isNotNull()).select(key.alias("i"))
-    if not ids.groupBy("i").count().where("count > 1").isEmpty():  # tell rows with one id apart
-        order = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_first())
-        docs = stored(docs.withColumn("__no", F.row_number().over(order)), "numbered")
-        key = F.struct(F.col(id_col), F.col("__no"))
-    docs = docs.withColumn("__key", key)
+    docs = keyed(docs, id_col, text_col)
     own = docs.where(F.col(id_col).isNotNull()).select(F.col("__key").alias("doc_id"), F.col(text_col).alias("text"))
     gone = removed_lines(own, threshold).groupBy(F.col("doc_id").alias("__key")).agg(F.collect_set("line_no").alias("__gone"))  # at most a text's lines
     out = docs.join(gone, "__key", "left")

@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from seriesloom.llm.common import fold, table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeats of 200 bytes and more take from each document."""
+    from seriesloom.llm.suffixdedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many lines of each document go, and a digest of what is left."""
     from seriesloom.llm.linededup import dedup_lines
@@ -71,6 +78,7 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op2_line_dedup": op2_line_dedup,
         "op3_simhash": op3_simhash,
         "op5_packing": op5_packing,
