@@ -32,6 +32,19 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, learned from those not held out."""
+    import public_tokenizers
+
+    from seriesloom.llm import lmscore
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(fold(F.col("doc_id"), 10) == 0, F.lit(False))
+    model = lmscore.train(docs.where(~held_out), public_tokenizers.path("piece_bpe_32k.model"))
+    found = lmscore.score(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 tokens."""
     import public_tokenizers
@@ -81,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_suffix_dedup": op1_suffix_dedup,
         "op2_line_dedup": op2_line_dedup,
         "op3_simhash": op3_simhash,
+        "op4_lm_score": op4_lm_score,
         "op5_packing": op5_packing,
         "op6_quality": op6_quality,
         "op7_langid": op7_langid,
