@@ -75,6 +75,13 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    from seriesloom.llm.htmlextract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts, compared."""
     from seriesloom.llm.minhash import with_edited_and_next
@@ -98,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_packing": op5_packing,
         "op6_quality": op6_quality,
         "op7_langid": op7_langid,
+        "op8_html_extract": op8_html_extract,
         "op9_fingerprints": op9_fingerprints,
         "op10_decontam": op10_decontam,
     }
