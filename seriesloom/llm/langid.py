@@ -124,6 +124,8 @@ def _sample(docs: DataFrame, per_language: int, id_col: str, text_col: str, labe
     """Labelled rows as feature counts, about ``per_language`` of each language,
     picked by a hash of the id."""
     counts = {r[0]: r[1] for r in docs.groupBy(label_col).count().collect()}  # one row a language
+    if not counts:
+        return []
     draw = (F.xxhash64(F.lit("sample"), F.col(id_col)).bitwiseAND(F.lit((1 << 40) - 1))) / float(1 << 40)
     rate = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n))])[F.col(label_col)]
     picked = docs.where(draw < rate).select(F.col(label_col).alias("label"), draw.alias("draw"), F.col(text_col).alias("text"))

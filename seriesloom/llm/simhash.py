@@ -61,13 +61,13 @@ def _majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``(doc_id, fp)``, fp the fingerprint's 64 bits as a signed long."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2000, "text"):
-            fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
+            fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
@@ -155,8 +155,8 @@ def _long_list_edges(entries: DataFrame, distance: int) -> DataFrame:
 def links(codes: DataFrame, distance: int = DISTANCE, long_list: int = LONG_LIST) -> DataFrame:
     """Edges ``(a, b)`` between distinct fingerprints (column fp) with the same
     connected components as all pairs at most ``distance`` bits apart."""
-    if distance % 2 or not 0 < distance < 8:
-        raise ValueError("the distance must be 2, 4 or 6")
+    if distance not in (2, 4):
+        raise ValueError("the distance must be 2 or 4")
     spark = codes.sparkSession
     masks = _masks(distance)
     keyed = codes.select("fp", F.posexplode(F.array(*[F.expr(f"fp & {m}L") if m != -(1 << 63) else F.col("fp") for m in masks])).alias("s", "key"))
@@ -171,7 +171,7 @@ def links(codes: DataFrame, distance: int = DISTANCE, long_list: int = LONG_LIST
     return edges.unionByName(_long_list_edges(long, distance))
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text", long_list: int = LONG_LIST) -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text", long_list: int = LONG_LIST, shingle: int = SHINGLE) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every document.
 
     Documents whose fingerprints differ in at most ``distance`` bits are linked;
@@ -181,7 +181,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str = "do
     id never names a component while another member has one. Other columns are
     not read. An empty table gives no rows.
     """
-    rows = stored(fingerprints(docs, id_col, text_col), "fingerprints")
+    rows = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     codes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "codes")
     found = components(links(codes.select("fp"), distance, long_list)).withColumnRenamed("node", "fp")
     joined = codes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
