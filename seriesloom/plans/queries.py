@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from seriesloom.operators import events as ev
 from seriesloom.operators import features, forecast, quality, stats, structure
 from seriesloom.operators import transforms as tr
+from seriesloom.plans import plotdata, report
 from seriesloom.plans.inputs import STAMP, C, E, L, O, S, events, events_spine, orders, raw_events, shipped, shipped_coarse, shown
 from seriesloom.sources import frame as fr
 
@@ -268,3 +269,28 @@ def _with_features(d):
 _FEATS = f"{O}, x AS (SELECT *, row_number() OVER {W} AS i, 2 * value + 1 AS copy, lag(value, 2) OVER {W} AS future, CAST(isodow(ts) - 1 AS DOUBLE) AS weekday FROM o), u AS (SELECT series_id, i, value, unnest(['copy', 'future', 'weekday']) AS feature, unnest([copy, future, weekday]) AS x FROM x), k AS (SELECT unnest(range(-3, 4)) AS lag)"
 add("leakage_correlations", orders, lambda d: forecast.lagged_correlations(_with_features(d), ["copy", "future", "weekday"], 3), f"WITH {_FEATS} SELECT u.series_id, feature, lag, round(corr(u.x, y.value), 6) + 0.0 AS r FROM u CROSS JOIN k JOIN o2 y ON y.series_id = u.series_id AND y.i = u.i + lag WHERE u.x IS NOT NULL GROUP BY 1, 2, 3".replace(", k AS (", ", o2 AS (SELECT series_id, i, value FROM x), k AS ("))
 add("leakage", orders, lambda d: forecast.leakage(_with_features(d), ["copy", "future", "weekday"], 3))
+
+# Plot data and reports
+add("plot_series", events, lambda d: plotdata.series_line(d, 24), f"WITH {E} SELECT series_id, {STAMP}, round(value, 9) + 0.0 AS value, CASE WHEN count(value) OVER w = 24 THEN round(avg(value) OVER w, 9) + 0.0 END AS rolling_mean FROM e WINDOW w AS (PARTITION BY series_id ORDER BY e.ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)", 9)
+add("plot_seasonal_subseries", orders, lambda d: plotdata.seasonal_subseries(d, 7), f"WITH {O}, q AS (SELECT *, row_number() OVER {W} - 1 AS pos FROM o) SELECT series_id, pos % 7 AS phase, pos // 7 AS cycle, round(value, 4) + 0.0 AS value, round(avg(value) OVER (PARTITION BY series_id, pos % 7), 4) + 0.0 AS phase_mean FROM q", 4)
+add("plot_lag", orders, plotdata.lag_pairs, f"WITH {O}, k AS (SELECT unnest([1, 2, 7]) AS lag), q AS (SELECT *, row_number() OVER {W} AS i FROM o) SELECT a.series_id, strftime(a.ts, '%Y-%m-%d %H:%M:%S') AS ts, lag, round(b.value, 4) + 0.0 AS x, round(a.value, 4) + 0.0 AS y FROM q a CROSS JOIN k JOIN q b ON a.series_id = b.series_id AND b.i = a.i - lag", 4)
+add("plot_calendar_heatmap", orders, plotdata.calendar_heatmap, f"WITH {O} SELECT series_id, year(ts) AS year, week(ts) AS week, isodow(ts) - 1 AS dow, round(avg(value), 4) + 0.0 AS mean FROM o GROUP BY 1, 2, 3, 4", 4)
+add("plot_month_boxplots", orders, plotdata.boxplots, f"WITH {O} SELECT series_id, month(ts) AS box, count(*) AS n, round(min(value), 4) AS min, round(quantile_cont(value, 0.25), 4) AS q25, round(median(value), 4) AS median, round(quantile_cont(value, 0.75), 4) AS q75, round(max(value), 4) AS max FROM o GROUP BY 1, 2", 4)
+add("plot_annual_boxplots", orders, lambda d: plotdata.boxplots(d, F.year("ts")), f"WITH {O} SELECT series_id, year(ts) AS box, count(*) AS n, round(min(value), 4) AS min, round(quantile_cont(value, 0.25), 4) AS q25, round(median(value), 4) AS median, round(quantile_cont(value, 0.75), 4) AS q75, round(max(value), 4) AS max FROM o GROUP BY 1, 2", 4)
+add(
+    "plot_density_ridge", orders, lambda d: plotdata.density(d, F.year("ts")).withColumn("density", F.col("density") * 1e6),
+    f"""WITH {O}, b AS (SELECT series_id, year(ts) AS box, count(*) AS n, min(value) AS lo, max(value) AS hi, stddev_samp(value) * power(count(*), -0.2) AS h FROM o GROUP BY 1, 2), g AS (SELECT *, unnest(range(50)) AS i FROM b), p AS (SELECT *, lo + (hi - lo) * i / 49 AS x FROM g)
+    SELECT p.series_id, box, i, round(x, 4) + 0.0 AS x, round(1e6 * sum(exp(-0.5 * power((x - value) / h, 2))) / (n * h * sqrt(2 * pi())), 4) + 0.0 AS density FROM p JOIN o ON o.series_id = p.series_id AND year(o.ts) = box GROUP BY p.series_id, box, i, x, n, h""", 4,
+)
+add("plot_distribution", events, plotdata.histogram, f"WITH {E}, b AS (SELECT *, min(value) OVER {P} AS lo, max(value) OVER {P} AS hi FROM e), c AS (SELECT *, least(29, CAST(floor((value - lo) / (hi - lo) * 30) AS BIGINT)) AS bin FROM b) SELECT series_id, bin, round(lo + (hi - lo) * bin / 30, 6) + 0.0 AS left, count(*) AS n FROM c GROUP BY series_id, lo, hi, bin")
+add("plot_qq", events, plotdata.qq)
+add("plot_rolling_stats", orders, lambda d: plotdata.rolling_stats(d, 30), f"WITH {O} SELECT series_id, {STAMP}, round(value, 4) + 0.0 AS value, CASE WHEN count(value) OVER w = 30 THEN round(avg(value) OVER w, 4) + 0.0 END AS rolling_mean, CASE WHEN count(value) OVER w = 30 THEN round(stddev_samp(value) OVER w, 4) + 0.0 END AS rolling_std FROM o WINDOW w AS (PARTITION BY series_id ORDER BY o.ts ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)", 4)
+add("plot_acf_heatmap", events, plotdata.acf_heatmap)
+add("plot_strength_radar", events, lambda d: plotdata.strength_radar(structure.classical(d, 24)))
+add("plot_residuals", events, lambda d: plotdata.residuals(structure.classical(d, 24)))
+add("plot_polar_seasonal", events, lambda d: plotdata.polar(d, 24), f"WITH {E}, q AS (SELECT *, row_number() OVER {W} - 1 AS pos FROM e), m AS (SELECT series_id, pos % 24 AS phase, avg(value) AS mean FROM q GROUP BY 1, 2) SELECT series_id, phase, round(phase * 2 * pi() / 24, 6) + 0.0 AS angle, round(mean, 6) + 0.0 AS mean, round((mean - min(mean) OVER {P}) / (max(mean) OVER {P} - min(mean) OVER {P}), 6) + 0.0 AS radius FROM m")
+add("plot_season_heatmap", events, lambda d: plotdata.season_heatmap(d, 24), f"WITH {E}, q AS (SELECT *, row_number() OVER {W} - 1 AS pos FROM e) SELECT series_id, pos // 24 AS cycle, pos % 24 AS phase, round(avg(value), 9) + 0.0 AS mean FROM q GROUP BY 1, 2, 3", 9)
+add("plot_anomaly_agreement", events, lambda d: plotdata.agreement({"rolling_z": ev.rolling_z(d, 24), "rolling_iqr": ev.rolling_iqr(d, 24), "gesd": ev.gesd(d)}))
+add("plot_segment_means", events, lambda d: plotdata.segment_means(ev.rolling_z(d, 24).withColumnRenamed("mask", "is_cp")))
+add("plot_missing_map", events_spine, plotdata.missing_map, f"WITH {S}, q AS (SELECT *, row_number() OVER {W} - 1 AS pos, count(*) OVER {P} AS n FROM s) SELECT series_id, pos // greatest(1, n // 200) AS chunk, strftime(min(q.ts), '%Y-%m-%d %H:%M:%S') AS ts, CAST(max(CASE WHEN value IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing FROM q GROUP BY 1, 2")
+add("report_scorecard", events, report.scorecard)
