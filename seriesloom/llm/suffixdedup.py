@@ -273,6 +273,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, large: int = LARGE, ba
     spark = docs.sparkSession
     every = stored(runs(docs, window), "runs")
     often = every.groupBy("m").agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi")).where("n > 1").select("m", F.expr("lo = hi").alias("alike"))
+    often = stored(often, "often")  # so that both sides of the join are plain exchanges, which adaptive execution can split
     shared = stored(every.join(often, "m"), "shared")
     dropped(every)
 
