@@ -4,7 +4,7 @@ LINE_DEDUP = r"""
 WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS line_no FROM cut),
 t AS (SELECT doc_id, line_no, line,
-             list_sort(list_distinct(list_filter(string_split_regex(line, '[ \t-\r]+'), x -> x <> ''))) AS ws FROM l),
+             list_sort(list_distinct(list_filter(string_split_regex(line, '[ \t-\r]+'), lambda x: x <> ''))) AS ws FROM l),
 c AS (SELECT ws, len(ws) AS n, min((doc_id, line_no)) AS first, row_number() OVER () AS cid FROM t WHERE len(ws) > 0 GROUP BY ws),
 w AS (SELECT cid, n, first, unnest(ws) AS word FROM c),
 hit AS (SELECT a.cid FROM w a JOIN w b ON a.word = b.word AND b.first < a.first AND 4 * a.n <= 5 * b.n AND 4 * b.n <= 5 * a.n
