@@ -37,8 +37,9 @@ from seriesloom.llm.common import dropped, keyed, slices, stored
 
 WINDOW = 200
 K = 32
-#: Contents of one minimizer that are gathered in one task.
-LARGE = 2000
+#: Contents of one minimizer that are gathered in one task: about 1.5 MB of text,
+#: and with its ranks, at about 100 bytes a symbol, 150 MB of a worker's memory.
+LARGE = 5000
 #: Bytes of fetched text whose suffix array is built at once.
 BATCH = 1_000_000
 
@@ -127,17 +128,17 @@ def suffix_array(symbols: np.ndarray, depth: int = WINDOW) -> tuple[np.ndarray,
     """Suffix array, LCPs of neighbours (sorted and counted up to twice ``depth``
     at least, which is longer than any run's text) and the symbol to the left of each suffix (-1 at the start)."""
     n = len(symbols)
-    rank = symbols.astype(np.int64)
+    rank = symbols.astype(np.int32)
     span = int(rank.max(initial=0)) + n + 2
     levels, length = [rank], 1
     sa = np.argsort(rank, kind="stable")
     while length < 2 * depth:
         nxt = np.zeros(n, np.int64)
         nxt[: max(0, n - length)] = rank[length:] + 1
-        key = rank * span + nxt
+        key = rank * np.int64(span) + nxt
         sa = np.argsort(key, kind="stable")
         ordered = key[sa]
-        rank = np.empty(n, np.int64)
+        rank = np.empty(n, np.int32)
         rank[sa] = np.cumsum(np.concatenate([[0], (ordered[1:] != ordered[:-1])]))
         length *= 2
         levels.append(rank)
@@ -234,16 +235,23 @@ def _search(window: int, batch_bytes: int):
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (m, h, a, b)], names=["m", "h", "a", "b"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size = [], 0
+        rows, group, size, more = [], [], 0, 0
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if size >= batch_bytes and row[0] != rows[-1][0]:
-                    yield found(rows)
-                    rows, size = [], 0
-                rows.append(row)
-                size += len(row[3])
-        if rows:
+                if group and row[0] != group[-1][0]:  # a whole group joins the batch, or starts the next
+                    if rows and size + more > batch_bytes:
+                        yield found(rows)
+                        rows, size = [], 0
+                    rows += group
+                    size += more
+                    group, more = [], 0
+                group.append(row)
+                more += len(row[3])
+        if rows and size + more > batch_bytes:
             yield found(rows)
+            rows = []
+        if rows or group:
+            yield found(rows + group)
 
     return work
 
