@@ -59,7 +59,8 @@ def classed(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     words, its parities, its least and greatest word hash, and its posted words."""
     ranks = F.split(F.lit(",".join(map(str, rarity(docs, text_col)))), ",").cast("array<bigint>")
     t = Fraction(str(threshold))
-    df = lines(docs, id_col, text_col).withColumn("h", F.expr(f"array_distinct(transform({_words()}, w -> xxhash64(w)))")).where("size(h) > 0")
+    blank = "' \\t\\n\\u000b\\f\\r'"  # a cheap test, so that the word sets are made once and not again for a filter
+    df = lines(docs, id_col, text_col).where(f"trim(BOTH {blank} FROM line) != ''").withColumn("h", F.expr(f"array_distinct(transform({_words()}, w -> xxhash64(w)))"))
     df = df.select("doc_id", "line_no", "h", ranks.alias("ranks"))
     df = df.select("doc_id", "line_no", F.expr(f"sort_array(transform(h, x -> shiftleft(ranks[int(pmod(x, {COUNTERS}L))], 56) | shiftrightunsigned(x, 8)))").alias("ids"))
     df = df.withColumn("n", F.size("ids")).withColumn("plain", F.expr("transform(ids, x -> x & 72057594037927935L)"))
