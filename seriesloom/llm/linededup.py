@@ -9,7 +9,7 @@ one global order of rarity: by their counts over all documents (a fixed table of
 hashed counters), then by hash. Two classes that are similar enough share a word
 among the first ``n - ceil(t * n) + 1`` of each, so only those are posted. Pairs
 that meet on a posted word pass the length filter, the positional filter and a
-parity filter (each word flips one of 128 bits; as many bits differ at most as
+parity filter (each word flips one of 64 to 256 bits; as many bits differ at most as
 words do), then their word sets are compared exactly.
 
 Groups of near copies would meet in long lists and make pairs by the square. So
@@ -71,19 +71,32 @@ def classed(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
         F.xxhash64("ids").alias("k1"),
         F.hash("ids").alias("k2"),
         "n",
-        F.expr(f"aggregate(plain, 0L, (p, x) -> IF(n > 64 AND (x & 64) != 0, p, p ^ {flip}))").alias("p1"),
-        F.expr(f"IF(n > 64, aggregate(plain, 0L, (p, x) -> IF((x & 64) != 0, p ^ {flip}, p)), 0L)").alias("p2"),
+        *[F.expr(f"IF(n > {least}, aggregate(plain, 0L, (p, x) -> IF({mine}, p ^ {flip}, p)), 0L)").alias(name) for name, least, mine in _PARITIES],
         F.array_min("plain").alias("low"),
         F.array_max("plain").alias("high"),
         F.expr(f"transform(slice(ids, 1, n - int(ceil(n * {t.numerator}L / {t.denominator}L)) + 1), x -> int(hash(x)))").alias("posted"),
     )
 
 
+#: Parities of a class: 64 bits up to 64 words, 128 up to 128, 256 beyond. For each
+#: its name, the words from which it is used, and which hashes flip its bits.
+_PARITIES = (
+    ("p1", 0, "n <= 64 OR ((x & 64) = 0 AND (n <= 128 OR (x & 128) = 0))"),
+    ("p2", 64, "(x & 64) != 0 AND (n <= 128 OR (x & 128) = 0)"),
+    ("p3", 128, "(x & 64) = 0 AND (x & 128) != 0"),
+    ("p4", 128, "(x & 64) != 0 AND (x & 128) != 0"),
+)
+_BITS = [name for name, _, _ in _PARITIES]
+#: Bits that differ between two classes, at the width of the narrower.
+_APART = """CASE WHEN a.n > 128 AND b.n > 128 THEN bit_count(a.p1 ^ b.p1) + bit_count(a.p2 ^ b.p2) + bit_count(a.p3 ^ b.p3) + bit_count(a.p4 ^ b.p4)
+ WHEN a.n > 64 AND b.n > 64 THEN bit_count(a.p1 ^ a.p3 ^ b.p1 ^ b.p3) + bit_count(a.p2 ^ a.p4 ^ b.p2 ^ b.p4)
+ ELSE bit_count(a.p1 ^ a.p2 ^ a.p3 ^ a.p4 ^ b.p1 ^ b.p2 ^ b.p3 ^ b.p4) END"""
+
+
 def _close(t: Fraction) -> str:
     """Whether class b (earlier) can be similar enough to a, by length and parity."""
     p, q = t.numerator, t.denominator
-    apart = "IF(a.n > 64 AND b.n > 64, bit_count(a.p1 ^ b.p1) + bit_count(a.p2 ^ b.p2), bit_count(a.p1 ^ a.p2 ^ b.p1 ^ b.p2))"
-    return f"a.n * {p} <= b.n * {q} AND b.n * {p} <= a.n * {q} AND (a.n + b.n - {apart}) * {p + q} >= (a.n + b.n) * {2 * p}"
+    return f"a.n * {p} <= b.n * {q} AND b.n * {p} <= a.n * {q} AND (a.n + b.n - {_APART}) * {p + q} >= (a.n + b.n) * {2 * p}"
 
 
 _EARLIER = "(b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.line_no < a.line_no))"
@@ -110,17 +123,17 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     """
     t = Fraction(str(threshold))
     every = stored(classed(docs, threshold, id_col, text_col), "lines")
-    firsts = every.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "line_no", "p1", "p2", "low", "high", "posted")).alias("f"))
+    firsts = every.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "line_no", *_BITS, "low", "high", "posted")).alias("f"))
     classes = stored(firsts.select("k1", "k2", "n", "f.*"), "classes")
 
-    keys = classes.select("k1", "k2", "doc_id", "line_no", "n", "p1", "p2", F.explode(F.array("low", "high")).alias("key"))
-    leads = keys.groupBy("key").agg(F.min(F.struct("doc_id", "line_no", "n", "p1", "p2")).alias("b"), F.count("*").alias("size")).where("size > 1").select("key", "b.*")
+    keys = classes.select("k1", "k2", "doc_id", "line_no", "n", *_BITS, F.explode(F.array("low", "high")).alias("key"))
+    leads = keys.groupBy("key").agg(F.min(F.struct("doc_id", "line_no", "n", *_BITS)).alias("b"), F.count("*").alias("size")).where("size > 1").select("key", "b.*")
     led = keys.alias("a").join(leads.alias("b"), F.expr(f"a.key = b.key AND {_EARLIER} AND {_close(t)}"))
     led = stored(led.selectExpr("a.doc_id", "a.line_no", "b.doc_id AS to_doc", "b.line_no AS to_line").distinct(), "led")
     settled = stored(_verified(docs, led, t, id_col, text_col).select("doc_id", "line_no").distinct(), "settled")
 
     marked = classes.join(settled.withColumn("done", F.lit(1)), ["doc_id", "line_no"], "left")
-    posts = marked.select("doc_id", "line_no", "n", "p1", "p2", F.coalesce("done", F.lit(0)).alias("done"), F.posexplode("posted").alias("at", "word"))
+    posts = marked.select("doc_id", "line_no", "n", *_BITS, F.coalesce("done", F.lit(0)).alias("done"), F.posexplode("posted").alias("at", "word"))
     most = f"(least(a.at, b.at) + 1 + least(a.n - a.at, b.n - b.at) - 1) * {t.numerator + t.denominator} >= (a.n + b.n) * {t.numerator}"
     # done is weighed on both sides at once, so either side is the same exchange.
     met = posts.alias("a").join(posts.alias("b"), F.expr(f"a.word = b.word AND {_EARLIER} AND 2 * a.done + b.done < 2 AND {_close(t)} AND {most}"))
