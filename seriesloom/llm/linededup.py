@@ -129,7 +129,8 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     keys = classes.select("k1", "k2", "doc_id", "line_no", "n", *_BITS, F.explode(F.array("low", "high")).alias("key"))
     leads = keys.groupBy("key").agg(F.min(F.struct("doc_id", "line_no", "n", *_BITS)).alias("b"), F.count("*").alias("size")).where("size > 1").select("key", "b.*")
     led = keys.alias("a").join(leads.alias("b"), F.expr(f"a.key = b.key AND {_EARLIER} AND {_close(t)}"))
-    led = stored(led.selectExpr("a.doc_id", "a.line_no", "b.doc_id AS to_doc", "b.line_no AS to_line").distinct(), "led")
+    led = led.selectExpr("a.doc_id", "a.line_no", f"struct({_APART} AS apart, b.doc_id AS to_doc, b.line_no AS to_line) AS b")
+    led = stored(led.groupBy("doc_id", "line_no").agg(F.min("b").alias("b")).select("doc_id", "line_no", "b.to_doc", "b.to_line"), "led")  # the closest leader
     settled = stored(_verified(docs, led, t, id_col, text_col).select("doc_id", "line_no").distinct(), "settled")
 
     marked = classes.join(settled.withColumn("done", F.lit(1)), ["doc_id", "line_no"], "left")
