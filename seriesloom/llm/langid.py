@@ -27,7 +27,7 @@ from seriesloom.llm.common import slices
 ORDERS = (1, 2, 3, 4)
 FEATURES = 1 << 16
 #: Labelled rows of each language that the weights are learned from, about.
-PER_LANGUAGE = 1500
+PER_LANGUAGE = 1000
 UNDETERMINED = "und"
 _letter = re.compile(r"[^\W\d_]")
 _ROUNDS = 4
@@ -175,9 +175,12 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_
         return Model([], np.zeros((FEATURES, 0)), np.zeros(0), 1.0)
     scale = 30.0
     data = []
-    for r in rows:
-        f, c = np.frombuffer(r.f, "<u4").astype(np.int64), np.frombuffer(r.c, "<u4").astype(float)
-        data.append((np.append(f, FEATURES), np.append(scale * c / max(1.0, c.sum()) * idf[f], 1.0), languages.index(r.label)))
+    for r in rows[::-1]:
+        f, c = np.frombuffer(r.f, "<u4"), np.frombuffer(r.c, "<u4").astype(float)
+        x = scale * c / max(1.0, c.sum()) * idf[f]
+        data.append((np.append(f, FEATURES).astype(np.int32), np.append(x, 1.0).astype(np.float32), languages.index(r.label)))
+        rows.pop()  # the driver holds each row in one form only
+    data.reverse()
     fit, held = [d for i, d in enumerate(data) if i % 5], data[::5]
     model = Ftrl(FEATURES + 1, len(languages), alpha, 1.0, l1, l2)
     for _ in range(_ROUNDS):
