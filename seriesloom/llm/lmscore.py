@@ -278,7 +278,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     vocabulary's order alone.
     """
     spark = docs.sparkSession
-    top = model.counts.orderBy(F.desc("c"), "word").limit(frequent).collect()  # a fixed number
+    # A level of counts, a few hundred rows, above which there are at most ``frequent`` words.
+    level = F.floor(16 * F.log2("c"))
+    least, room = None, frequent
+    for r in sorted(model.counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["level"]
+    top = [] if least is None else sorted(model.counts.where(level >= least).collect(), key=lambda r: (-r.c, r.word))
     words = [bytes(r.word) for r in top]
     c = np.array([r.c for r in top], float)
     mixed = model.mixed(c, model.lattice().log_marginals([w.decode() for w in words])) if words else np.zeros(0)
