@@ -154,7 +154,7 @@ class Page:
         return noise, region, "".join(names)
 
     def facts(self) -> list[tuple[str, int, int]]:
-        """(path, presentation, content) of each node that is no noise by name."""
+        """(path, presentation, content) of each node that holds text."""
         children: dict[int, list[str]] = {}
         texts: dict[int, list[str]] = {}
         index = {path: i for i, (path, *_) in reversed(list(enumerate(self.nodes)))}
@@ -170,7 +170,7 @@ class Page:
                 if not seen or seen[-1] != name:
                     seen.append(name)
         number = lambda parts: xxh3_64_intdigest("\n".join(parts)) - (1 << 63)
-        return [(path, number(children.get(i, [])), number(texts[i])) for i, (path, noise, *_) in enumerate(self.nodes) if i in texts and not noise]
+        return [(path, number(children.get(i, [])), number(texts[i])) for i, (path, *_) in enumerate(self.nodes) if i in texts and path]
 
     def text(self, removed: frozenset[str] | set[str] = frozenset()) -> str:
         """The main text: blocks of the best region, without noise."""
