@@ -10,13 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm import decontam, langid, linededup, packing, simhash
+from seriesloom.llm import decontam, langid, linededup, neardup, packing
 from seriesloom.llm.common import keyed, stored, table
 
 #: Probability a language must reach for a document to stay.
 LEAST_LANGUAGE = 0.5
-#: Words in a shingle for near-duplicates.
+#: Words in a shingle for near-duplicates, and the least Jaccard similarity.
 SHINGLE = 5
+LEAST_ALIKE = 0.8
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,10 +40,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near-duplicates."""
+    """One document, that of the smallest id, of each group of near-duplicates:
+    documents linked by shingle sets of Jaccard ``LEAST_ALIKE`` or more."""
     names = docs.columns
     rows = keyed(docs)
-    groups = simhash.near_duplicates(rows, id_col="__key", shingle=SHINGLE)
+    groups = neardup.near_duplicates(rows, LEAST_ALIKE, id_col="__key", shingle=SHINGLE)
     keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__key"))
     return rows.join(keep, "__key", "left_semi").select(*names)
 

@@ -1,0 +1,210 @@
+"""Near-duplicates by an exact set-similarity join over shingles.
+
+A document is the set of its word shingles (64-bit hashes); two documents are
+linked when their sets are at least ``THRESHOLD`` similar by Jaccard, and a group
+is a connected component of links. No fingerprint decides: a 64-bit SimHash tells
+copies of about 0.95 from the rest, not those of 0.8.
+
+Equal sets are one class. The shingles of a class are put in one global order,
+common ones last (those that many documents hold are counted and broadcast), then
+by hash. Two classes that are similar enough share a shingle among the first
+``n - ceil(t * n) + 1`` of each, so only those are posted, and only shingles that
+two classes post make a list.
+
+A group of near copies would make pairs by the square. So first the entries of
+each list meet two leaders, the first by code and one that is another in each list;
+each class is compared with the closest of either kind, and what these links join
+is one group; then only entries of different groups meet. Pairs pass the length
+filter, the positional filter and a parity filter (each shingle flips one of 256
+bits; as many bits differ at most as shingles do), and are then compared exactly.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest, xxh64_intdigest
+
+from seriesloom.llm.common import components, dropped, slices, stored
+
+SHINGLE = 5
+THRESHOLD = 0.8
+SEED = 42
+#: Hashes counted at once, how often a shingle must then occur to be counted as
+#: common, and how many of the commonest the order knows. No result depends on them.
+COUNTED = 2_000_000
+COMMON = 4
+COMMONEST = 20_000
+_PARITIES = ["p0", "p1", "p2", "p3"]
+
+
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The sorted distinct hashes of a text's word shingles; none for no words."""
+    words = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    ends = (np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1).tolist()
+    starts = [0, *[e + 1 for e in ends[:-1]]]
+    spans = zip(starts, ends[shingle - 1 :] or ends[-1:])  # the shorter ends it: no shingle begins after
+    return np.unique(np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in spans], np.uint64))
+
+
+def _code(ids: np.ndarray) -> int:
+    return xxh3_64_intdigest(ids.tobytes()) - (1 << 63)
+
+
+def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest shingles, sorted, and a rank for each, from 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def counted() -> pa.RecordBatch:
+            ids, n = np.unique(np.concatenate(held), return_counts=True)
+            often = n >= COMMON
+            return pa.RecordBatch.from_arrays([pa.array(ids[often].view(np.int64)), pa.array(n[often])], names=["id", "n"])
+
+        for batch in slices(batches, 2000, "text"):
+            for text in batch.column(0).to_pylist():
+                held.append(shingles(text, shingle))
+                size += len(held[-1])
+                if size >= COUNTED:
+                    yield counted()
+                    held, size = [], 0
+        if size:
+            yield counted()
+
+    found = docs.select("text").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    top = found.orderBy(F.desc("n"), "id").limit(COMMONEST).collect()
+    ids = np.array([r.id for r in top], np.int64).view(np.uint64)
+    ranks = np.array([1 + int(4 * math.log2(r.n)) for r in top], np.int64)
+    order = np.argsort(ids)
+    return ids[order], ranks[order]
+
+
+def _classed(docs: DataFrame, t: Fraction, shingle: int) -> DataFrame:
+    """``(doc_id, code, n, p0 .. p3, posted)`` of each document: its class, the
+    number of its shingles, their parities, and its first shingles in order."""
+    common = docs.sparkSession.sparkContext.broadcast(_common(docs, shingle))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, ranks = common.value
+        for batch in slices(batches, 500, "text"):
+            code, size, parity, posted = [], [], [], []
+            for text in batch.column(1).to_pylist():
+                ids = shingles(text, shingle)
+                n = len(ids)
+                rank = np.zeros(n, np.int64)
+                if n and len(known):
+                    at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
+                    rank = np.where(known[at] == ids, ranks[at], 0)
+                first = n - -(-n * t.numerator // t.denominator) + 1 if n else 0
+                code.append(_code(ids))
+                size.append(n)
+                odd = np.bincount((ids & np.uint64(255)).astype(np.int64), minlength=256) & 1
+                parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                posted.append(ids[np.argsort(rank, kind="stable")[:first]].view(np.int64))
+            bits = np.stack(parity)
+            ends = np.cumsum([0, *map(len, posted)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(posted)))
+            columns = [batch.column(0), pa.array(code, pa.int64()), pa.array(size, pa.int32()), *[pa.array(bits[:, i]) for i in range(4)], lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "code", "n", *_PARITIES, "posted"])
+
+    return docs.mapInArrow(run, f"doc_id {kind}, code long, n int, {', '.join(f'{p} long' for p in _PARITIES)}, posted array<long>")
+
+
+def _length(t: Fraction, a: str = "a", b: str = "b") -> str:
+    """Whether a and b can be similar enough, by length."""
+    return f"{a}.n * {t.numerator} <= {b}.n * {t.denominator} AND {b}.n * {t.numerator} <= {a}.n * {t.denominator}"
+
+
+def _apart(a: str, b: str) -> str:
+    return "(" + " + ".join(f"bit_count({a}.{x} ^ {b}.{x})" for x in _PARITIES) + ")"
+
+
+def _parity(t: Fraction, a: str = "a", b: str = "b") -> str:
+    """Whether a and b can be similar enough, by the bits that differ."""
+    return f"({a}.n + {b}.n - {_apart(a, b)}) * {t.numerator + t.denominator} >= ({a}.n + {b}.n) * {2 * t.numerator}"
+
+
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, t: Fraction, shingle: int) -> DataFrame:
+    """Pairs (a, b) of codes whose shingle sets are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 500, "text"):
+            sets = [shingles(x, shingle).view(np.int64) for x in batch.column(1).to_pylist()]
+            ends = np.cumsum([0, *map(len, sets)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))], names=["code", "ids"])
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("code")).distinct()
+    wanted = classes.select("code", "low").join(ends, "code", "left_semi").withColumnRenamed("low", "doc_id")
+    sets = stored(docs.join(wanted, "doc_id").select("code", "text").mapInArrow(run, "code long, ids array<long>"), "sets")
+    both = pairs.join(sets.select(F.col("code").alias("a"), F.col("ids").alias("x")), "a")  # one set travels for a pair
+    both = both.join(sets.select(F.col("code").alias("b"), F.col("ids").alias("y")), "b")
+    p, q = t.numerator, t.denominator
+    alike = stored(both.where(f"size(array_intersect(x, y)) * {p + q} >= (size(x) + size(y)) * {p}").select("a", "b"), "alike")
+    dropped(sets)
+    return alike
+
+
+def links(docs: DataFrame, classes: DataFrame, t: Fraction, shingle: int) -> DataFrame:
+    """Edges ``(a, b)`` between codes with the same connected components as all
+    pairs of classes that are similar enough."""
+    posts = classes.where("n > 0").select("code", "n", F.posexplode("posted").alias("at", "id"))
+    often = posts.groupBy("id").agg(F.count("*").alias("size")).where("size > 1").select("id")
+    listed = stored(posts.join(often, "id", "left_semi"), "lists")
+    facts = classes.select("code", "n", *_PARITIES)
+    most = f"(least(a.at, b.at) + least(a.n - a.at, b.n - b.at)) * {t.numerator + t.denominator} >= (a.n + b.n) * {t.numerator}"
+
+    lead = [F.min(F.struct(h.alias("h"), "code", "n", "at")) for h in (F.col("code"), F.xxhash64("id", "code"))]
+    leads = listed.groupBy("id").agg(F.array(*lead).alias("l")).select("id", F.posexplode("l").alias("kind", "l")).select("id", "kind", "l.code", "l.n", "l.at")
+    met = listed.alias("a").join(leads.alias("b"), F.expr(f"a.id = b.id AND a.code != b.code AND {_length(t)} AND {most}"))
+    met = met.select("kind", F.col("a.code").alias("a"), F.col("b.code").alias("b")).distinct()
+    both = met.join(facts.withColumnRenamed("code", "a"), "a").select("kind", "a", "b", F.struct("n", *_PARITIES).alias("x"))
+    both = both.join(facts.withColumnRenamed("code", "b"), "b").select("kind", "a", "b", "x", F.struct("n", *_PARITIES).alias("y"))
+    near = both.where(_parity(t, "x", "y")).groupBy("kind", "a").agg(F.min(F.struct(F.expr(_apart("x", "y")).alias("apart"), "b")).alias("l"))  # the closest leader
+    pairs = stored(near.select(F.least("a", "l.b").alias("a"), F.greatest("a", "l.b").alias("b")).distinct(), "pairs")
+    led = _verified(docs, classes, pairs, t, shingle)
+
+    groups = components(led).withColumnRenamed("node", "code")
+    rows = stored(listed.join(groups, "code", "left").withColumn("root", F.coalesce("root", "code")), "grouped")
+    dropped(listed)
+    mixed = rows.groupBy("id").agg(F.min("root").alias("u"), F.max("root").alias("v")).where("u != v").select("id")
+    left = stored(rows.join(mixed, "id", "left_semi").join(facts.drop("n"), "code"), "mixed")
+    dropped(rows)
+    # Either side is the same exchange.
+    met = left.alias("a").join(left.alias("b"), F.expr(f"a.id = b.id AND a.code < b.code AND a.root != b.root AND {_length(t)} AND {_parity(t)} AND {most}"))
+    more = stored(met.selectExpr("a.code AS a", "b.code AS b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    dropped(left)
+    return led.unionByName(_verified(docs, classes, more, t, shingle))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """``(doc_id, component_id)`` for every document, component_id the smallest id
+    of its group.
+
+    Ids are not repeated and not null; they may be structs. A text of fewer words
+    than a shingle is one shingle. Null and empty texts and texts of white space
+    have no shingle and are one group. Other columns are not read. An empty table
+    gives no rows.
+    """
+    t = Fraction(str(threshold))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    every = stored(_classed(docs, t, shingle), "shingles")
+    held = [F.first(c).alias(c) for c in ("n", *_PARITIES, "posted")]  # the same in all copies
+    classes = stored(every.groupBy("code").agg(F.min("doc_id").alias("low"), *held), "classes")
+    codes = stored(every.select("doc_id", "code"), "codes")
+    dropped(every)
+    found = components(links(docs, classes, t, shingle)).withColumnRenamed("node", "code")
+    joined = classes.select("code", "low").join(found, "code", "left").withColumn("root", F.coalesce("root", "code"))
+    lowest = joined.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = joined.join(lowest, "root").select("code", "component_id")
+    return codes.join(named, "code").select("doc_id", "component_id")

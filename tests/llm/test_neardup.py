@@ -1,0 +1,77 @@
+import random
+from collections import Counter
+
+import pytest
+
+from seriesloom.llm import neardup
+from seriesloom.llm.neardup import near_duplicates
+
+
+def sets(text):
+    words = [w for w in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").translate({i: " " for i in range(9, 14)}).split(" ") if w]
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute(texts):
+    """The smallest id of each document's group, from the Jaccard of all pairs."""
+    found = {d: sets(t) for d, t in texts.items()}
+    root = {d: d for d in texts}
+    holders = {}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    def join(a, b):
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+
+    bare = [d for d in texts if not found[d]]
+    for d in bare:
+        join(bare[0], d)
+    for d in sorted(texts):
+        shared = Counter(e for s in found[d] for e in holders.get(s, ()))
+        for e, o in shared.items():
+            if 5 * o >= 4 * (len(found[d]) + len(found[e]) - o):
+                join(d, e)
+        for s in found[d]:
+            holders.setdefault(s, []).append(d)
+    return {d: find(d) for d in texts}
+
+
+def got(df, **kw):
+    return {r.doc_id: r.component_id for r in near_duplicates(df, **kw).collect()}
+
+
+def test_small_table_against_jaccard_of_all_pairs(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert got(df) == brute({r.doc_id: r.text for r in df.collect()})
+
+
+def test_odd_texts(spark):
+    texts = {5: None, 3: "", 9: " \t\n ", 1: "A b", 2: "a B", 7: "é É x\x1cy z w", 8: "w " * 20000, 4: "w " * 20000, 6: "one two three four five"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert got(df) == brute(texts)
+
+
+@pytest.mark.parametrize("common", [1, 20_000])
+def test_copies_of_a_similarity_near_the_threshold(spark, common, monkeypatch):
+    monkeypatch.setattr(neardup, "COMMONEST", common)
+    rng = random.Random(5)
+    texts, word = {}, lambda: f"w{rng.randrange(10**6)}"
+    shared = [word() for _ in range(80)]
+    for k in range(20):
+        first = [word() for _ in range(rng.randint(30, 200))] + (shared if k % 2 else [])
+        for _ in range(8):
+            now = list(first)
+            for _ in range(rng.randint(0, max(1, len(first) // 25))):
+                now[rng.randrange(len(now))] = word()
+            texts[len(texts)] = " ".join(now)
+    want = brute(texts)
+    assert 20 < len(set(want.values())) < 160
+    assert got(spark.createDataFrame(list(texts.items()), "doc_id long, text string")) == want
+
+
+def test_empty_table(spark):
+    assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
