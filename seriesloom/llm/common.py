@@ -112,7 +112,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     large-star and small-star steps until nothing changes.
 
     Returns ``(node, root)`` for every node that has an edge, root being the
-    smallest node of its component. Each round shuffles the edges twice, moves
+    smallest node of its component. Edges that have not settled after ``rounds``
+    rounds are an error. Each round shuffles the edges twice, moves
     no group into one task beyond its neighbours' minimum (a map-side
     aggregate), and is written to the shared folder; the driver sees one count.
     """
@@ -133,5 +134,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         if tuple(seen) == before:
             break
         before = tuple(seen)
+    else:
+        raise RuntimeError(f"components have not settled after {rounds} rounds")
     roots = work.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
     return roots.unionByName(work.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
