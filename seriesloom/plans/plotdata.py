@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions.special import norm_ppf
 from seriesloom.operators import events as ev
-from seriesloom.operators.stats import autocorrelation
 from seriesloom.operators.transforms import frame
 from seriesloom.sources.frame import along, by, positioned
 
@@ -87,13 +86,26 @@ def rolling_stats(df: DataFrame, window: int) -> DataFrame:
     return df.select("series_id", "ts", "value", F.when(full, F.avg("value").over(over)).alias("rolling_mean"), F.when(full, F.stddev_samp("value").over(over)).alias("rolling_std"))
 
 
-def acf_heatmap(df: DataFrame, max_lag: int = 12, windows: int = 50) -> DataFrame:
-    """ACF inside about ``windows`` windows along each series, each an own series."""
-    rows = positioned(df.where("value IS NOT NULL")).withColumn("n", F.count("*").over(by()))
-    size = F.greatest(F.lit(4 * max_lag), F.ceil(F.col("n") / windows))
-    cut = rows.select(F.concat_ws("#", "series_id", F.lpad(F.floor(F.col("pos") / size).cast("string"), 6, "0")).alias("series_id"), "ts", "value")
-    out = autocorrelation(cut, max_lag)
-    return out.select(F.substring_index("series_id", "#", 1).alias("series_id"), F.substring_index("series_id", "#", -1).cast("long").alias("window"), "lag", "acf")
+def acf_heatmap(df: DataFrame, max_lag: int = 40, windows: int = 50) -> DataFrame:
+    """ACF inside overlapping windows along each series: of a fifth of its rows
+    (``2 * max_lag + 4`` at least, all rows at most), about ``windows`` steps of
+    equal length. Missing values are dropped inside a window and the gap closes up;
+    a window of too few values or a constant one has no row, like a series of less
+    than ``max_lag + 4``. Each row goes to the few windows it is in."""
+    rows = positioned(df).withColumn("n", F.count("*").over(by()))
+    rows = rows.withColumn("size", F.least("n", F.greatest(F.lit(2 * max_lag + 4), F.floor(F.col("n") / 5)))).where(F.col("size") >= max_lag + 4)
+    rows = rows.withColumn("step", F.greatest(F.lit(1), F.floor((F.col("n") - F.col("size")) / windows))).where("value IS NOT NULL")
+    first = F.greatest(F.lit(0), F.ceil((F.col("pos") - F.col("size") + 1) / F.col("step"))).cast("long")
+    last = F.least(F.floor(F.col("pos") / F.col("step")), F.floor((F.col("n") - F.col("size")) / F.col("step"))).cast("long")
+    cut = rows.where(first <= last).withColumn("window", F.explode(F.sequence(first, last)))
+    cap = F.least(F.lit(max_lag), F.floor(F.col("size") / 2) - 1).alias("cap")
+    over = Window.partitionBy("series_id", "window")
+    cut = cut.select("series_id", "window", "pos", cap, (F.col("value") - F.avg("value").over(over)).alias("c"), F.min("value").over(over).alias("lo"), F.max("value").over(over).alias("hi"))
+    ordered = over.orderBy("pos")
+    products = cut.where("lo < hi").select("series_id", "window", "cap", *[(F.col("c") * (F.lag("c", k).over(ordered) if k else F.col("c"))).alias(f"p{k}") for k in range(max_lag + 1)])
+    sums = products.groupBy("series_id", "window", "cap").agg(F.count("*").alias("m"), *[F.sum(f"p{k}").alias(f"p{k}") for k in range(max_lag + 1)]).where("m >= cap + 4 AND p0 > 0")
+    acf = sums.select("series_id", "window", "cap", F.posexplode(F.array(*[F.col(f"p{k}") / F.col("p0") for k in range(max_lag + 1)])).alias("lag", "acf"))
+    return acf.where("lag <= cap").select("series_id", "window", "lag", "acf")
 
 
 def strength_radar(parts: DataFrame) -> DataFrame:

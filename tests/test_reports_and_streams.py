@@ -45,6 +45,38 @@ def test_plot_rows(two):
     assert {r.n for r in plotdata.histogram(two.where("series_id = 'flat'")).collect()} == {12}
 
 
+def plain_heatmap(x, max_lag=40):
+    x, n, found = np.asarray(x, float), len(x), {}
+    size = min(max(2 * max_lag + 4, n // 5), n)
+    if size < max_lag + 4:
+        return found
+    cap = min(max_lag, size // 2 - 1)
+    for j, s in enumerate(range(0, n - size + 1, max(1, (n - size) // 50))):
+        w = x[s : s + size]
+        w = w[~np.isnan(w)]
+        if len(w) < cap + 4 or w.min() == w.max():
+            continue
+        c = w - w.mean()
+        found |= {(j, k): c[k:] @ c[: len(c) - k] / (c @ c) for k in range(cap + 1)}
+    return found
+
+
+def test_acf_heatmap_against_the_plain_loop(spark):
+    rng = np.random.default_rng(4)
+    hourly = 20 + 5 * np.sin(2 * np.pi * np.arange(720) / 24) + rng.normal(size=720)
+    hourly[100:190] = np.nan
+    every = {"a#1": hourly, "b": rng.normal(size=300), "short": rng.normal(size=60), "tiny": rng.normal(size=43), "flat": np.ones(200)}
+    df = None
+    for name, x in every.items():
+        at = [START + dt.timedelta(hours=i) for i in range(len(x))]
+        one = frame.from_arrays(spark, [None if np.isnan(v) else float(v) for v in x], at, name)
+        df = one if df is None else df.unionByName(one)
+    got = {(r.series_id, r.window, r.lag): r.acf for r in plotdata.acf_heatmap(df).collect()}
+    want = {(name, *k): v for name, x in every.items() for k, v in plain_heatmap(x).items()}
+    assert set(got) == set(want) and ("b", 0, 40) in got
+    assert all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+
+
 def stream(spark, tmp_path, rows):
     df = spark.createDataFrame(rows, "series_id string, ts timestamp, value double")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
