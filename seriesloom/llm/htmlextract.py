@@ -1,19 +1,24 @@
 """Operator 8, HTML extraction with a site style tree.
 
-The pages of a host are merged node by node: a node is the path of its
-containers' tags and classes. For each node the tree counts, over the host's
-different pages, its presentations (which kinds of children follow each other)
-and its contents. Importance is entropy based: with m pages and l presentations,
-``(1 - g**l) * H(presentations) + g**l * H(contents)``, entropies in logarithms to
-the base m, ``g = 0.9``. A node that looks and reads the same on page after page
-has little; nodes below ``LEAST`` on ``PAGES`` pages or more are removed from each
-page. Only counts travel: a page sends one small row for each container, rows of
-one node are added up before the shuffle, so a host of any size is no hot group.
-
-Which nodes a page's own markup calls navigation, notice, advert, form, comment
-and so on goes on any host, however few pages it has. The article, main or content
-container itself is never removed for its importance: copies of one article on
-a host are still articles.
+The pages of a host are merged node by node: a node is an element that begins a
+block, known by the tags and classes on the way to it, and the nodes of one way are
+one node of the tree. For each the tree counts, over the host's different pages, its
+presentations (which kinds of children follow each other) and its contents. With m
+pages and l presentations its importance is ``(1 - g**l) * H(presentations) + g**l *
+H(contents)``, entropies in logarithms to the base m, ``g = 0.9``. A node that looks
+and reads the same on page after page has little. What few pages say weighs less:
+``CAUTION`` pages of full importance are added to the m there are, so no number of
+pages is a threshold, and copies of one article on a host are still articles.
+
+What a page's own markup says is a prior: an element of navigation, form, advert,
+comment and so on, by tag, role or class, has ``PRIOR``; any other has 1. An element's
+worth is the product of both, and one below ``LEAST`` goes with all it holds, whether
+it is a container, a paragraph, or the article itself. Everything else is main text:
+no region is preferred to another. Words such as header or register in a class count
+only outside articles and main regions, which have headers of their own.
+
+Only counts travel: a page sends one small row for each node, rows of one node are
+added up before the shuffle, so a host of any size is no hot group.
 """
 
 from __future__ import annotations
@@ -28,20 +33,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from seriesloom.llm.common import slices
+from seriesloom.llm.common import slices, stored
 
 DAMPING = 0.9
 LEAST = 0.2
-PAGES = 8
-#: Containers that a node's path names at most; deeper ones belong to the last.
-DEPTH = 60
+PRIOR = 0.1
+CAUTION = 2
 #: Removed nodes up to which their table is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 100_000
 
-_CONTAINERS = frozenset(
-    "html body head div section article main aside nav header footer form ul ol dl table figure blockquote details dialog fieldset menu select button iframe noscript hgroup center title svg audio video object canvas map label".split()
+_BLOCKS = frozenset(
+    "html body head div section article main aside nav header footer form ul ol dl table figure blockquote details dialog fieldset menu select button iframe noscript hgroup center title svg audio video object canvas map label"
+    " p h1 h2 h3 h4 h5 h6 li dt dd tr td th thead tbody tfoot caption pre address figcaption summary legend option textarea".split()
 )
-_BREAKS = _CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th thead tbody tfoot caption br hr pre address figcaption summary legend option textarea".split()) - {"label"}
+_ENDS_P = frozenset("address article aside blockquote details dialog div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hgroup main menu nav ol p pre section table ul".split())
+_BREAKS = _BLOCKS | frozenset("br hr".split()) - {"label"}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _NOISE_TAGS = frozenset("head title nav aside footer form menu select button iframe noscript dialog svg audio video object canvas map".split())
 _RAW = "script|style|template|textarea|xmp"
@@ -51,10 +57,15 @@ _MARKUP = re.compile(
     re.I | re.S,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|itemprop)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+# Parts of class names and ids that tell noise anywhere, those that tell
+# it outside articles only, and whole names that tell an article or a main region.
 _NOISE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adbox sponsor sponsored promo promotion promoted banner billboard nav navbar navigation menu submenu breadcrumb breadcrumbs pagination pager"
-    " header masthead topbar footer foot bottombar sidebar aside widget widgets rail cookie cookies consent gdpr notice notices alert popup modal overlay lightbox newsletter subscribe subscription signup login signin"
-    " register search searchbox form comment comments commentlist reply replies respond disqus discussion share sharing social related recommended recommendations trending tags tagcloud skip copyright legal disclaimer toolbar".split()
+    "ad ads adv advert adverts advertisement advertising adsense adbox sponsor sponsored promo promotion promoted nav navbar navigation menu submenu breadcrumb breadcrumbs pagination pager"
+    " cookie cookies consent gdpr newsletter subscribe comment comments commentlist reply replies disqus share sharing social related recommended recommendations".split()
+)
+_OUTER_WORDS = frozenset(
+    "banner header masthead topbar footer foot bottombar sidebar aside widget widgets rail notice notices alert popup modal overlay lightbox subscription signup login signin"
+    " register search searchbox form respond discussion trending tags tagcloud skip copyright legal disclaimer toolbar".split()
 )
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
 _CONTENT_WORDS = frozenset("articlebody post-content entry-content article-content article-body post-body entry-body story-body main-content page-content content main article post entry story".split())
@@ -75,14 +86,15 @@ class Page:
     __slots__ = ("blocks", "nodes")
 
     def __init__(self, source: str | None):
-        #: path, whether its markup calls it noise, region (0 none, 1 content, 2 main,
-        #: 3 article), and whether a region begins here
-        self.nodes: list[tuple[str, bool, int, bool]] = [("", False, 0, False)]
+        #: key (a hash of the way to it), number of the node around, tag and names,
+        #: whether its markup calls it noise, whether it is in an article or main region
+        self.nodes: list[tuple[int, int, str, bool, bool]] = [(0, -1, "", False, False)]
         self.blocks: list[tuple[int, str]] = []
         self._read(source or "")
 
     def _read(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("", 0)]
+        open_tags: dict[str, int] = {}
         text: list[str] = []
 
         def flush() -> None:
@@ -92,6 +104,11 @@ class Page:
                     self.blocks.append((stack[-1][1], whole))
                 text.clear()
 
+        def close(k: int) -> None:
+            for tag, _ in stack[k:]:
+                open_tags[tag] -= 1
+            del stack[k:]
+
         at = 0
         for m in _MARKUP.finditer(source):
             if m.start() > at:
@@ -105,36 +122,32 @@ class Page:
             if tag in _BREAKS:
                 flush()
             if m["end"] or m["end2"]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        flush()
-                        del stack[k:]
-                        break
+                if open_tags.get(tag):
+                    flush()
+                    close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag))
                 continue
             if tag in _VOID:
                 continue
-            container = tag in _CONTAINERS
-            kind = self._kind(tag, rest) if rest and not rest.isspace() else (False, 3 if tag == "article" else 2 if tag == "main" else 0, "")
-            noise, region, name = kind
-            if tag in ("p", "li", "dt", "dd") and stack[-1][0] == tag:
-                stack.pop()  # an end tag that may be left out
-            if container or noise:
-                if rest.rstrip().endswith("/") and not container:
+            if stack[-1][0] == tag and tag in ("p", "li", "dt", "dd") or stack[-1][0] == "p" and tag in _ENDS_P:
+                close(len(stack) - 1)  # an end tag that may be left out
+            key, _, _, _, inside = self.nodes[stack[-1][1]]
+            noise, region, name = self._kind(tag, rest, inside) if rest and not rest.isspace() else (False, tag in ("article", "main"), "")
+            if tag in _BLOCKS or noise:
+                if rest.rstrip().endswith("/") and tag not in _BLOCKS:
                     continue
                 flush()
-                path, under_noise, above, _ = self.nodes[stack[-1][1]]
-                if len(stack) <= DEPTH:
-                    path = f"{path}/{tag}{name}"
-                noise = noise or tag in _NOISE_TAGS or (tag == "header" and not above)
-                self.nodes.append((path, noise or under_noise, max(region, above), region > 0 and not above))
+                noise = noise or tag in _NOISE_TAGS or (tag == "header" and not inside)
+                own = xxh3_64_intdigest(f"{key}/{tag}{name}") - (1 << 63)
+                self.nodes.append((own, stack[-1][1], tag + name, noise, inside or region))
                 stack.append((tag, len(self.nodes) - 1))
+                open_tags[tag] = open_tags.get(tag, 0) + 1
         if at < len(source):
             text.append(source[at:])
         flush()
 
     @staticmethod
-    def _kind(tag: str, rest: str) -> tuple[bool, int, str]:
-        noise, region, names = False, 3 if tag == "article" else 2 if tag == "main" else 0, []
+    def _kind(tag: str, rest: str, inside: bool) -> tuple[bool, bool, str]:
+        noise, region, names = False, tag in ("article", "main"), []
         for a in _ATTRIBUTE.finditer(rest):
             key, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
             if key == "hidden":
@@ -143,69 +156,54 @@ class Page:
                 noise |= value == "true"
             elif key == "role":
                 noise |= value in _NOISE_ROLES
-                region = max(region, 2 if value in ("main", "article") else 0)
+                region |= value in ("main", "article")
             else:
                 for word in value.split():
                     names.append(("." if key == "class" else "#") + re.sub(r"\d+", "0", word))
+                    parts = _PLAIN_TOKEN.split(word)
                     if word in _CONTENT_WORDS:
-                        region = max(region, 1)
-                    elif tag not in ("html", "body", "article", "main") and not _NOISE_WORDS.isdisjoint(_PLAIN_TOKEN.split(word)):
-                        noise = True
+                        region = True
+                    elif tag not in ("html", "body", "article", "main"):
+                        noise |= not _NOISE_WORDS.isdisjoint(parts) or (not inside and not _OUTER_WORDS.isdisjoint(parts))
         return noise, region, "".join(names)
 
-    def facts(self) -> list[tuple[str, int, int]]:
-        """(path, presentation, content) of each node that holds text."""
-        children: dict[int, list[str]] = {}
-        texts: dict[int, list[str]] = {}
-        index = {path: i for i, (path, *_) in reversed(list(enumerate(self.nodes)))}
+    def facts(self) -> list[tuple[int, int, int]]:
+        """(key, presentation, content) of each node that holds text, once a key."""
+        own: list[list[str]] = [[] for _ in self.nodes]
+        kinds: list[list[str]] = [[] for _ in self.nodes]
         for i, t in self.blocks:
-            path = self.nodes[i][0]
-            while path:
-                texts.setdefault(index[path], []).append(t)
-                path = path.rpartition("/")[0]
-        for i, (path, *_) in enumerate(self.nodes[1:], 1):
-            parent, _, name = path.rpartition("/")
-            if parent:
-                seen = children.setdefault(index[parent], [])
-                if not seen or seen[-1] != name:
-                    seen.append(name)
+            own[i].append(t)
+        for _, above, name, _, _ in self.nodes[1:]:
+            if not kinds[above] or kinds[above][-1] != name:
+                kinds[above].append(name)
         number = lambda parts: xxh3_64_intdigest("\n".join(parts)) - (1 << 63)
-        return [(path, number(children.get(i, [])), number(texts[i])) for i, (path, *_) in enumerate(self.nodes) if i in texts and path]
-
-    def text(self, removed: frozenset[str] | set[str] = frozenset()) -> str:
-        """The main text: blocks of the best region, without noise."""
-        kept: list[list[str]] = [[], [], [], []]
-        for i, t in self.blocks:
-            path, noise, region, _ = self.nodes[i]
-            if noise or (removed and self._cut(path, removed)):
-                continue
-            kept[region].append(t)
-        if kept[3]:
-            return " ".join(kept[3])
-        best = 2 if kept[2] else 1 if kept[1] else 0
-        return " ".join(kept[best])
-
-    def _cut(self, path: str, removed) -> bool:
-        while path:
-            if path in removed:
-                return True
-            path = path.rpartition("/")[0]
-        return False
-
-    def regions(self) -> set[str]:
-        """Paths that hold a region or lie above one; never cut for importance."""
-        found = set()
-        for path, _, _, begins in self.nodes:
-            if begins:
-                while path:
-                    found.add(path)
-                    path = path.rpartition("/")[0]
-        return found
+        content: list[int | None] = [None] * len(self.nodes)
+        below: list[list[int]] = [[] for _ in self.nodes]
+        for i in range(len(self.nodes) - 1, 0, -1):  # what a node holds comes after it
+            if own[i] or below[i]:
+                content[i] = number([*own[i], *map(str, reversed(below[i]))])
+                below[self.nodes[i][1]].append(content[i])
+        merged: dict[int, tuple[list[str], list[str]]] = {}
+        for i, (key, *_) in enumerate(self.nodes):
+            if content[i] is not None:
+                looks, contents = merged.setdefault(key, ([], []))
+                contents.append(str(content[i]))
+                looks += [k for k in kinds[i] if not looks or looks[-1] != k]
+        return [(key, number(looks), number(contents)) for key, (looks, contents) in merged.items()]
+
+    def text(self, worth=None) -> str:
+        """The main text: the blocks of which no element around is worth less than
+        ``LEAST``. worth: importance by key; 1 for what it does not name."""
+        gone = [False] * len(self.nodes)
+        for i, (key, above, _, noise, _) in enumerate(self.nodes[1:], 1):
+            known = worth.get(key, 1.0) if worth else 1.0
+            gone[i] = gone[above] or known * (PRIOR if noise else 1.0) < LEAST
+        return " ".join(t for i, t in self.blocks if not gone[i])
 
 
 def style_nodes(pages: DataFrame) -> DataFrame:
-    """``(host, page, path, look, content)``: one row for each container node of a
-    page; page is a hash of its whole text. ``pages`` has url and html."""
+    """``(host, page, path, look, content)``: one row for each node of a page; page
+    is a hash of its whole text. ``pages`` has url and html."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 300, "html"):
@@ -213,12 +211,11 @@ def style_nodes(pages: DataFrame) -> DataFrame:
             for url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 page = Page(source)
                 whole = xxh3_64_intdigest("\n".join(t for _, t in page.blocks)) - (1 << 63)
-                keep = page.regions()
-                rows += [(host_of(url), whole, *f) for f in page.facts() if f[0] not in keep]
+                rows += [(host_of(url), whole, *f) for f in page.facts()]
             columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64())], names=["host", "page", "path", "look", "content"])
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *[pa.array(columns[i], pa.int64()) for i in range(1, 5)]], names=["host", "page", "path", "look", "content"])
 
-    return pages.select("url", "html").mapInArrow(run, "host string, page long, path string, look long, content long")
+    return pages.select("url", "html").mapInArrow(run, "host string, page long, path long, look long, content long")
 
 
 def importance(nodes: DataFrame) -> DataFrame:
@@ -233,32 +230,31 @@ def importance(nodes: DataFrame) -> DataFrame:
 
     both = entropy("look").join(entropy("content").drop("pages"), ["host", "path"])
     weight = F.pow(F.lit(DAMPING), F.col("looks"))
-    return both.select("host", "path", "pages", ((1 - weight) * F.col("h_look") + weight * F.col("h_content")).alias("importance"))
+    found = (1 - weight) * F.col("h_look") + weight * F.col("h_content")
+    return both.select("host", "path", "pages", ((F.col("pages") * found + CAUTION) / (F.col("pages") + CAUTION)).alias("importance"))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: float = LEAST, pages_least: int = PAGES) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: float = LEAST) -> DataFrame:
     """One row per page: page_id, url, text, n_chars.
 
     Null html counts as empty and gives an empty text; a null or odd URL has the
-    empty host. Repeated rows stay. An empty table gives no rows. Other columns
-    are not read.
+    empty host. Repeated rows stay and count as one page of the tree. An empty table
+    gives no rows. Other columns are not read.
     """
     pages = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    cut = importance(style_nodes(pages)).where((F.col("pages") >= pages_least) & (F.col("importance") < least)).select("host", "path")
-    rows = cut.limit(BROADCAST_ROWS + 1).collect()
+    # A node of more importance than this is kept or goes by its prior alone.
+    low = stored(importance(style_nodes(pages)).where(F.col("importance") < least).select("host", "path", "importance"), "style")
     schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"
 
-    def texts(batch: pa.RecordBatch, removed: list) -> pa.RecordBatch:
-        found = []
-        for source, gone in zip(batch.column(2).to_pylist(), removed, strict=True):
-            page = Page(source)
-            found.append(page.text(set(gone).difference(page.regions()) if gone else frozenset()))
+    def texts(batch: pa.RecordBatch, low: list) -> pa.RecordBatch:
+        found = [Page(source).text(worth) for source, worth in zip(batch.column(2).to_pylist(), low, strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    if len(rows) <= BROADCAST_ROWS:
-        by_host: dict[str, list[str]] = {}
-        for r in rows:
-            by_host.setdefault(r.host, []).append(r.path)
+    size = low.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("host")), F.lit(0)).alias("chars")).first()
+    if size.n <= BROADCAST_ROWS and size.chars <= 64 * BROADCAST_ROWS:
+        by_host: dict[str, dict[int, float]] = {}
+        for r in low.collect():  # bounded in rows and in bytes
+            by_host.setdefault(r.host, {})[r.path] = r.importance
         table = pages.sparkSession.sparkContext.broadcast(by_host)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,8 +269,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 300, "html"):
-            yield texts(batch, batch.column(3).to_pylist())
+            yield texts(batch, [dict(zip(g["path"], g["importance"], strict=True)) if g else None for g in batch.column(3).to_pylist()])
 
     with_host = pages.mapInArrow(hosts, f"{schema.split(',')[0]}, url string, html string, host string")
-    joined = with_host.join(cut.groupBy("host").agg(F.collect_list("path").alias("gone")), "host", "left")
-    return joined.select("page_id", "url", "html", "gone").mapInArrow(run_joined, schema)
+    lists = low.groupBy("host").agg(F.struct(F.collect_list("path").alias("path"), F.collect_list("importance").alias("importance")).alias("low"))
+    # Both sides are plain exchanges, so adaptive execution splits a host of many pages.
+    return with_host.join(lists, "host", "left").select("page_id", "url", "html", "low").mapInArrow(run_joined, schema)

@@ -1,8 +1,11 @@
 import html
+import math
 import re
+from collections import Counter, defaultdict
 
 import pytest
 
+from seriesloom.llm import htmlextract
 from seriesloom.llm.htmlextract import Page, extract, host_of, importance, style_nodes
 
 
@@ -22,7 +25,12 @@ from seriesloom.llm.htmlextract import Page, extract, host_of, importance, style
         ("<article>2 < 3 <p>ok</p", "2 < 3 ok"),
         ('<article>x<p class="cookie-notice">no<p>yes</article>', "x yes"),
         ('<article>x<p title="a>b">y</p></article>', "x y"),
-        ('<div class="header">h</div><div class="content">c</div>tail', "c"),
+        ('<div class="header">h</div><div class="content">c</div>tail', "c tail"),
+        ('<article><div class="article-header"><h1>T</h1></div><p>x</p></article>', "T x"),
+        ('<article><p>a</p><section class="discussion"><p>b</p></section><div id="register-map">c</div></article>', "a b c"),
+        ('<body><p>lead</p><div class="post">story</div></body>', "lead story"),
+        ('<body><div class="site-header">h</div><div class="post"><div class="post-header">H</div>t<div class="comment-list">c</div></div><div id="page-footer">f</div></body>', "H t"),
+        ('<div class="ad">x<p>y</div><p class="promo">z<div>kept</div>', "kept"),
         ("<ARTICLE>U<STYLE>p{}</STYLE>V</ARTICLE>", "UV"),
         ('<p title="never closed>a<p>b', "a b"),
     ],
@@ -45,13 +53,66 @@ def site(n, host="h.example"):
     return [(i, f"http://{host}/{i}", f'<body><div class="xa"><p>Same line for all.</p></div><div class="xb"><p>Own words {i} and {i * 7}.</p></div></body>') for i in range(n)]
 
 
-def test_style_tree_removes_what_repeats_on_a_host(spark):
-    df = spark.createDataFrame(site(20) + site(3, "few.example") + site(20)[:4], "page_id long, url string, html string")
-    for r in extract(df).collect():
-        same = "" if "h.example" in r.url else "Same line for all. "
-        assert r.text == f"{same}Own words {r.page_id} and {r.page_id * 7}." and r.n_chars == len(r.text)
+def plain_importance(pages):
+    """(host, key) -> (pages, importance), page by page and node by node."""
+    seen = defaultdict(set)
+    for _, url, source in pages:
+        page = Page(source)
+        for key, look, content in page.facts():
+            seen[host_of(url), key].add((tuple(t for _, t in page.blocks), look, content))
+    out = {}
+    for node, rows in seen.items():
+        m = len(rows)
+
+        def entropy(i, rows=rows, m=m):
+            return -sum(c / m * math.log(c / m, m) for c in Counter(r[i] for r in rows).values()) if m > 1 else 1.0
+
+        w = 0.9 ** len({r[1] for r in rows})
+        out[node] = (m, (m * ((1 - w) * entropy(1) + w * entropy(2)) + 2) / (m + 2))
+    return out
+
+
+def varied(n, host):
+    """Pages without an article element: a line of every page, a menu of three, a
+    box that is on half of them, and words of their own."""
+    for i in range(n):
+        box = "<section><h4>Box</h4></section>" if i % 2 else ""
+        yield i, f"http://{host}/{i}", f'<body><div class="xa"><p>Same line.</p></div><ul class="m{i % 3}"><li>one<li>two</ul>{box}<div class="xb"><h1>T {i}</h1><p>Own {i}.<p>More {i * i}.</div></body>'
+
+
+def test_style_tree_against_a_plain_computation(spark):
+    rows = [*varied(30, "a.example"), *site(20), *site(3, "few.example"), *varied(1, "one.example")]
+    df = spark.createDataFrame(rows + rows[:4], "page_id long, url string, html string")
     found = {(r.host, r.path): (r.pages, r.importance) for r in importance(style_nodes(df)).collect()}
-    assert found["h.example", "/body/div.xa"][0] == 20
+    want = plain_importance(rows)
+    assert found.keys() == want.keys()
+    assert all(found[k][0] == want[k][0] and found[k][1] == pytest.approx(want[k][1]) for k in want)
+    for r in extract(df).collect():
+        worth = {k: v for (host, k), (_, v) in want.items() if host == host_of(r.url)}
+        assert r.text == Page(dict((row[1], row[2]) for row in rows)[r.url]).text(worth) and r.n_chars == len(r.text)
+
+
+def test_importance_decides_without_articles(spark):
+    df = spark.createDataFrame([*varied(30, "a.example"), *site(20), *site(3, "few.example")], "page_id long, url string, html string")
+    for r in extract(df).collect():
+        if "a.example" in r.url:
+            assert r.text == f"T {r.page_id} Own {r.page_id}. More {r.page_id**2}."
+        else:
+            same = "" if "h.example" in r.url else "Same line for all. "
+            assert r.text == f"{same}Own words {r.page_id} and {r.page_id * 7}."
+
+
+def test_an_article_that_is_the_same_everywhere_is_no_article(spark):
+    rows = [(i, f"http://h/{i}", f"<body><article>Please enable scripts.</article><div><p>Page {i}</p></div></body>") for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert all(r.text == f"Page {r.page_id}" for r in extract(df).collect())
+
+
+def test_joined_tables_say_what_broadcast_ones_say(spark, monkeypatch):
+    df = spark.createDataFrame([*varied(30, "a.example"), *site(20)], "page_id long, url string, html string")
+    want = sorted(map(tuple, extract(df).collect()))
+    monkeypatch.setattr(htmlextract, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, extract(df).collect())) == want
 
 
 def test_odd_rows(spark):
