@@ -134,6 +134,70 @@ def stl_like(y: np.ndarray, period: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return trend, seasonal, y - trend - seasonal
 
 
+def loess(y: np.ndarray, width: int, degree: int, at: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+    """Local regression on equally spaced points: at each place the ``width`` nearest
+    points count with tricube weights (times ``weights``) and a polynomial of degree
+    0 or 1 is fitted. Wider than the series: the distances stretch accordingly."""
+    n = len(y)
+    some = min(width, n)
+    begin = np.clip(np.round(at).astype(np.int64) - some // 2, 0, n - some)
+    points = begin[:, None] + np.arange(some)
+    reach = np.maximum(at - begin, begin + some - 1 - at) + (max(0, width - n) // 2)
+    far = np.abs(points - at[:, None])
+    w = np.where(far <= 0.999 * reach[:, None], np.where(far <= 0.001 * reach[:, None], 1.0, (1 - (far / np.maximum(reach, 1e-300)[:, None]) ** 3) ** 3), 0.0)
+    if weights is not None:
+        w = w * weights[points]
+    total = w.sum(axis=1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        w = w / total[:, None]
+        if degree:
+            mean = (w * points).sum(axis=1)
+            spread = (w * (points - mean[:, None]) ** 2).sum(axis=1)
+            tilt = np.where(np.sqrt(spread) > 0.001 * (n - 1), (at - mean) / spread, 0.0)
+            w = w * (1 + tilt[:, None] * (points - mean[:, None]))
+        return np.where(total > 0, (w * y[points]).sum(axis=1), np.nan)
+
+
+def _moving_mean(y: np.ndarray, width: int) -> np.ndarray:
+    total = np.cumsum(np.concatenate([[0.0], y]))
+    return (total[width:] - total[:-width]) / width
+
+
+def stl(y: np.ndarray, period: int, robust: bool = True, seasonal_degree: int = 1, trend_degree: int = 1, seasonal_width: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Seasonal-trend decomposition by local regression (Cleveland et al., 1990):
+    trend, seasonal, remainder of a series without missing values.
+
+    Each inner pass smooths the values of every phase over the cycles, takes the
+    slow part out of the result, and smooths what is left without season. Robust:
+    two passes, fifteen times, between which large remainders lose weight; else five.
+    """
+    n, place = len(y), np.arange(len(y), dtype=float)
+    trend_width = math.ceil(1.5 * period / (1 - 1.5 / seasonal_width))
+    trend_width += 1 - trend_width % 2
+    low_width = period + 1 + period % 2
+    trend, seasonal, weights = np.zeros(n), np.zeros(n), None
+    for turn in range(16 if robust else 1):
+        for _ in range(2 if robust else 5):
+            cycle = np.zeros(n + 2 * period)
+            for phase in range(period):
+                part = (y - trend)[phase::period]
+                own = None if weights is None else weights[phase::period]
+                at = np.arange(-1, len(part) + 1, dtype=float)
+                fit = loess(part, seasonal_width, seasonal_degree, at, own)
+                inner = np.concatenate([[part[0]], part, [part[-1]]])
+                cycle[phase::period][: len(at)] = np.where(np.isnan(fit), inner, fit)
+            slow = _moving_mean(_moving_mean(_moving_mean(cycle, period), period), 3)
+            seasonal = cycle[period : period + n] - loess(slow, low_width, 1, place)
+            fit = loess(y - seasonal, trend_width, trend_degree, place, weights)
+            trend = np.where(np.isnan(fit), y - seasonal, fit)
+        if robust:
+            rest = np.abs(y - trend - seasonal)
+            scale = 6 * float(np.median(rest))
+            share = np.clip(rest / scale, 0, None) if scale > 0 else np.zeros(n)
+            weights = np.where(share <= 0.001, 1.0, np.where(share <= 0.999, (1 - share**2) ** 2, 0.0))
+    return trend, seasonal, y - trend - seasonal
+
+
 def peaks(x: np.ndarray) -> np.ndarray:
     """Strict local maxima; a plateau counts once, at its middle; no ends."""
     if len(x) < 3:
@@ -267,6 +331,33 @@ def sample_entropy(x: np.ndarray, m: int = 2, r: float = 0.2) -> float:
     return 0.0 if b == 0 else float("nan") if a == 0 else -math.log(a / b)
 
 
+def anchored_runs(x: np.ndarray, tolerance: float) -> np.ndarray:
+    """A run's number for each value: a run goes on while values stay within the
+    tolerance of its first; a missing value ends it."""
+    out, run, anchor = np.zeros(len(x), np.int64), 0, math.nan
+    for i, v in enumerate(x.tolist()):
+        if not abs(v - anchor) <= tolerance:
+            run += 1
+            anchor = v
+        out[i] = run
+    return out
+
+
+def _tridiagonal(low: np.ndarray, mid: np.ndarray, high: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Elimination along three diagonals: time and space in proportion to n."""
+    n = len(mid)
+    low, mid, high, right = low.tolist(), mid.tolist(), high.tolist(), right.tolist()
+    for i in range(1, n):
+        f = low[i] / mid[i - 1]
+        mid[i] -= f * high[i - 1]
+        right[i] -= f * right[i - 1]
+    out = [0.0] * n
+    out[-1] = right[-1] / mid[-1]
+    for i in range(n - 2, -1, -1):
+        out[i] = (right[i] - high[i] * out[i + 1]) / mid[i]
+    return np.array(out)
+
+
 def cubic_fill(x: np.ndarray) -> np.ndarray:
     """Not-a-knot cubic spline over positions, between observations only."""
     at = np.flatnonzero(~np.isnan(x))
@@ -280,14 +371,17 @@ def cubic_fill(x: np.ndarray) -> np.ndarray:
         return out
     h = np.diff(at).astype(float)
     slope = np.diff(y) / h
-    a = np.zeros((n, n))
-    b = np.zeros(n)
-    for i in range(1, n - 1):
-        a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-        b[i] = 6 * (slope[i] - slope[i - 1])
-    a[0, :3] = h[1], -(h[0] + h[1]), h[0]
-    a[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
-    m = np.linalg.solve(a, b)
+    # Inner knots have three unknowns each; not-a-knot says what the end ones are, so
+    # the first and last equations take them in.
+    low, mid, high = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy()
+    right = 6 * np.diff(slope)
+    left, last = h[0] / h[1], h[-1] / h[-2]
+    mid[0] += low[0] * (1 + left)
+    high[0] -= low[0] * left
+    mid[-1] += h[-1] * (1 + last)
+    low[-1] -= h[-1] * last
+    inner = _tridiagonal(low, mid, high, right)
+    m = np.concatenate([[(1 + left) * inner[0] - left * inner[1]], inner, [(1 + last) * inner[-1] - last * inner[-2]]])
     k = np.clip(np.searchsorted(at, inside) - 1, 0, n - 2)
     t = inside - at[k]
     out[inside] = y[k] + t * (slope[k] - h[k] * (2 * m[k] + m[k + 1]) / 6) + t**2 * m[k] / 2 + t**3 * (m[k + 1] - m[k]) / (6 * h[k])

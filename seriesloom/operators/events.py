@@ -41,9 +41,9 @@ def rolling_z(df: DataFrame, window: int = 30, threshold: float = 3.0, center: b
     return _report(rows, F.col("z") - threshold, F.lit(threshold))
 
 
-def stl_residual(df: DataFrame, period: int, method: str = "iqr", k: float = 3.0) -> DataFrame:
+def stl_residual(df: DataFrame, period: int, method: str = "iqr", k: float = 3.0, by_method: str = "loess", robust: bool = True) -> DataFrame:
     """Outlying remainders of the decomposition, by fence, MAD or deviation."""
-    parts = stl(df, period)
+    parts = stl(df, period, by_method, robust)
     r = F.when(~F.isnan("residual"), F.col("residual"))
     rows = parts.select("series_id", "ts", "pos", F.when(~F.isnan("observed"), F.col("observed")).alias("value"), r.alias("r"))
     if method == "iqr":

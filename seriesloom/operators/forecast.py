@@ -11,7 +11,7 @@ from seriesloom.functions import kernels
 from seriesloom.operators.quality import bounds
 from seriesloom.operators.stats import autocorrelation, stationarity
 from seriesloom.operators.structure import seasonality
-from seriesloom.sources.frame import along, positioned, properties, seconds
+from seriesloom.sources.frame import along, properties, seconds
 
 # Weights of the sub-scores.
 WEIGHTS = {"data_quality": 0.20, "stationarity": 0.15, "signal_to_noise": 0.20, "autocorrelation": 0.15, "sample_size": 0.15, "regularity": 0.15}
@@ -42,6 +42,8 @@ def forecastability(df: DataFrame, period: int | None = None, alpha: float = 0.0
     Summaries of one row a series are joined; only tests, spectra and smoothers
     run in Python. Series below four rows give no row.
     """
+    if period is not None and period < 2:
+        raise ValueError(f"period is 2 or more, not {period}")
     base = properties(df).where("n >= 4").select("series_id", "n", (F.col("n") - F.col("n_nan")).alias("n_clean"), "is_regular")
     fence = bounds(df)
     out = df.join(fence, "series_id").groupBy("series_id").agg(F.count_if((F.col("value") < F.col("lower_bound")) | (F.col("value") > F.col("upper_bound"))).alias("n_out"))
@@ -83,16 +85,22 @@ def lagged_correlations(df: DataFrame, features: list[str], horizon: int) -> Dat
     """``(series_id, feature, lag, r)``: correlation of each feature with the value
     ``lag`` rows later. ``df`` has the features as columns beside value. Fewer than
     three pairs or no spread count as 0."""
-    rows = positioned(df)
-    values = F.array(*[F.struct(F.lit(k).alias("lag"), (F.lead("value", k).over(along()) if k >= 0 else F.lag("value", -k).over(along())).alias("y")) for k in range(-horizon, horizon + 1)])
-    rows = rows.withColumn("ys", values).select("series_id", "pos", "ys", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])).alias("f"))
-    pairs = rows.select("series_id", "f.feature", "f.x", F.explode("ys").alias("p")).select("series_id", "feature", "p.lag", "x", "p.y")
-    both = F.col("x").isNotNull() & F.col("y").isNotNull()
-    x, y = F.when(both, F.col("x")), F.when(both, F.col("y"))
-    good = (F.count(x) >= 3) & (F.stddev_pop(x) > 1e-12) & (F.stddev_pop(y) > 1e-12)
-    # Sums stay defined without spread, where corr would divide by zero.
-    r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-    return pairs.groupBy("series_id", "feature", "lag").agg(F.when(good, r).otherwise(0.0).alias("r"))
+    lags = range(-horizon, horizon + 1)
+    x = [F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)]
+    y = [(F.lead("value", k).over(along()) if k >= 0 else F.lag("value", -k).over(along())).alias(f"y{k + horizon}") for k in lags]
+    rows = df.select("series_id", *x, *y)
+
+    def r(i: int, j: int):
+        both = F.col(f"x{i}").isNotNull() & F.col(f"y{j}").isNotNull()
+        a, b = F.when(both, F.col(f"x{i}")), F.when(both, F.col(f"y{j}"))
+        good = (F.count(a) >= 3) & (F.stddev_pop(a) > 1e-12) & (F.stddev_pop(b) > 1e-12)
+        # Sums stay defined without spread, where corr would divide by zero.
+        return F.when(good, F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))).otherwise(0.0)
+
+    # One column for each feature and lag: rows are added up where they lie.
+    sums = rows.groupBy("series_id").agg(*[r(i, j).alias(f"r{i}_{j}") for i in range(len(features)) for j in range(len(lags))])
+    cells = [F.struct(F.lit(f).alias("feature"), F.lit(k).alias("lag"), F.col(f"r{i}_{j}").alias("r")) for i, f in enumerate(features) for j, k in enumerate(lags)]
+    return sums.select("series_id", F.inline(F.array(*cells)))
 
 
 def leakage(df: DataFrame, features: list[str], horizon: int, threshold: float = 0.95) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions import kernels
-from seriesloom.operators.transforms import spine
+from seriesloom.operators.transforms import steps
 from seriesloom.sources.frame import along, by, positioned, seconds
 
 
@@ -47,9 +47,7 @@ def missing_report(df: DataFrame) -> DataFrame:
 
 def index_gaps(df: DataFrame, step: str) -> DataFrame:
     """Every time that a step through each series' range has and the series not."""
-    ends = df.groupBy("series_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
-    every = ends.select("series_id", F.explode(F.expr(f"sequence(a, b, interval {step})")).alias("ts"))
-    return every.join(df, ["series_id", "ts"], "left_anti")
+    return steps(df, step).join(df, ["series_id", "ts"], "left_anti")
 
 
 def interpolate(df: DataFrame, method: str = "linear", limit: int | None = None, fill_value: float | None = None) -> DataFrame:
@@ -103,18 +101,14 @@ def flatlines(df: DataFrame, min_run: int = 3, atol: float = 0.0) -> DataFrame:
     if atol == 0:
         new = F.coalesce((F.col("value") != F.lag("value").over(along())) | F.lag("value").over(along()).isNull(), F.lit(True))
         rows = rows.withColumn("run", F.sum(new.cast("int")).over(_past())).where("value IS NOT NULL")
-    else:  # each value is held against its run's first: a fold in time order
-        fold = F.aggregate(
-            F.array_sort(F.collect_list(F.struct("pos", "value"))),
-            F.expr("struct(cast(null as double) AS anchor, 0 AS run, array_repeat(struct(0 AS pos, 0 AS run, 0D AS value), 0) AS out)"),
-            lambda s, x: F.struct(
-                F.when(x["value"].isNull(), F.lit(None)).when(F.abs(x["value"] - s["anchor"]) <= atol, s["anchor"]).otherwise(x["value"]).alias("anchor"),
-                (s["run"] + F.when(F.coalesce(F.abs(x["value"] - s["anchor"]) <= atol, F.lit(False)), 0).otherwise(1)).alias("run"),
-                F.concat(s["out"], F.array(F.struct(x["pos"].alias("pos"), (s["run"] + F.when(F.coalesce(F.abs(x["value"] - s["anchor"]) <= atol, F.lit(False)), 0).otherwise(1)).alias("run"), x["value"].alias("value")))).alias("out"),
-            ),
-            lambda s: s["out"],
-        )
-        rows = rows.groupBy("series_id").agg(fold.alias("r")).select("series_id", F.inline("r")).where("value IS NOT NULL")
+    else:  # each value is held against its run's first, which no window can tell
+
+        def run(pdf):
+            pdf = pdf.sort_values("ts")
+            x = pdf["value"].to_numpy(dtype=float)
+            return pdf.assign(pos=range(len(x)), run=kernels.anchored_runs(x, atol))
+
+        rows = df.select("series_id", "ts", "value").groupBy("series_id").applyInPandas(run, "series_id string, ts timestamp_ntz, value double, pos long, run long").where("value IS NOT NULL")
     out = rows.groupBy("series_id", "run").agg(F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"), F.min_by("value", "pos").alias("value"), F.count("*").alias("size"))
     return out.where(F.col("size") >= min_run).select("series_id", "start_pos", "end_pos", "value", "size")
 
@@ -185,6 +179,3 @@ def clip(found: DataFrame) -> DataFrame:
     v = F.col("value")
     return found.select("series_id", "ts", F.when(v.isNotNull(), F.greatest("lower_bound", F.least("upper_bound", v))).alias("value"))
 
-
-def on_spine(df: DataFrame, step: str = "1 hour") -> DataFrame:
-    return spine(df, step)

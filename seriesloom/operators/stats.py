@@ -113,7 +113,8 @@ def kpss_statistic(df: DataFrame) -> DataFrame:
     ordered = by().orderBy("pos")
     rows = rows.withColumn("n", F.count("*").over(by())).withColumn("e", F.col("value") - F.avg("value").over(by()))
     rows = rows.withColumn("s", F.sum("e").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-    most = 12  # bandwidths stay below this up to millions of observations
+    longest = rows.groupBy("series_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0  # one number
+    most = max(1, int(4 * (longest / 100) ** 0.25) + 1)  # no series has a wider band
     width = F.greatest(F.lit(1), F.floor(4 * F.pow(F.col("n") / 100, F.lit(0.25))).cast("int"))
     sums = rows.withColumn("w", width).select("series_id", "n", "w", F.pow("s", F.lit(2.0)).alias("ss"), F.pow("e", F.lit(2.0)).alias("ee"), *[(F.col("e") * F.lag("e", j).over(ordered)).alias(f"e{j}") for j in range(1, most + 1)])
     lrv = F.sum("ee") + sum(F.when(F.first("w") >= j, 2 * (1 - j / (F.first("w") + 1.0)) * F.coalesce(F.sum(f"e{j}"), F.lit(0.0))).otherwise(0.0) for j in range(1, most + 1))
@@ -148,9 +149,9 @@ def stationarity(df: DataFrame, tests: tuple[str, ...] = ("ADF", "KPSS", "PP"),
             except (ValueError, ZeroDivisionError, FloatingPointError):
                 rows.append({"test_name": name, "regression": regression})
         columns = ["test_name", "statistic", "p_value", "critical_values", "n_lags", "regression", "is_stationary"]
-        out = pd.DataFrame(rows).reindex(columns=columns)
-        out["n_lags"] = out["n_lags"].astype("Int64")
-        out["is_stationary"] = out["is_stationary"].astype("boolean")
+        # Objects, so that what a test leaves undefined is None in every column.
+        out = pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in columns})
+        out = out.astype({"statistic": float, "p_value": float, "n_lags": "Int64", "is_stationary": "boolean"})
         out.insert(0, "series_id", pdf["series_id"].iloc[0])
         return out
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.functions import kernels
@@ -60,20 +60,45 @@ def strengths(parts: DataFrame, model: str = "additive") -> DataFrame:
     return parts.groupBy("series_id").agg(F.count("residual").alias("n_obs_used"), one(t).alias("strength_trend"), one(s).alias("strength_seasonal"))
 
 
-def stl(df: DataFrame, period: int) -> DataFrame:
-    """Trend, seasonal and remainder by a smoother and centred phase means, twice."""
+def stl(df: DataFrame, period: int, method: str = "loess", robust: bool = True, seasonal_degree: int = 1, trend_degree: int = 1) -> DataFrame:
+    """Trend, seasonal and remainder, one task a series.
+
+    loess: seasonal-trend decomposition by local regression; missing values stand
+    for the one before (at the start, after) and are missing in every part. savgol:
+    a Savitzky-Golay smoother and centred phase means, twice. Series shorter than
+    two periods or without a value give no rows.
+    """
+    if period < 2 or method not in ("loess", "savgol") or not {seasonal_degree, trend_degree} <= {0, 1}:
+        raise ValueError("period is 2 or more, the method loess or savgol, degrees 0 or 1")
 
     def run(pdf):
         pdf = pdf.sort_values("ts")
         y = pdf["value"].to_numpy(dtype=float)
-        if len(y) < max(3, 2 * period) or np.isnan(y).all():
+        gone = np.isnan(y)
+        if len(y) < max(3, 2 * period) or gone.all():
             return pdf.iloc[:0].assign(pos=0, observed=0.0, trend=0.0, seasonal=0.0, residual=0.0).drop(columns="value")
-        t, s, r = kernels.stl_like(y, period)
+        if method == "loess":
+            parts = kernels.stl(pd.Series(y).ffill().bfill().to_numpy(), period, robust, seasonal_degree, trend_degree)
+            t, s, r = (np.where(gone, np.nan, x) for x in parts)
+        else:
+            t, s, r = kernels.stl_like(y, period)
         return pd.DataFrame({"series_id": pdf["series_id"].to_numpy(), "ts": pdf["ts"].to_numpy(), "pos": np.arange(len(y)), "observed": y, "trend": t, "seasonal": s, "residual": r})
 
     return df.select("series_id", "ts", "value").groupBy("series_id").applyInPandas(run, "series_id string, ts timestamp_ntz, pos long, observed double, trend double, seasonal double, residual double")
 
 
+def summary(parts: DataFrame, period: int, method: str, model: str = "additive") -> DataFrame:
+    """``(series_id, summary)``: a decomposition in words, one text a series."""
+    rows = strengths(parts, model)
+    lines = [("method", F.lit(method)), ("model", F.lit(model)), ("period", F.lit(period)), ("n_obs_used", F.col("n_obs_used")), ("strength_trend", F.format_string("%.4f", "strength_trend")), ("strength_seasonal", F.format_string("%.4f", "strength_seasonal"))]
+    return rows.select("series_id", _described("Decomposition", lines).alias("summary"))
+
+
+def _described(title: str, lines: list) -> Column:
+    """A title and one line a field."""
+    return F.concat_ws("\n", F.lit(title), F.lit("-" * 40), *[F.concat(F.lit(f"  {name:<18}: "), F.coalesce(c.cast("string"), F.lit("-"))) for name, c in lines])
+
+
 def periodogram(df: DataFrame) -> DataFrame:
     """``(series_id, k, period, power)`` of the detrended, Hann-windowed series."""
 
@@ -121,29 +146,45 @@ def find_periods(x: np.ndarray, method: str = "combined", top_k: int = 5, alpha:
     return {"ranked": ranked, "by_power": by_power, "by_acf": by_acf, "g": g, "p": p, "seasonal": seasonal, "period": ranked[0][0] if seasonal else None}
 
 
+_FOUND = "n_obs long, dominant_period long, is_seasonal boolean, fisher_g_stat double, fisher_p_value double, candidates array<struct<period:long,score:double>>"
+
+
+def _searched(df: DataFrame, methods: tuple[str, ...], top_k: int, alpha: float, min_period: int, max_period: int | None) -> DataFrame:
+    """What each method finds, one row a series and method, from one pass."""
+
+    def run(pdf):
+        x = pdf.sort_values("ts")["value"].dropna().to_numpy(dtype=float)
+        rows = []
+        for method in methods if len(x) >= 8 else ():
+            f = find_periods(x, method, top_k, alpha, min_period, max_period)
+            rows.append([pdf["series_id"].iloc[0], method, len(x), f["period"], f["seasonal"], f["g"], f["p"], [{"period": q, "score": s} for q, s in f["ranked"]]])
+        out = pd.DataFrame(rows, columns=["series_id", "method", "n_obs", "dominant_period", "is_seasonal", "fisher_g_stat", "fisher_p_value", "candidates"])
+        out["dominant_period"] = out["dominant_period"].astype("Int64")
+        return out
+
+    return df.groupBy("series_id").applyInPandas(run, f"series_id string, method string, {_FOUND}")
+
+
 def seasonality(df: DataFrame, method: str = "combined", top_k: int = 5, alpha: float = 0.05, min_period: int = 2, max_period: int | None = None) -> DataFrame:
     """One row a series: candidates with scores, dominant period, Fisher's test.
     Fewer than eight values give no row."""
     if method not in ("periodogram", "acf", "combined") or not 0 < alpha < 1 or min_period < 2:
         raise ValueError("unknown method, alpha outside (0, 1), or min_period below 2")
+    return _searched(df, (method,), top_k, alpha, min_period, max_period).drop("method")
 
-    def run(pdf):
-        x = pdf.sort_values("ts")["value"].dropna().to_numpy(dtype=float)
-        if len(x) < 8:
-            return pd.DataFrame(columns=["series_id", "n_obs", "dominant_period", "is_seasonal", "fisher_g_stat", "fisher_p_value", "candidates"])
-        f = find_periods(x, method, top_k, alpha, min_period, max_period)
-        row = {"series_id": pdf["series_id"].iloc[0], "n_obs": len(x), "dominant_period": f["period"], "is_seasonal": f["seasonal"], "fisher_g_stat": f["g"], "fisher_p_value": f["p"], "candidates": [{"period": q, "score": s} for q, s in f["ranked"]]}
-        out = pd.DataFrame([row])
-        out["dominant_period"] = out["dominant_period"].astype("Int64")
-        return out
 
-    return df.groupBy("series_id").applyInPandas(run, "series_id string, n_obs long, dominant_period long, is_seasonal boolean, fisher_g_stat double, fisher_p_value double, candidates array<struct<period:long,score:double>>")
+def seasonality_summary(found: DataFrame, method: str = "combined", alpha: float = 0.05) -> DataFrame:
+    """``(series_id, summary)``: what ``seasonality`` found in words."""
+    top = F.concat_ws("; ", F.transform(F.slice("candidates", 1, 5), lambda c: F.format_string("period=%d score=%.4f", c["period"], c["score"])))
+    fisher = F.format_string("stat=%.4f p=%.4f", "fisher_g_stat", "fisher_p_value")
+    lines = [("method", F.lit(method)), ("n_obs", F.col("n_obs")), ("is_seasonal", F.concat(F.col("is_seasonal").cast("string"), F.lit(f" (alpha={alpha})"))), ("dominant_period", F.col("dominant_period")), ("Fisher G", fisher), ("top candidates", top)]
+    return found.select("series_id", _described("Seasonality", lines).alias("summary"))
 
 
 def test_period(df: DataFrame, period: int, alpha: float = 0.05) -> DataFrame:
     """Whether one period is among each series' candidates, by either method."""
-    both = seasonality(df, "periodogram", 20, alpha).select("series_id", "fisher_p_value", F.col("candidates").alias("p")).join(seasonality(df, "acf", 20, alpha).select("series_id", F.col("candidates").alias("a")), "series_id")
-    both = both.join(seasonality(df, "combined", 20, alpha).select("series_id", F.col("candidates").alias("c")), "series_id")
-    at = lambda c: F.filter(c, lambda x: x["period"] == period)
-    p, a = F.size(at(F.col("p"))) > 0, F.size(at(F.col("a"))) > 0
-    return both.select("series_id", F.lit(period).alias("period"), (p | a).alias("detected"), p.alias("periodogram_detected"), a.alias("acf_detected"), F.coalesce(F.get(at(F.col("c"))["score"], F.lit(0)), F.lit(0.0)).alias("strength"), "fisher_p_value")
+    rows = _searched(df, ("periodogram", "acf", "combined"), 20, alpha, 2, None)
+    at = F.filter("candidates", lambda x: x["period"] == period)
+    one = lambda m, c: F.max(F.when(F.col("method") == m, c))
+    both = rows.groupBy("series_id").agg(one("periodogram", F.size(at) > 0).alias("p"), one("acf", F.size(at) > 0).alias("a"), one("combined", F.get(at["score"], F.lit(0))).alias("s"), one("periodogram", F.col("fisher_p_value")).alias("fisher_p_value"))
+    return both.select("series_id", F.lit(period).alias("period"), (F.col("p") | F.col("a")).alias("detected"), F.col("p").alias("periodogram_detected"), F.col("a").alias("acf_detected"), F.coalesce("s", F.lit(0.0)).alias("strength"), "fisher_p_value")

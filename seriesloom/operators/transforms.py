@@ -2,33 +2,50 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.sources.frame import along, by, positioned
+from seriesloom.sources.frequency import Frequency
 
 AGGREGATES: dict[str, Callable[[Column], Column]] = {
     "mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "median": lambda c: F.percentile(c, F.lit(0.5)), "std": F.stddev_samp, "var": F.var_samp, "count": F.count,
     "first": lambda c: F.first(c, True), "last": lambda c: F.last(c, True),
 }
 
-#: Start of the bin and the label it carries, for each frequency.
-_BINS = {
-    "s": ("SECOND", "b"), "min": ("MINUTE", "b"), "h": ("HOUR", "b"), "D": ("DAY", "b"), "W": ("WEEK", "b + interval 6 days"), "MS": ("MONTH", "b"), "QS": ("QUARTER", "b"), "YS": ("YEAR", "b"),
-    "ME": ("MONTH", "b + interval 1 month - interval 1 day"), "QE": ("QUARTER", "b + interval 3 months - interval 1 day"), "YE": ("YEAR", "b + interval 1 year - interval 1 day"),
-}
-_STEPS = {"SECOND": "1 second", "MINUTE": "1 minute", "HOUR": "1 hour", "DAY": "1 day", "WEEK": "7 days", "MONTH": "1 month", "QUARTER": "3 months", "YEAR": "1 year"}
-
-
-def slice_range(df: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Observations from start to end, both included; a date as end is its whole day."""
+# How a time may be written, and the span each way covers.
+_SPANS = (
+    (r"\d{4}", "{}-01-01", "1 year"),
+    (r"\d{4}-\d{2}", "{}-01", "1 month"),
+    (r"\d{4}-\d{2}-\d{2}", "{}", "1 day"),
+    (r"\d{4}-\d{2}-\d{2}[ T]\d{2}", "{}:00:00", "1 hour"),
+    (r"\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}", "{}:00", "1 minute"),
+    (r"\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}", "{}", "1 second"),
+)
+
+
+def _span(at) -> tuple[str, str | None]:
+    """The first instant that a time as text names, and how long it lasts; a time
+    with a fraction, or one that is no text, is an instant."""
+    text = at if isinstance(at, str) else str(at)
+    for form, first, length in _SPANS if isinstance(at, str) else ():
+        if re.fullmatch(form, text.strip()):
+            return first.format(text.strip()), length
+    return text, None
+
+
+def slice_range(df: DataFrame, start=None, end=None) -> DataFrame:
+    """Observations from start to end, both included; a year, month, day, hour or
+    minute as end is the whole of it."""
     if start is not None:
-        df = df.where(F.col("ts") >= F.lit(start).cast("timestamp_ntz"))
+        df = df.where(F.col("ts") >= F.lit(_span(start)[0]).cast("timestamp_ntz"))
     if end is not None:
-        last = F.lit(end).cast("timestamp_ntz")
-        df = df.where(F.col("ts") < last + F.expr("interval 1 day")) if len(end) == 10 else df.where(F.col("ts") <= last)
+        last, length = _span(end)
+        last = F.lit(last).cast("timestamp_ntz")
+        df = df.where(F.col("ts") < last + F.expr(f"interval {length}")) if length else df.where(F.col("ts") <= last)
     return df
 
 
@@ -95,26 +112,53 @@ def apply(df: DataFrame, function: Callable) -> DataFrame:
 
 
 def resample(df: DataFrame, freq: str, how: str = "mean") -> DataFrame:
-    """One value for each bin; empty bins inside the range are 0 for sum and
-    count and absent for the others. Aggregates before any shuffle."""
-    unit, label = _BINS[freq]
-    bins = df.withColumn("b", F.date_trunc(unit, "ts").cast("timestamp_ntz"))
+    """One value for each bin of any frequency; empty bins inside the range are 0
+    for sum and count and absent for the others. Aggregates before any shuffle;
+    bins counted from a series' own first time need that first, one row a series.
+
+    An unknown frequency is a ValueError, an unknown aggregate an AttributeError.
+    """
+    every = Frequency.of(freq)
+    if how not in AGGREGATES:
+        raise AttributeError(f"unknown aggregate {how!r}; there are {sorted(AGGREGATES)}")
+    keys, first = ["series_id"], None
+    if every.floating:
+        df = df.join(df.groupBy("series_id").agg(F.min("ts").alias("first")), "series_id")
+        keys, first = ["series_id", "first"], F.col("first")
+    bins = df.withColumn("k", every.index(F.col("ts"), first))
     if how in ("first", "last"):
         pick = (F.min_by if how == "first" else F.max_by)("value", "ts")
-        out = bins.where("value IS NOT NULL").groupBy("series_id", "b").agg(pick.alias("value"))
+        out = bins.where("value IS NOT NULL").groupBy(*keys, "k").agg(pick.alias("value"))
     else:
-        out = bins.groupBy("series_id", "b").agg(AGGREGATES[how](F.col("value")).cast("double").alias("value"))
+        out = bins.groupBy(*keys, "k").agg(AGGREGATES[how](F.col("value")).cast("double").alias("value"))
     if how in ("sum", "count"):
-        out = spine(out.withColumnRenamed("b", "ts"), _STEPS[unit]).select("series_id", F.col("ts").alias("b"), F.coalesce("value", F.lit(0.0)).alias("value"))
-    return out.where("value IS NOT NULL").select("series_id", F.expr(label).cast("timestamp_ntz").alias("ts"), "value")
+        ends = out.groupBy(*keys).agg(F.min("k").alias("a"), F.max("k").alias("b"))
+        out = numbers(ends, "k").join(out.drop("first"), ["series_id", "k"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    return out.where("value IS NOT NULL").select("series_id", every.label(F.col("k"), first).alias("ts"), "value")
+
+
+#: Steps that one row makes at once; a long range takes two rounds.
+_BLOCK = 10_000
+
+
+def numbers(ends: DataFrame, name: str) -> DataFrame:
+    """``ends`` with every whole number from a to b, in blocks, so that no row holds
+    a series' whole range."""
+    blocks = ends.withColumn("from", F.explode(F.sequence("a", "b", F.lit(_BLOCK))))
+    return blocks.withColumn(name, F.explode(F.sequence("from", F.least(F.col("b"), F.col("from") + (_BLOCK - 1))))).drop("a", "b", "from")
+
+
+def steps(df: DataFrame, step: str) -> DataFrame:
+    """``(series_id, ts)``: every step from each series' first time to its last."""
+    ends = df.groupBy("series_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    blocks = ends.select("series_id", "b", F.explode(F.expr(f"sequence(a, b, interval {step} * {_BLOCK})")).alias("from"))
+    return blocks.select("series_id", F.explode(F.expr(f"sequence(from, least(b, from + interval {step} * {_BLOCK - 1}), interval {step})")).alias("ts"))
 
 
 def spine(df: DataFrame, step: str) -> DataFrame:
     """Every step from each series' first time to its last; null where there was
     no observation."""
-    ends = df.groupBy("series_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
-    every = ends.select("series_id", F.explode(F.expr(f"sequence(a, b, interval {step})")).alias("ts"))
-    return every.join(df.select("series_id", "ts", "value"), ["series_id", "ts"], "left")
+    return steps(df, step).join(df.select("series_id", "ts", "value"), ["series_id", "ts"], "left")
 
 
 def frame(window: int, center: bool = False):
@@ -124,6 +168,8 @@ def frame(window: int, center: bool = False):
 
 def rolling(df: DataFrame, window: int, how: str = "mean", center: bool = False, min_periods: int | None = None) -> DataFrame:
     """A rolling aggregate; rows with fewer than min_periods values are dropped."""
+    if how not in AGGREGATES:
+        raise AttributeError(f"unknown aggregate {how!r}; there are {sorted(AGGREGATES)}")
     over = frame(window, center)
     enough = F.count("value").over(over) >= (window if min_periods is None else min_periods)
     out = F.when(enough, AGGREGATES[how](F.col("value")).over(over).cast("double"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seriesloom.operators import events as ev
@@ -48,6 +49,9 @@ add(
     CASE WHEN n < 3 THEN NULL WHEN abs(mid / 1e6 - 3600) / 3600 < 0.1 THEN 'h' WHEN abs(mid / 1e6 - 86400) / 86400 < 0.1 THEN 'D' END AS freq FROM p""",
 )
 add("slice_range", orders, lambda d: tr.slice_range(d, "1995-03-01", "1995-06-30"), rows_sql(O, "o", "value", "WHERE ts >= TIMESTAMP '1995-03-01' AND ts < TIMESTAMP '1995-07-01'"))
+add("slice_month", orders, lambda d: tr.slice_range(d, "1995-03", "1995-04"), rows_sql(O, "o", "value", "WHERE ts >= TIMESTAMP '1995-03-01' AND ts < TIMESTAMP '1995-05-01'"))
+add("slice_year", orders, lambda d: tr.slice_range(d, end="1996"), rows_sql(O, "o", "value", "WHERE ts < TIMESTAMP '1997-01-01'"))
+add("slice_hour", raw_events, lambda d: tr.resample(tr.slice_range(d, "2024-01-03 05", "2024-01-05 16"), "h", "count"), f"WITH {E}, c AS (SELECT event_type AS series_id, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS ts, count(value) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-03 05:00:00' AND ts < TIMESTAMP '2024-01-05 17:00:00' GROUP BY 1, 2), x AS (SELECT series_id, min(ts) AS a, max(ts) AS b FROM c GROUP BY 1), h AS (SELECT series_id, unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS ts FROM x) SELECT h.series_id, strftime(h.ts, '%Y-%m-%d %H:%M:%S') AS ts, CAST(coalesce(n, 0) AS DOUBLE) AS value FROM h LEFT JOIN c ON c.series_id = h.series_id AND c.ts = h.ts")
 add("positions", orders, lambda d: tr.at_positions(d, 10, -10).select("series_id", "ts", "value", "pos"), f"WITH {O}, r AS (SELECT *, row_number() OVER {W} - 1 AS pos, count(*) OVER {P} AS n FROM o) SELECT series_id, {STAMP}, round(value, 6) + 0.0 AS value, pos FROM r WHERE pos >= 10 AND pos < n - 10")
 add("contains", orders, lambda d: tr.contains(d, "1996-02-29 00:00:00"), f"WITH {O} SELECT series_id, bool_or(ts = TIMESTAMP '1996-02-29') AS found FROM o GROUP BY 1")
 add("diff_simple", orders, tr.difference, rows_sql(O, "o", f"value - lag(value) OVER {W}", "WHERE out IS NOT NULL", 4), 4)
@@ -75,6 +79,24 @@ for _how in ("sum", "count"):
 add("resample_week", orders, lambda d: tr.resample(d, "W", "mean"), f"WITH {O}, r AS (SELECT series_id, date_trunc('week', ts) + INTERVAL 6 DAY AS b, avg(value) AS v FROM o GROUP BY 1, 2) SELECT series_id, strftime(b, '%Y-%m-%d %H:%M:%S') AS ts, round(v, 4) + 0.0 AS value FROM r", 4)
 add("resample_month_end", orders, lambda d: tr.resample(d, "ME", "max"), f"WITH {O}, r AS (SELECT series_id, last_day(ts) AS b, max(value) AS v FROM o GROUP BY 1, 2) SELECT series_id, strftime(b, '%Y-%m-%d %H:%M:%S') AS ts, round(v, 6) + 0.0 AS value FROM r")
 add("resample_quarter", orders, lambda d: tr.resample(d, "QS", "median"), f"WITH {O}, r AS (SELECT series_id, date_trunc('quarter', ts) AS b, quantile_cont(value, 0.5) AS v FROM o GROUP BY 1, 2) SELECT series_id, strftime(b, '%Y-%m-%d %H:%M:%S') AS ts, round(v, 4) + 0.0 AS value FROM r", 4)
+_DATED = "SELECT series_id, strftime(b, '%Y-%m-%d %H:%M:%S') AS ts, round(v, 4) + 0.0 AS value FROM r"
+for _name, _freq, _bin in (
+    ("week_monday", "W-MON", "ts + to_days(CAST((8 - isodow(ts)) % 7 AS INTEGER))"),
+    ("business", "B", "ts - to_days(CAST(greatest(0, isodow(ts) - 5) AS INTEGER))"),
+    ("month", "M", "last_day(ts)"),
+    ("quarter_end", "Q", "last_day(date_trunc('quarter', ts) + INTERVAL 2 MONTH)"),
+    ("quarter_november", "QE-NOV", "last_day(date_trunc('quarter', ts + INTERVAL 1 MONTH) + INTERVAL 1 MONTH)"),
+    ("year_april", "YS-APR", "date_trunc('year', ts - INTERVAL 3 MONTH) + INTERVAL 3 MONTH"),
+):
+    add(f"resample_{_name}", orders, lambda d, f=_freq: tr.resample(d, f, "mean"), f"WITH {O}, r AS (SELECT series_id, CAST({_bin} AS TIMESTAMP) AS b, avg(value) AS v FROM o GROUP BY 1, 2) {_DATED}", 4)
+add("resample_two_weeks", orders, lambda d: tr.resample(d, "2W", "max"), f"WITH {O}, w AS (SELECT *, ts + to_days(CAST(7 - isodow(ts) AS INTEGER)) AS e FROM o), f AS (SELECT *, min(e) OVER {P} AS first FROM w), r AS (SELECT series_id, first + to_days(CAST(14 * ceil(date_diff('day', first, e) / 14.0) AS INTEGER)) AS b, max(value) AS v FROM f GROUP BY 1, 2) {_DATED}", 4)
+add("resample_two_hours", raw_events, lambda d: tr.resample(d, "2h", "median"), f"WITH {_RAW}, r AS (SELECT series_id, time_bucket(INTERVAL 2 HOUR, ts) AS b, quantile_cont(value, 0.5) AS v FROM e GROUP BY 1, 2) {_DATED} WHERE v IS NOT NULL", 4)
+add("resample_quarter_hour", raw_events, lambda d: tr.resample(d, "15min", "max"), f"WITH {_RAW}, r AS (SELECT series_id, time_bucket(INTERVAL 15 MINUTE, ts) AS b, max(value) AS v FROM e GROUP BY 1, 2) {_DATED} WHERE v IS NOT NULL", 4)
+add(
+    "resample_seven_hours", raw_events, lambda d: tr.resample(d, "7h", "sum"),
+    f"""WITH {_RAW}, f AS (SELECT *, date_trunc('day', min(ts) OVER {P}) AS first FROM e), k AS (SELECT series_id, first, CAST(floor((epoch_us(ts) - epoch_us(first)) / 25200e6) AS BIGINT) AS k, sum(value) AS v FROM f GROUP BY 1, 2, 3), x AS (SELECT series_id, first, min(k) AS a, max(k) AS b FROM k GROUP BY 1, 2),
+    g AS (SELECT series_id, first, unnest(range(a, b + 1)) AS k FROM x) SELECT g.series_id, strftime(g.first + to_hours(CAST(7 * g.k AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS ts, round(coalesce(v, 0.0), 4) + 0.0 AS value FROM g LEFT JOIN k ON k.series_id = g.series_id AND k.k = g.k""", 4,
+)
 for _how, _sql in {**_AGG, "sum": "sum(value)", "count": "count(value)", "first": "first_value(value IGNORE NULLS)", "last": "last_value(value IGNORE NULLS)"}.items():
     _over = "OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)"
     add(f"rolling_{_how}", events_spine, lambda d, h=_how: tr.rolling(d, 12, h, min_periods=6), rows_sql(S, "s", f"CASE WHEN count(value) {_over} >= 6 THEN {_sql} {_over} END", "WHERE out IS NOT NULL", 9), 9)
@@ -126,7 +148,12 @@ add("interpolate_spline", events_spine, lambda d: quality.interpolate(d, "spline
 # Flat runs
 _ISLANDS = f"{C}, q AS (SELECT *, row_number() OVER {W} - 1 AS pos, CASE WHEN value IS DISTINCT FROM lag(value) OVER {W} THEN 1 ELSE 0 END AS new FROM c), i AS (SELECT *, sum(new) OVER (PARTITION BY series_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM q)"
 add("flatline", shipped_coarse, lambda d: quality.flatlines(d, 2), f"WITH {_ISLANDS} SELECT series_id, min(pos) AS start_pos, max(pos) AS end_pos, min(value) AS value, count(*) AS size FROM i GROUP BY series_id, run HAVING count(*) >= 2")
-add("flatline_tolerance", shipped_coarse, lambda d: quality.flatlines(d, 3, 1.0))
+add(
+    "flatline_tolerance", shipped_coarse, lambda d: quality.flatlines(d, 3, 1.0),
+    f"""WITH RECURSIVE {C}, q AS (SELECT *, row_number() OVER {W} - 1 AS pos FROM c), f AS (SELECT series_id, pos, value, value AS anchor, 1 AS run FROM q WHERE pos = 0 UNION ALL
+    SELECT q.series_id, q.pos, q.value, CASE WHEN abs(q.value - anchor) <= 1 THEN anchor ELSE q.value END, CASE WHEN abs(q.value - anchor) <= 1 THEN run ELSE run + 1 END FROM f JOIN q ON q.series_id = f.series_id AND q.pos = f.pos + 1)
+    SELECT series_id, min(pos) AS start_pos, max(pos) AS end_pos, arg_min(value, pos) AS value, count(*) AS size FROM f GROUP BY series_id, run HAVING count(*) >= 3""",
+)
 add("near_zero", shipped_coarse, lambda d: quality.near_zero(d.withColumn("value", F.col("value") - 10), 1, 1.0), f"WITH {C}, q AS (SELECT series_id, ts, value - 10 AS value, row_number() OVER {W} - 1 AS pos, abs(value - 10) <= 1 AS small FROM c), i AS (SELECT *, pos - row_number() OVER (PARTITION BY series_id, small ORDER BY ts) AS run FROM q) SELECT series_id, min(pos) AS start_pos, max(pos) AS end_pos, arg_min(value, pos) AS value, count(*) AS size FROM i WHERE small GROUP BY series_id, run")
 add("remove_flatlines", shipped_coarse, lambda d: quality.remove_runs(d, quality.flatlines(d, 2)), f"WITH {_ISLANDS}, k AS (SELECT *, row_number() OVER (PARTITION BY series_id, run ORDER BY pos) AS r FROM i) SELECT series_id, {STAMP}, CASE WHEN r = 1 THEN value END AS value FROM k")
 
@@ -158,9 +185,21 @@ add(
     "acf", orders, stats.autocorrelation,
     f"WITH {_ACF} SELECT series_id, n, lag, round(acf, 6) + 0.0 AS acf, round(CASE WHEN lag = 0 THEN -1 ELSE -1.959963984540054 / sqrt(n) END, 6) AS conf_lower, round(CASE WHEN lag = 0 THEN 1 ELSE 1.959963984540054 / sqrt(n) END, 6) AS conf_upper, round(n * (n + 2) * sum(CASE WHEN lag > 0 THEN acf * acf / (n - lag) ELSE 0 END) OVER (PARTITION BY series_id ORDER BY lag), 6) + 0.0 AS lb_statistic FROM r",
 )
-add("significant_lags", orders, lambda d: stats.significant_lags(stats.autocorrelation(d)).select("series_id", "lag", "acf"), f"WITH {_ACF} SELECT series_id, lag, round(acf, 6) + 0.0 AS acf FROM r WHERE lag > 0 AND abs(acf) > 1.959963984540054 / sqrt(n)")
+_RUNNING = O.replace("o AS", "o0 AS") + ", o AS (SELECT series_id, ts, sum(value) OVER (PARTITION BY series_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS value FROM o0)"
+add(
+    "significant_lags", lambda spark, sf: orders(spark, sf).withColumn("value", F.sum("value").over(fr.along().rowsBetween(Window.unboundedPreceding, 0))), lambda d: stats.significant_lags(stats.autocorrelation(d)).select("series_id", "lag", "acf"),
+    f"WITH {_ACF.replace(O, _RUNNING)} SELECT series_id, lag, round(acf, 6) + 0.0 AS acf FROM r WHERE lag > 0 AND abs(acf) > 1.959963984540054 / sqrt(n)",
+)
 add("correlogram_pacf", events, stats.correlogram)
-add("white_noise", events, stats.white_noise)
+_EACF = _ACF.replace(O, E).replace("FROM o)", "FROM e)")
+add(
+    "pacf", events, lambda d: stats.correlogram(d, 20).select("series_id", "lag", "acf", "pacf"),
+    f"""WITH RECURSIVE {_EACF}, l AS (SELECT series_id, list(acf ORDER BY lag) AS rho FROM r WHERE lag BETWEEN 1 AND 20 GROUP BY 1), d AS (SELECT series_id, 1 AS lag, rho, [rho[1]] AS phi FROM l UNION ALL
+    SELECT series_id, lag + 1, rho, list_append(list_transform(list_zip(phi, list_reverse(phi)), lambda x: x[1] - z * x[2]), z) FROM (SELECT *, (rho[lag + 1] - list_dot_product(phi, list_reverse(rho[1:lag]))) / (1 - list_dot_product(phi, rho[1:lag])) AS z FROM d WHERE lag < len(rho)))
+    SELECT series_id, lag, round(rho[lag], 6) + 0.0 AS acf, round(phi[lag], 6) + 0.0 AS pacf FROM d UNION ALL SELECT series_id, 0, 1.0, 1.0 FROM l""",
+)
+#: The chi-squared value of 20 degrees that 5 in 100 exceed.
+add("white_noise", events, stats.white_noise, f"WITH {_EACF} SELECT series_id, max(n) AS n_obs, 20 AS lag, round(max(n) * (max(n) + 2) * sum(acf * acf / (n - lag)), 6) + 0.0 AS q, max(n) * (max(n) + 2) * sum(acf * acf / (n - lag)) < 31.410432844230918 AS is_white_noise FROM r WHERE lag BETWEEN 1 AND 20 GROUP BY 1")
 add("stationarity", orders, lambda d: stats.stationarity(d).withColumn("critical_values", F.to_json("critical_values")))
 add("stationarity_verdict", events, stats.verdict)
 add(
@@ -185,9 +224,16 @@ def _classical_sql(ctes: str, table: str, period: int, digits: int, mult: bool =
 add("decompose_additive_24", events, lambda d: structure.classical(d, 24), _classical_sql(E, "e", 24, 9), 9)
 add("decompose_additive_7", orders, lambda d: structure.classical(d, 7), _classical_sql(O, "o", 7, 3), 3)
 add("decompose_multiplicative", orders, lambda d: structure.classical(d, 7, "multiplicative"), _classical_sql(O, "o", 7, 4, True), 4)
-add("decompose_strengths", events, lambda d: structure.strengths(structure.classical(d, 24)))
+_PARTS = f"p AS ({_classical_sql(E, 'e', 24, 15)})"
+_SHARE = "round(CASE WHEN count({c} + residual) >= 2 THEN coalesce(greatest(0, 1 - var_pop(residual) FILTER (WHERE {c} IS NOT NULL) / nullif(var_pop({c} + residual), 0)), 0) ELSE 0 END, 6) + 0.0"
+add("decompose_strengths", events, lambda d: structure.strengths(structure.classical(d, 24)), f"WITH {_PARTS} SELECT series_id, count(residual) AS n_obs_used, {_SHARE.format(c='trend')} AS strength_trend, {_SHARE.format(c='seasonal')} AS strength_seasonal FROM p GROUP BY 1")
 add("stl", events, lambda d: structure.stl(d, 24))
-add("periodogram", events, structure.periodogram)
+add("stl_savgol", events, lambda d: structure.stl(d, 24, "savgol"))
+#: Power of the detrended, Hann-windowed series at each frequency but zero.
+_POWER = f"""{E}, q AS (SELECT series_id, value AS x, row_number() OVER {W} - 1 AS i, count(*) OVER {P} AS n FROM e), l AS (SELECT series_id, avg(x) AS m, sum((i - (n - 1) / 2.0) * x) / sum(power(i - (n - 1) / 2.0, 2)) AS slope FROM q GROUP BY 1),
+h AS (SELECT q.series_id, i, n, (x - m - slope * (i - (n - 1) / 2.0)) * (0.5 - 0.5 * cos(2 * pi() * i / (n - 1))) AS y FROM q JOIN l ON q.series_id = l.series_id), k AS (SELECT series_id, n, unnest(range(1, n // 2 + 1)) AS k FROM (SELECT DISTINCT series_id, n FROM h)),
+p AS (SELECT k.series_id, k.k, any_value(k.n) AS n, power(sum(y * cos(2 * pi() * ((k.k * i) % k.n) / k.n)), 2) + power(sum(y * sin(2 * pi() * ((k.k * i) % k.n) / k.n)), 2) AS p FROM k JOIN h ON k.series_id = h.series_id GROUP BY 1, 2)"""
+add("periodogram", events, structure.periodogram, f"WITH {_POWER} SELECT series_id, k, round(n / k, 6) + 0.0 AS period, round(p, 6) + 0.0 AS power FROM p")
 for _m in ("combined", "periodogram", "acf"):
     add(f"seasonality_{_m}", events, lambda d, m=_m: structure.seasonality(d, m).withColumn("candidates", F.to_json("candidates")))
 add("seasonality_test_period", events, lambda d: structure.test_period(d, 24))
@@ -222,11 +268,19 @@ add(
     f"""WITH {O}, q AS (SELECT *, row_number() OVER {W} - 1 AS pos, value - lag(value) OVER {W} AS dv, value - avg(value) OVER {P} AS c FROM o), x AS (SELECT *, stddev_samp(dv) OVER {P} / sqrt(2) AS g FROM q),
     y AS (SELECT *, sum(CASE WHEN pos = 0 THEN 0 ELSE c - 0.5 * g END) {_PAST} AS u, sum(CASE WHEN pos = 0 THEN 0 ELSE -c - 0.5 * g END) {_PAST} AS w FROM x) SELECT series_id, {STAMP}, pos, round(value, 2) + 0.0 AS value, round(u - least(0, min(u) {_PAST}), 2) + 0.0 AS s_up, round(w - least(0, min(w) {_PAST}), 2) + 0.0 AS s_down FROM y""", 2,
 )
+_GAIN = "power(t.s - x.s, 2) / (t.pos - g.a) + power(y.s - t.s, 2) / (g.b - t.pos) - power(y.s - x.s, 2) / (g.b - g.a)"
 add(
     "split_gains", events, lambda d: ev.split_gains(d).select("series_id", "ts", "pos", "score"),
     f"""WITH {E}, q AS (SELECT *, row_number() OVER {W} - 1 AS pos, count(*) OVER {P} AS n, value - avg(value) OVER {P} AS c FROM e), x AS (SELECT *, sum(c) OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l, sum(c * c) OVER {P} AS t FROM q)
     SELECT series_id, {STAMP}, pos, round((l * l / pos + l * l / (n - pos)) / t, 6) + 0.0 AS score FROM x WHERE pos >= 10 AND pos <= n - 10""",
 )
+add(
+    "binary_segmentation_positions", events, lambda d: ev.binary_segmentation(d, penalty=2.0).where("is_cp").select("series_id", "ts", "pos"),
+    f"""WITH RECURSIVE {E}, q AS (SELECT series_id, ts, row_number() OVER {W} - 1 AS pos, count(*) OVER {P} AS n, value - avg(value) OVER {P} AS c FROM e), t AS (SELECT series_id, ts, pos, n, coalesce(sum(c) OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM q),
+    ends AS (SELECT series_id, pos, s FROM t UNION ALL SELECT series_id, max(n), 0.0 FROM t GROUP BY 1), g AS (SELECT series_id, CAST(0 AS BIGINT) AS a, max(n) AS b, CAST(NULL AS BIGINT) AS cut FROM t GROUP BY 1 UNION ALL
+    SELECT series_id, unnest([a, best]) AS a, unnest([best, b]) AS b, best AS cut FROM (SELECT g.series_id, g.a, g.b, arg_max(t.pos, {_GAIN}) AS best, max({_GAIN}) AS gain FROM g JOIN t ON t.series_id = g.series_id AND t.pos BETWEEN g.a + 10 AND g.b - 10 JOIN ends x ON x.series_id = g.series_id AND x.pos = g.a JOIN ends y ON y.series_id = g.series_id AND y.pos = g.b GROUP BY 1, 2, 3) WHERE gain > 2.0)
+    SELECT DISTINCT t.series_id, strftime(t.ts, '%Y-%m-%d %H:%M:%S') AS ts, t.pos FROM g JOIN t ON t.series_id = g.series_id AND t.pos = g.cut""",
+)
 add("binary_segmentation", orders, lambda d: ev.binary_segmentation(d, penalty=1e9).where("is_cp"))
 add(
     "variance_ratio_statistic", orders, ev.variance_ratio_statistic,
@@ -255,8 +309,20 @@ add(
     round(quantile_cont(value, 0.05), 5) AS q05, round(quantile_cont(value, 0.25), 5) AS q25, round(quantile_cont(value, 0.75), 5) AS q75, round(quantile_cont(value, 0.95), 5) AS q95, round(count(*) FILTER (WHERE sign(d) <> sign(e)) / (max(n) - 2), 5) AS turning_points_ratio, round(count(*) FILTER (WHERE c * c1 < 0) / (max(n) - 1), 5) AS mean_crossing_rate, round(count(*) FILTER (WHERE d = 0) / (max(n) - 1), 5) + 0.0 AS flatness_ratio,
     round(sum(c * c1) / sum(c * c), 5) + 0.0 AS lag1_acf, round(regr_slope(value, pos), 5) + 0.0 AS linear_slope, round(regr_r2(value, pos), 5) + 0.0 AS linear_r2, CAST(count(*) FILTER (WHERE d > 0 AND e < 0) AS DOUBLE) AS n_peaks, CAST(count(*) FILTER (WHERE d < 0 AND e > 0) AS DOUBLE) AS n_troughs FROM w JOIN t ON w.series_id = t.series_id GROUP BY 1""", 5,
 )
-add("features_entropy", events, features.entropies)
-add("features_spectral", events, features.spectral)
+add(
+    "features_entropy", events, features.entropies,
+    f"""WITH {E}, q AS (SELECT series_id, row_number() OVER {W} AS i, count(*) OVER {P} AS n, 0.2 * stddev_samp(value) OVER {P} AS r, value AS v0, lead(value) OVER {W} AS v1, lead(value, 2) OVER {W} AS v2 FROM e),
+    d AS (SELECT a.series_id, a.i, a.n, a.r, a.i = b.i AS own, b.i AS j, greatest(abs(a.v0 - b.v0), abs(a.v1 - b.v1)) AS two, greatest(abs(a.v0 - b.v0), abs(a.v1 - b.v1), abs(a.v2 - b.v2)) AS three, b.v1 IS NOT NULL AND a.v1 IS NOT NULL AS has2, b.v2 IS NOT NULL AND a.v2 IS NOT NULL AS has3 FROM q a JOIN q b ON a.series_id = b.series_id),
+    c AS (SELECT series_id, i, max(n) AS n, ln(count(*) FILTER (WHERE has2 AND two <= r) / nullif(count(*) FILTER (WHERE has2), 0)) AS l2, ln(count(*) FILTER (WHERE has3 AND three <= r) / nullif(count(*) FILTER (WHERE has3), 0)) AS l3, count(*) FILTER (WHERE has3 AND NOT own AND two < r) AS b, count(*) FILTER (WHERE has3 AND NOT own AND three < r) AS a FROM d GROUP BY 1, 2)
+    SELECT series_id, CASE WHEN max(n) <= 2000 THEN round(abs(avg(l2) - avg(l3)), 6) + 0.0 END AS approx_entropy, CASE WHEN max(n) > 500 OR (sum(b) > 0 AND sum(a) = 0) THEN NULL WHEN sum(b) = 0 THEN 0.0 ELSE round(-ln(sum(a) / sum(b)), 6) + 0.0 END AS sample_entropy FROM c GROUP BY 1""",
+)
+add(
+    "features_spectral", events, features.spectral,
+    f"""WITH {_POWER}, s AS (SELECT *, k / n AS f, count(*) OVER (PARTITION BY series_id) AS m, sum(p) OVER (PARTITION BY series_id) AS total, sum(p) OVER (PARTITION BY series_id ORDER BY k) AS run, lag(p) OVER (PARTITION BY series_id ORDER BY k) AS before, lead(p) OVER (PARTITION BY series_id ORDER BY k) AS after FROM p), c AS (SELECT series_id, sum(f * p) / max(total) AS centre FROM s GROUP BY 1)
+    SELECT s.series_id, round(max(total), 6) + 0.0 AS total_power, {', '.join(f"round(sum(p) FILTER (WHERE k > {i} * m // 3 AND k <= {i + 1} * m // 3), 6) + 0.0 AS band_power_{i}" for i in range(3))}, round(max(centre), 6) + 0.0 AS spectral_centroid, round(sqrt(sum(power(f - centre, 2) * p) / max(total)), 6) + 0.0 AS spectral_bandwidth,
+    round(min(f) FILTER (WHERE run >= 0.5 * total), 6) + 0.0 AS spectral_rolloff_50, round(min(f) FILTER (WHERE run >= 0.85 * total), 6) + 0.0 AS spectral_rolloff_85, round(-sum(p / total * ln(p / total)) / ln(max(m)), 6) + 0.0 AS spectral_entropy, round(exp(avg(ln(p + 1e-12))) / avg(p), 6) + 0.0 AS spectral_flatness,
+    round(arg_max(f, p), 6) + 0.0 AS dominant_freq, round(1 / arg_max(f, p), 6) + 0.0 AS dominant_period, CAST(count(*) FILTER (WHERE p > before AND p > after) AS DOUBLE) AS n_spectral_peaks FROM s JOIN c ON s.series_id = c.series_id GROUP BY 1""",
+)
 
 # Forecastability and leakage
 add("forecastability", events, forecast.forecastability)
@@ -268,7 +334,12 @@ def _with_features(d):
 
 _FEATS = f"{O}, x AS (SELECT *, row_number() OVER {W} AS i, 2 * value + 1 AS copy, lag(value, 2) OVER {W} AS future, CAST(isodow(ts) - 1 AS DOUBLE) AS weekday FROM o), u AS (SELECT series_id, i, value, unnest(['copy', 'future', 'weekday']) AS feature, unnest([copy, future, weekday]) AS x FROM x), k AS (SELECT unnest(range(-3, 4)) AS lag)"
 add("leakage_correlations", orders, lambda d: forecast.lagged_correlations(_with_features(d), ["copy", "future", "weekday"], 3), f"WITH {_FEATS} SELECT u.series_id, feature, lag, round(corr(u.x, y.value), 6) + 0.0 AS r FROM u CROSS JOIN k JOIN o2 y ON y.series_id = u.series_id AND y.i = u.i + lag WHERE u.x IS NOT NULL GROUP BY 1, 2, 3".replace(", k AS (", ", o2 AS (SELECT series_id, i, value FROM x), k AS ("))
-add("leakage", orders, lambda d: forecast.leakage(_with_features(d), ["copy", "future", "weekday"], 3))
+add(
+    "leakage", orders, lambda d: forecast.leakage(_with_features(d), ["copy", "future", "weekday"], 3),
+    f"""WITH {_FEATS}, r AS (SELECT u.series_id, feature, lag, corr(u.x, y.value) AS r FROM u CROSS JOIN k JOIN x y ON y.series_id = u.series_id AND y.i = u.i + lag WHERE u.x IS NOT NULL GROUP BY 1, 2, 3),
+    m AS (SELECT series_id, feature, max(r) FILTER (WHERE lag = 0) AS c0, first(lag ORDER BY round(abs(r), 12) DESC, lag) AS peak, first(r ORDER BY round(abs(r), 12) DESC, lag) AS top FROM r GROUP BY 1, 2)
+    SELECT series_id, feature, round(c0, 6) + 0.0 AS corr_lag0, peak AS peak_lag, abs(c0) >= 0.95 AS target_leak, peak > 0 AND abs(top) > abs(c0) + 0.05 AS temporal_leak FROM m""",
+)
 
 # Plot data and reports
 add("plot_series", events, lambda d: plotdata.series_line(d, 24), f"WITH {E} SELECT series_id, {STAMP}, round(value, 9) + 0.0 AS value, CASE WHEN count(value) OVER w = 24 THEN round(avg(value) OVER w, 9) + 0.0 END AS rolling_mean FROM e WINDOW w AS (PARTITION BY series_id ORDER BY e.ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)", 9)
@@ -285,12 +356,21 @@ add(
 add("plot_distribution", events, plotdata.histogram, f"WITH {E}, b AS (SELECT *, min(value) OVER {P} AS lo, max(value) OVER {P} AS hi FROM e), c AS (SELECT *, least(29, CAST(floor((value - lo) / (hi - lo) * 30) AS BIGINT)) AS bin FROM b) SELECT series_id, bin, round(lo + (hi - lo) * bin / 30, 6) + 0.0 AS left, count(*) AS n FROM c GROUP BY series_id, lo, hi, bin")
 add("plot_qq", events, plotdata.qq)
 add("plot_rolling_stats", orders, lambda d: plotdata.rolling_stats(d, 30), f"WITH {O} SELECT series_id, {STAMP}, round(value, 4) + 0.0 AS value, CASE WHEN count(value) OVER w = 30 THEN round(avg(value) OVER w, 4) + 0.0 END AS rolling_mean, CASE WHEN count(value) OVER w = 30 THEN round(stddev_samp(value) OVER w, 4) + 0.0 END AS rolling_std FROM o WINDOW w AS (PARTITION BY series_id ORDER BY o.ts ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)", 4)
-add("plot_acf_heatmap", events, plotdata.acf_heatmap)
-add("plot_strength_radar", events, lambda d: plotdata.strength_radar(structure.classical(d, 24)))
-add("plot_residuals", events, lambda d: plotdata.residuals(structure.classical(d, 24)))
+add(
+    "plot_acf_heatmap", events, plotdata.acf_heatmap,
+    f"""WITH {E}, q AS (SELECT *, row_number() OVER {W} - 1 AS pos, count(*) OVER {P} AS n FROM e), z AS (SELECT *, least(n, greatest(84, n // 5)) AS size FROM q), y AS (SELECT *, greatest(1, (n - size) // 50) AS step, least(40, size // 2 - 1) AS cap FROM z WHERE size >= 44),
+    v AS (SELECT DISTINCT series_id, size, step, cap, unnest(range((n - size) // step + 1)) AS win FROM y), c AS (SELECT v.series_id, win, v.cap, pos, value - avg(value) OVER (PARTITION BY v.series_id, win) AS c FROM v JOIN y ON y.series_id = v.series_id AND pos >= win * v.step AND pos < win * v.step + v.size),
+    d AS (SELECT series_id, win, sum(c * c) AS p0 FROM c GROUP BY 1, 2 HAVING sum(c * c) > 0) SELECT a.series_id, a.win AS "window", b.pos - a.pos AS lag, round(sum(a.c * b.c) / max(p0), 6) + 0.0 AS acf FROM c a JOIN c b ON a.series_id = b.series_id AND a.win = b.win AND b.pos - a.pos BETWEEN 0 AND a.cap JOIN d ON d.series_id = a.series_id AND d.win = a.win GROUP BY 1, 2, 3""",
+)
+add("plot_strength_radar", events, lambda d: plotdata.strength_radar(structure.classical(d, 24)), f"WITH {_PARTS} SELECT series_id, round(1 - var_pop(residual) / var_pop(observed), 6) + 0.0 AS signal, round(var_pop(trend) / var_pop(observed), 6) + 0.0 AS smoothness, round(var_pop(seasonal) / var_pop(observed), 6) + 0.0 AS seasonal_share FROM p WHERE residual IS NOT NULL AND trend IS NOT NULL GROUP BY 1")
+add("plot_residuals", events, lambda d: plotdata.residuals(structure.classical(d, 24)), f"WITH {_PARTS} SELECT series_id, ts, round(residual, 6) + 0.0 AS value FROM p WHERE residual IS NOT NULL")
 add("plot_polar_seasonal", events, lambda d: plotdata.polar(d, 24), f"WITH {E}, q AS (SELECT *, row_number() OVER {W} - 1 AS pos FROM e), m AS (SELECT series_id, pos % 24 AS phase, avg(value) AS mean FROM q GROUP BY 1, 2) SELECT series_id, phase, round(phase * 2 * pi() / 24, 6) + 0.0 AS angle, round(mean, 6) + 0.0 AS mean, round((mean - min(mean) OVER {P}) / (max(mean) OVER {P} - min(mean) OVER {P}), 6) + 0.0 AS radius FROM m")
 add("plot_season_heatmap", events, lambda d: plotdata.season_heatmap(d, 24), f"WITH {E}, q AS (SELECT *, row_number() OVER {W} - 1 AS pos FROM e) SELECT series_id, pos // 24 AS cycle, pos % 24 AS phase, round(avg(value), 9) + 0.0 AS mean FROM q GROUP BY 1, 2, 3", 9)
 add("plot_anomaly_agreement", events, lambda d: plotdata.agreement({"rolling_z": ev.rolling_z(d, 24), "rolling_iqr": ev.rolling_iqr(d, 24), "gesd": ev.gesd(d)}))
-add("plot_segment_means", events, lambda d: plotdata.segment_means(ev.rolling_z(d, 24).withColumnRenamed("mask", "is_cp")))
+add(
+    "plot_segment_means", events, lambda d: plotdata.segment_means(ev.rolling_z(d, 24).withColumnRenamed("mask", "is_cp")),
+    f"""WITH {E}, q AS (SELECT *, row_number() OVER {W} - 1 AS pos, CASE WHEN count(value) {_C24} >= 12 AND stddev_samp(value) {_C24} > 0 THEN abs(value - avg(value) {_C24}) / stddev_samp(value) {_C24} END AS z FROM e),
+    g AS (SELECT *, CAST(sum(CASE WHEN z > 3 AND pos > 0 THEN 1 ELSE 0 END) {_PAST} AS BIGINT) AS segment FROM q) SELECT series_id, {STAMP}, round(value, 6) + 0.0 AS value, segment, round(avg(value) OVER (PARTITION BY series_id, segment), 6) + 0.0 AS segment_mean FROM g""",
+)
 add("plot_missing_map", events_spine, plotdata.missing_map, f"WITH {S}, q AS (SELECT *, row_number() OVER {W} - 1 AS pos, count(*) OVER {P} AS n FROM s) SELECT series_id, pos // greatest(1, n // 200) AS chunk, strftime(min(q.ts), '%Y-%m-%d %H:%M:%S') AS ts, CAST(max(CASE WHEN value IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing FROM q GROUP BY 1, 2")
 add("report_scorecard", events, report.scorecard)

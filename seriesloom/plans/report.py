@@ -52,9 +52,12 @@ def sections(df: DataFrame, period: int | None = None, alpha: float = 0.05) -> d
         "forecastability": lambda: forecast.forecastability(df, period, alpha),
         "anomalies": anomalies,
         "changepoints": changepoints,
+        "scorecard": lambda: scorecard(df),
+        "seasonality in words": lambda: structure.seasonality_summary(structure.seasonality(df, alpha=alpha), alpha=alpha),
     }
     if period:
         out["decomposition"] = lambda: structure.strengths(structure.classical(df, period))
+        out["decomposition in words"] = lambda: structure.summary(structure.classical(df, period), period, "classical")
     return out
 
 

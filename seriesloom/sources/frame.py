@@ -62,7 +62,11 @@ def read_parquet(spark: SparkSession, path: str, time_col: str, value_col: str,
 
 
 def validate(df: DataFrame) -> DataFrame:
-    """``df`` if it holds rows whose times are known and do not repeat in a series."""
+    """``df`` if it holds rows whose times are known and do not repeat in a series
+    and whose values are numbers."""
+    kind = dict(df.dtypes).get("value")
+    if kind not in ("double", "float", "int", "bigint", "smallint", "tinyint") and not str(kind).startswith("decimal"):
+        raise TypeError(f"values must be numbers, not {kind}")
     bad = df.groupBy("series_id", "ts").count().where("count > 1 OR ts IS NULL").limit(1).collect()
     if bad:
         raise ValueError(f"series {bad[0].series_id!r}: time {bad[0].ts} repeats or is missing")
@@ -87,9 +91,13 @@ def validate_lags(lags, n: int, name: str = "lags") -> int:
 
 
 def validate_freq(freq: str, name: str = "freq") -> str:
-    core = freq.split("-")[0].lstrip("0123456789") if isinstance(freq, str) else ""
-    if core not in LABELS:
-        raise ValueError(f"{name}: unknown frequency {freq!r}")
+    """``freq`` if ``resample`` knows it, else a ValueError."""
+    from seriesloom.sources.frequency import Frequency
+
+    try:
+        Frequency.of(freq)
+    except ValueError as error:
+        raise ValueError(f"{name}: {error}") from None
     return freq
 
 
@@ -105,9 +113,23 @@ def positioned(df: DataFrame, name: str = "pos") -> DataFrame:
     return df.withColumn(name, F.row_number().over(along()) - 1)
 
 
-def seconds(ts: str | Column = "ts") -> Column:
+def micros(ts: str | Column = "ts") -> Column:
+    """Microseconds since 1970 as the clock of the series counts them: the
+    session's time zone and its changes of clock play no part."""
     c = F.col(ts) if isinstance(ts, str) else ts
-    return F.unix_micros(c.cast("timestamp")) / 1e6
+    whole = F.unix_date(F.to_date(c)).cast("long") * 86400 + F.hour(c) * 3600 + F.minute(c) * 60
+    return whole * 1_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("long")
+
+
+def seconds(ts: str | Column = "ts") -> Column:
+    return micros(ts) / 1e6
+
+
+def at_micros(us: Column) -> Column:
+    """The time that ``micros`` counts."""
+    days, rest = F.floor(us / 86_400_000_000).cast("int"), F.pmod(us, F.lit(86_400_000_000))
+    midnight = F.date_add(F.lit("1970-01-01").cast("date"), days).cast("timestamp_ntz")
+    return midnight + F.make_dt_interval(secs=(rest.cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)"))
 
 
 def properties(df: DataFrame) -> DataFrame:
@@ -119,7 +141,7 @@ def properties(df: DataFrame) -> DataFrame:
     """
     gap = seconds() - F.lag(seconds()).over(along())
     months = F.year("ts") * 12 + F.month("ts")
-    rows = df.select("series_id", "ts", "value", gap.alias("gap"), (months - F.lag(months).over(along())).alias("step"), F.expr("ts = date_trunc('DAY', ts)").alias("midnight"))
+    rows = df.select("series_id", "ts", "value", gap.alias("gap"), (months - F.lag(months).over(along())).alias("step"), (F.pmod(micros(), F.lit(86_400_000_000)) == 0).alias("midnight"))
     stats = rows.groupBy("series_id").agg(
         F.count("*").alias("n"),
         F.min("ts").alias("start_ts"),
@@ -142,7 +164,7 @@ def properties(df: DataFrame) -> DataFrame:
     ladder = F.coalesce(*[F.when(F.abs(F.col("mid") - s) / s < 0.10, F.lit(a)) for a, s in GAP_SECONDS.items()])
     freq = F.when(F.col("n") >= 3, F.coalesce(calendar, ending, F.when(even, times), F.when(F.col("business"), "B"), ladder))
     return stats.select(
-        "series_id", "n", "start_ts", "end_ts", F.expr("unix_micros(cast(end_ts as timestamp)) - unix_micros(cast(start_ts as timestamp))").alias("duration_us"),
+        "series_id", "n", "start_ts", "end_ts", (micros("end_ts") - micros("start_ts")).alias("duration_us"),
         (F.col("n_nan") > 0).alias("has_nan"), "n_nan", ((F.col("n") < 2) | even).alias("is_regular"), freq.alias("freq"),
     )
 

@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pytest
 
+from seriesloom.functions import kernels
 from seriesloom.functions import kernels as k
 from seriesloom.functions import special as s
 
@@ -103,3 +104,60 @@ def test_stl_parts_sum_and_find_the_season():
     trend, seasonal, rest = k.stl_like(y, 12)
     assert np.allclose(trend + seasonal + rest, y)
     assert abs(seasonal[:12].sum()) < 1e-9 and seasonal.max() > 6
+
+
+def test_loess_against_weighted_fits_one_by_one():
+    rng = np.random.default_rng(5)
+    for n, width, degree in ((30, 7, 1), (30, 7, 0), (12, 25, 1), (5, 7, 1), (40, 39, 1)):
+        y, extra = rng.normal(size=n), rng.random(n) + 0.1
+        for at in (*range(n), -1, n):
+            some = min(width, n)
+            begin = min(max(at - some // 2, 0), n - some)
+            t = np.arange(begin, begin + some)
+            reach = max(at - begin, begin + some - 1 - at) + max(0, width - n) // 2
+            w = np.where(np.abs(t - at) <= 0.999 * reach, (1 - (np.abs(t - at) / reach) ** 3) ** 3, 0) * extra[t]
+            want = np.polyval(np.polyfit(t, y[t], degree, w=np.sqrt(w)), at)
+            assert np.isclose(kernels.loess(y, width, degree, np.array([float(at)]), extra)[0], want)
+
+
+def test_stl_of_an_exact_season_and_line():
+    t = np.arange(96)
+    season = np.tile(np.array([3.0, -1, 0, 2, -4, 0, 1, -1]), 12)
+    for robust in (False, True):
+        trend, seasonal, rest = kernels.stl(2 + 0.5 * t + season, 8, robust)
+        assert np.abs(rest).max() < 0.05 and np.abs(seasonal - season).max() < 0.1 and np.abs(trend - 2 - 0.5 * t).max() < 0.1
+
+
+def test_spline_against_a_dense_solve():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=60).cumsum()
+    x[rng.choice(np.arange(1, 59), 25, replace=False)] = np.nan
+    at = np.flatnonzero(x == x)
+    n, h = len(at), np.diff(at).astype(float)
+    slope = np.diff(x[at]) / h
+    a, b = np.zeros((n, n)), np.zeros(n)
+    for i in range(1, n - 1):
+        a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
+        b[i] = 6 * (slope[i] - slope[i - 1])
+    a[0, :3] = h[1], -(h[0] + h[1]), h[0]
+    a[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
+    m = np.linalg.solve(a, b)
+    got = kernels.cubic_fill(x)
+    for j in np.flatnonzero(x != x):
+        k = np.searchsorted(at, j) - 1
+        t = j - at[k]
+        want = x[at[k]] + t * (slope[k] - h[k] * (2 * m[k] + m[k + 1]) / 6) + t**2 * m[k] / 2 + t**3 * (m[k + 1] - m[k]) / (6 * h[k])
+        assert np.isclose(got[j], want)
+
+
+def test_long_series_take_seconds():
+    import time
+
+    x = np.random.default_rng(2).normal(size=100_000).cumsum()
+    x[1::3] = np.nan
+    begun = time.perf_counter()
+    assert not np.isnan(kernels.cubic_fill(x)[:-1]).any()
+    assert kernels.anchored_runs(x, 0.5)[-1] > 1000
+    assert time.perf_counter() - begun < 10
+    four = np.array([0.0, np.nan, 8, np.nan, 64, np.nan, 216])
+    assert np.allclose(kernels.cubic_fill(four), np.arange(7.0) ** 3)

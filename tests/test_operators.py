@@ -46,7 +46,8 @@ def test_query_equals_its_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_query_without_sql_runs(spark, name):
-    assert catalog.queries()[name](spark, SF).columns
+    got = catalog.queries()[name](spark, SF).toPandas()
+    assert len(got) > 0 and (got["series_id"].notna()).all()
 
 
 def test_entry(spark):
@@ -208,3 +209,139 @@ def test_rest_does_not_import_the_llm_part():
             for n in names:
                 if n.endswith(".py"):
                     assert "seriesloom.llm" not in open(f"{d}/{n}").read()
+
+
+@pytest.mark.parametrize("freq", ["s", "15min", "T", "2h", "H", "7h", "D", "3D", "B", "2B", "W", "W-MON", "W-WED", "2W", "MS", "M", "ME", "2ME", "QS", "Q", "QE-NOV", "QS-FEB", "2QS", "YS", "Y", "A", "YE-JUN", "YS-APR"])
+@pytest.mark.parametrize("how", ["mean", "count"])
+def test_resampling_as_pandas_does(spark, freq, how):
+    if freq == "s" and how == "count":
+        freq = "30s"
+    rng = np.random.default_rng(len(freq))
+    far = 3 if freq[-1] in "sT" or "min" in freq else 900
+    at = pd.Timestamp("2021-03-10 05:17:31.5") + pd.to_timedelta(np.sort(rng.choice(far * 86400, 300, replace=False)), unit="s")
+    x = rng.normal(size=300)
+    df = frame.from_arrays(spark, x, [t.to_pydatetime() for t in at])
+    alias = {"T": "min", "H": "h", "M": "ME", "Q": "QE", "Y": "YE", "A": "YE"}.get(freq, freq)
+    want = getattr(pd.Series(x, at).resample(alias), how)().dropna()
+    got = transforms.resample(df, freq, how).orderBy("ts").collect()
+    assert [r.ts for r in got] == [t.to_pydatetime() for t in want.index]
+    assert np.allclose([r.value for r in got], want.to_numpy())
+
+
+def test_bad_frequency_and_aggregate(spark):
+    df = series(spark, [1.0, 2.0])
+    for bad in ("NOTFREQ", "0h", "W-XXX", "QS-MON", "", "MX"):
+        with pytest.raises(ValueError):
+            transforms.resample(df, bad)
+    with pytest.raises(AttributeError):
+        transforms.resample(df, "W", "bad_agg")
+
+
+def test_stray_time_makes_no_giant_row(spark):
+    df = frame.from_arrays(spark, [1.0, 2.0], [START, START + dt.timedelta(days=2)])
+    assert transforms.spine(df, "1 second").count() == 2 * 86400 + 1
+    assert quality.index_gaps(df, "1 second").count() == 2 * 86400 - 1
+    assert transforms.resample(df, "s", "sum").count() == 2 * 86400 + 1
+
+
+@pytest.mark.parametrize("start,end,want", [("2020-04", "2020-04", 30), ("2020", "2020", 366), ("2020-04-01", "2020-04-01", 1), (None, "2020-01", 31), ("2020-12", None, 31), (dt.datetime(2020, 1, 2), dt.datetime(2020, 1, 3), 2)])
+def test_slices_by_parts_of_a_date(spark, start, end, want):
+    assert transforms.slice_range(series(spark, range(366)), start, end).count() == want
+
+
+def test_slices_by_hour_and_minute(spark):
+    df = series(spark, range(600), dt.timedelta(minutes=1))
+    assert transforms.slice_range(df, "2020-01-01 05", "2020-01-01 05").count() == 60
+    assert transforms.slice_range(df, "2020-01-01 05:10", "2020-01-01T05:12").count() == 3
+    assert transforms.slice_range(df, "2020-01-01 05:10:00", "2020-01-01 05:11:00").count() == 2
+
+
+def test_undefined_series_do_not_disturb_others(spark):
+    from seriesloom.plans import report
+
+    rng = np.random.default_rng(1)
+    good = series(spark, rng.normal(size=120).tolist(), name="good")
+    mixed = good.unionByName(series(spark, [5.0] * 60, name="flat")).unionByName(series(spark, [1.0, 2.0, 3.0, 4.0], name="short")).unionByName(series(spark, [None] * 20, name="none"))
+    rows = {(r.series_id, r.test_name): r for r in stats.stationarity(mixed).collect()}
+    assert len(rows) == 12 and rows["good", "ADF"].is_stationary and rows["good", "ADF"].critical_values
+    assert all(rows[s, t].statistic is None and rows[s, t].critical_values is None and rows[s, t].is_stationary is None for s in ("short", "none") for t in ("ADF", "KPSS", "PP"))
+    assert {r.series_id: r.verdict for r in stats.verdict(mixed).collect()}["good"] == "stationary"
+    alone, among = (forecast.forecastability(d).where("series_id = 'good'").first() for d in (good, mixed))
+    assert alone == among
+    text = report.to_string(mixed, 7)
+    assert "warning" not in text.lower() and "scorecard" in text.lower()
+    with pytest.raises(ValueError):
+        forecast.forecastability(good, 1)
+
+
+@pytest.mark.parametrize("n", [300, 12_000])
+def test_kpss_of_any_length(spark, n):
+    from seriesloom.functions import kernels
+
+    x = np.random.default_rng(n).normal(size=n).cumsum()
+    r = stats.kpss_statistic(series(spark, x.tolist(), dt.timedelta(minutes=1))).first()
+    stat, _, width = kernels.kpss(x)
+    assert r.n_lags == width and r.statistic == pytest.approx(stat)
+
+
+def test_nothing_depends_on_the_time_zone(spark):
+    """A spring night in which New York's clocks skip an hour."""
+    at = [dt.datetime(2021, 3, 13) + i * dt.timedelta(hours=1) for i in range(72)]
+    df = frame.from_arrays(spark, [float(i) if i % 5 else None for i in range(72)], at)
+    found = []
+    for zone in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            found.append([frame.properties(df).collect(), transforms.resample(df, "2h", "sum").orderBy("ts").collect(), quality.interpolate(df).orderBy("ts").collect(), features.temporal(df).orderBy("ts").collect(), transforms.resample(df, "D").orderBy("ts").collect()])
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert found[0] == found[1]
+    assert found[0][0][0].is_regular and found[0][0][0].freq == "h"
+
+
+def test_leakage_correlations_against_numpy(spark):
+    rng = np.random.default_rng(3)
+    y, x = rng.normal(size=60), rng.normal(size=60)
+    wide = series(spark, y.tolist()).toPandas().assign(x=np.where(np.arange(60) % 7 == 0, np.nan, x), flat=1.0)
+    df = spark.createDataFrame(wide).withColumn("x", __import__("pyspark.sql.functions", fromlist=["nanvl"]).expr("nullif(x, double('NaN'))"))
+    got = {(r.feature, r.lag): r.r for r in forecast.lagged_correlations(df, ["x", "flat"], 3).collect()}
+    for k in range(-3, 4):
+        pairs = [(wide.x[i], y[i + k]) for i in range(60) if 0 <= i + k < 60 and wide.x[i] == wide.x[i]]
+        assert got["x", k] == pytest.approx(np.corrcoef(*zip(*pairs))[0, 1])
+        assert got["flat", k] == 0.0
+
+
+def test_one_period_is_tested_as_the_whole_search_finds_it(spark):
+    t = np.arange(150)
+    df = series(spark, (8 * np.sin(2 * np.pi * t / 12) + np.random.default_rng(0).normal(size=150)).tolist())
+    for period in (12, 13):
+        r = structure.test_period(df, period).first()
+        for m, flag in (("periodogram", r.periodogram_detected), ("acf", r.acf_detected)):
+            assert flag == (period in [c.period for c in structure.seasonality(df, m, 20).first().candidates])
+        scores = {c.period: c.score for c in structure.seasonality(df, "combined", 20).first().candidates}
+        assert r.strength == scores.get(period, 0.0)
+
+
+def test_summaries_in_words(spark):
+    t = np.arange(96)
+    df = series(spark, (8 * np.sin(2 * np.pi * t / 12)).tolist())
+    parts = structure.stl(df, 12)
+    text = structure.summary(parts, 12, "stl").first().summary
+    assert "method            : stl" in text and "period            : 12" in text and "strength_seasonal : 1.0000" in text
+    text = structure.seasonality_summary(structure.seasonality(df)).first().summary
+    assert "dominant_period   : 12" in text and "period=12 score=" in text
+
+
+def test_local_regression_decomposition(spark):
+    t = np.arange(120)
+    x = 50 + 0.1 * t + 8 * np.sin(2 * np.pi * t / 12) + np.random.default_rng(0).normal(size=120) / 5
+    x[40] += 30
+    y = x.tolist()
+    y[7] = None
+    parts = structure.stl(series(spark, y), 12).orderBy("ts").toPandas()
+    assert np.isnan(parts.residual[7]) and np.allclose((parts.trend + parts.seasonal + parts.residual).drop(7), np.delete(x, 7))
+    assert parts.residual.abs().idxmax() == 40 and parts.residual[40] > 25  # what is robust leaves an outlier out of the season
+    assert structure.strengths(structure.stl(series(spark, (x - 30 * (t == 40)).tolist()), 12)).first().strength_seasonal > 0.95
+    assert structure.stl(series(spark, y[:20]), 12).count() == 0
+    with pytest.raises(ValueError):
+        structure.stl(series(spark, y), 1)
