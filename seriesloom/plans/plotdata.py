@@ -46,17 +46,27 @@ def boxplots(df: DataFrame, by_column=None) -> DataFrame:
     return out.select("series_id", "box", "n", *[F.col("q")[i].alias(k) for i, k in enumerate(("min", "q25", "median", "q75", "max"))])
 
 
-def density(df: DataFrame, group=None, points: int = 50) -> DataFrame:
-    """Gaussian kernel density on a grid between minimum and maximum, for each
-    series and group, with Scott's bandwidth. The grid, a fixed number of points,
-    is an array beside the values, so no rows are multiplied before they are added."""
-    rows = df.where("value IS NOT NULL").withColumn("box", F.lit(0) if group is None else group)
-    stats = rows.groupBy("series_id", "box").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.stddev_samp("value").alias("s")).where("n >= 2 AND s > 0")
-    rows = rows.join(stats.withColumn("h", F.col("s") * F.pow("n", F.lit(-0.2))), ["series_id", "box"])
-    grid = [F.col("lo") + (F.col("hi") - F.col("lo")) * (i / (points - 1)) for i in range(points)]
-    sums = rows.groupBy("series_id", "box", "n", "h", "lo", "hi").agg(*[F.sum(F.exp(-0.5 * F.pow((g - F.col("value")) / F.col("h"), F.lit(2.0)))).alias(f"g{i}") for i, g in enumerate(grid)])
-    cells = F.posexplode(F.array(*[F.struct(g.alias("x"), (F.col(f"g{i}") / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))).alias("density")) for i, g in enumerate(grid)]))
-    return sums.select("series_id", "box", cells.alias("i", "c")).select("series_id", "box", "i", "c.x", "c.density")
+def density(df: DataFrame, group=None, points: int = 300) -> DataFrame:
+    """Gaussian kernel density with Scott's bandwidth for each series and group of
+    three values or more, on one grid a series between its minimum and maximum. A
+    value meets the grid's points, a fixed number, and is added up where it lies."""
+    rows = df.where("value IS NOT NULL").select("series_id", "value", (F.lit(0) if group is None else group).alias("box"))
+    ends = rows.groupBy("series_id").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    stats = rows.groupBy("series_id", "box").agg(F.count("*").alias("n"), F.stddev_samp("value").alias("s")).where("n >= 3 AND s > 0")
+    stats = stats.withColumn("h", F.col("s") * F.pow("n", F.lit(-0.2))).join(ends, "series_id")
+    cells = rows.join(stats, ["series_id", "box"]).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    x = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / (points - 1)
+    bump = F.exp(-0.5 * F.pow((x - F.col("value")) / F.col("h"), F.lit(2.0)))
+    sums = cells.groupBy("series_id", "box", "i", "n", "h", "lo", "hi").agg(F.sum(bump).alias("sum"))
+    return sums.select("series_id", "box", "i", x.alias("x"), (F.col("sum") / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))).alias("density"))
+
+
+def distribution_curves(df: DataFrame, points: int = 300) -> DataFrame:
+    """Beside the histogram: the kernel density and the normal curve of each series'
+    mean and deviation, on the same grid."""
+    fit = df.where("value IS NOT NULL").groupBy("series_id").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("s")).where("s > 0")
+    normal = F.exp(-0.5 * F.pow((F.col("x") - F.col("mean")) / F.col("s"), F.lit(2.0))) / (F.col("s") * math.sqrt(2 * math.pi))
+    return density(df, None, points).join(fit, "series_id").select("series_id", "i", "x", "density", normal.alias("normal"))
 
 
 def histogram(df: DataFrame, bins: int = 30) -> DataFrame:

@@ -350,9 +350,14 @@ add("plot_month_boxplots", orders, plotdata.boxplots, f"WITH {O} SELECT series_i
 add("plot_annual_boxplots", orders, lambda d: plotdata.boxplots(d, F.year("ts")), f"WITH {O} SELECT series_id, year(ts) AS box, count(*) AS n, round(min(value), 4) AS min, round(quantile_cont(value, 0.25), 4) AS q25, round(median(value), 4) AS median, round(quantile_cont(value, 0.75), 4) AS q75, round(max(value), 4) AS max FROM o GROUP BY 1, 2", 4)
 add(
     "plot_density_ridge", orders, lambda d: plotdata.density(d, F.year("ts")).withColumn("density", F.col("density") * 1e6),
-    f"""WITH {O}, b AS (SELECT series_id, year(ts) AS box, count(*) AS n, min(value) AS lo, max(value) AS hi, stddev_samp(value) * power(count(*), -0.2) AS h FROM o GROUP BY 1, 2), g AS (SELECT *, unnest(range(50)) AS i FROM b), p AS (SELECT *, lo + (hi - lo) * i / 49 AS x FROM g)
+    f"""WITH {O}, m AS (SELECT series_id, min(value) AS lo, max(value) AS hi FROM o GROUP BY 1), b AS (SELECT series_id, year(ts) AS box, count(*) AS n, stddev_samp(value) * power(count(*), -0.2) AS h FROM o GROUP BY 1, 2 HAVING count(*) >= 3), g AS (SELECT b.*, lo, hi, unnest(range(300)) AS i FROM b JOIN m ON b.series_id = m.series_id), p AS (SELECT *, lo + (hi - lo) * i / 299 AS x FROM g)
     SELECT p.series_id, box, i, round(x, 4) + 0.0 AS x, round(1e6 * sum(exp(-0.5 * power((x - value) / h, 2))) / (n * h * sqrt(2 * pi())), 4) + 0.0 AS density FROM p JOIN o ON o.series_id = p.series_id AND year(o.ts) = box GROUP BY p.series_id, box, i, x, n, h""", 4,
 )
+add(
+    "plot_distribution_curves", events, plotdata.distribution_curves,
+    f"""WITH {E}, b AS (SELECT series_id, count(*) AS n, min(value) AS lo, max(value) AS hi, avg(value) AS mu, stddev_pop(value) AS sd, stddev_samp(value) * power(count(*), -0.2) AS h FROM e GROUP BY 1), p AS (SELECT *, lo + (hi - lo) * i / 299 AS x FROM (SELECT *, unnest(range(300)) AS i FROM b))
+    SELECT p.series_id, i, round(x, 6) + 0.0 AS x, round(sum(exp(-0.5 * power((x - value) / h, 2))) / (n * h * sqrt(2 * pi())), 6) + 0.0 AS density, round(any_value(exp(-0.5 * power((x - mu) / sd, 2)) / (sd * sqrt(2 * pi()))), 6) + 0.0 AS normal FROM p JOIN e ON e.series_id = p.series_id GROUP BY p.series_id, i, x, n, h""",
+)
 add("plot_distribution", events, plotdata.histogram, f"WITH {E}, b AS (SELECT *, min(value) OVER {P} AS lo, max(value) OVER {P} AS hi FROM e), c AS (SELECT *, least(29, CAST(floor((value - lo) / (hi - lo) * 30) AS BIGINT)) AS bin FROM b) SELECT series_id, bin, round(lo + (hi - lo) * bin / 30, 6) + 0.0 AS left, count(*) AS n FROM c GROUP BY series_id, lo, hi, bin")
 add("plot_qq", events, plotdata.qq)
 add("plot_rolling_stats", orders, lambda d: plotdata.rolling_stats(d, 30), f"WITH {O} SELECT series_id, {STAMP}, round(value, 4) + 0.0 AS value, CASE WHEN count(value) OVER w = 30 THEN round(avg(value) OVER w, 4) + 0.0 END AS rolling_mean, CASE WHEN count(value) OVER w = 30 THEN round(stddev_samp(value) OVER w, 4) + 0.0 END AS rolling_std FROM o WINDOW w AS (PARTITION BY series_id ORDER BY o.ts ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)", 4)
