@@ -3,13 +3,16 @@
 A word's probability is the sum over all ways to cut it into pieces of an
 existing vocabulary, each way weighted by the product of its pieces' scores; the
 sum is taken by a forward recursion in log space, for many words of one length at
-once. The vocabulary's own order starts the scores, and expectation-maximisation
-over every distinct training word (forward-backward counts, one row a piece from
-each task) fits them. Characters without a piece are spelled by byte pieces.
+once (a word beyond ``LONG_WORD`` characters alone, at 16 bytes a character). The
+vocabulary's own order starts the scores, and expectation-maximisation over every
+distinct training word (forward-backward counts, one row a piece from each task) fits
+them. Characters without a piece are spelled by byte pieces.
 
 A word known from training is one arc more over its whole lattice: counts less a
 discount D, estimated from the words seen once and twice, with the discounted mass
-given to the pieces:  P(w) = max(c - D, 0) / N + (D V / N) P_pieces(w).
+given to the pieces:  P(w) = max(c - D, 0) / N + (D V / N) P_pieces(w). A word's first
+piece starts with a mark that no other has, so the pieces' words sum to 1; ``END`` of
+that is the end's, which is no word.
 
 The counts are a table as large as the corpus asks. The ``FREQUENT`` commonest
 words, a fixed number, are broadcast and settle most tokens in the pass over the
@@ -19,6 +22,7 @@ texts; all other words meet the table in a join, with each text's repeats added
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,6 +37,8 @@ from seriesloom.llm.common import keyed, slices, stored
 
 FREQUENT = 200_000
 ROUNDS = 2
+END = 1e-3
+LONG_WORD = 400
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MARK = "▁"
 
@@ -66,6 +72,7 @@ class Lattice:
             order = rest[np.argsort(keys[rest])]
             self.by_length[n] = (np.array(ids), keys, bits, first, keys[order], order)
         self.longest = max(self.by_length, default=1)
+        self.known = {pieces[i]: i for ids in lengths.values() for i in ids}
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -113,6 +120,42 @@ class Lattice:
     def _spell(self, char: int) -> np.ndarray:
         return self.bytes[list(chr(char).encode("utf-8", "surrogatepass"))]
 
+    def _steps(self, text: str, end: int) -> list[tuple[int, int | None, float]]:
+        """What can end at a place of one text: length, piece or None for a spelled
+        character, log score."""
+        out = []
+        for n in self.by_length:
+            if n <= end and (i := self.known.get(text[end - n : end])) is not None:
+                out.append((n, i, float(self.logp[i])))
+        if text[end - 1] not in self.known:
+            out.append((1, None, float(self.logp[self._spell(ord(text[end - 1]))].sum())))
+        return out
+
+    def _forward(self, text: str) -> array:
+        alpha = array("d", [0.0])
+        for end in range(1, len(text) + 1):
+            ways = [alpha[end - n] + cost for n, _, cost in self._steps(text, end)]
+            top = max(ways, default=-math.inf)
+            alpha.append(top + math.log(sum(math.exp(w - top) for w in ways)) if top > -math.inf else top)
+        return alpha
+
+    def _expected_alone(self, word: str, counts: np.ndarray) -> None:
+        text = _MARK + word
+        alpha = self._forward(text)
+        if alpha[-1] == -math.inf:
+            return
+        beta = array("d", [-math.inf]) * (len(text) + 1)
+        beta[-1] = 0.0
+        for end in range(len(text), 0, -1):
+            for n, i, cost in self._steps(text, end):
+                low, high = sorted((beta[end - n], beta[end] + cost))
+                beta[end - n] = high + math.log1p(math.exp(low - high)) if low > -math.inf else high
+                use = math.exp(alpha[end - n] + cost + beta[end] - alpha[-1])
+                if i is not None:
+                    counts[i] += use
+                else:
+                    np.add.at(counts, self._spell(ord(text[end - 1])), use)
+
     def _grouped(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Words of one length at a time: their numbers and code points."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -130,7 +173,11 @@ class Lattice:
     def log_marginals(self, words: list[str]) -> np.ndarray:
         """Natural log of each word's probability, all segmentations summed."""
         out = np.zeros(len(words))
-        for some, codes in self._grouped(words):
+        for i in [i for i, w in enumerate(words) if len(w) > LONG_WORD]:
+            out[i] = self._forward(_MARK + words[i])[-1]
+        short = [i for i, w in enumerate(words) if len(w) <= LONG_WORD]
+        for some, codes in self._grouped([words[i] for i in short]):
+            some = np.array(short)[some]
             alpha = np.full((codes.shape[1] + 1, len(some)), -np.inf)
             alpha[0] = 0
             for end, n, rows, _, cost in self._arcs(codes):
@@ -141,7 +188,10 @@ class Lattice:
     def expected(self, words: list[str]) -> np.ndarray:
         """Expected uses of each piece over the words' segmentations."""
         counts = np.zeros(len(self.logp))
-        for _, codes in self._grouped(words):
+        for word in words:
+            if len(word) > LONG_WORD:
+                self._expected_alone(word, counts)
+        for _, codes in self._grouped([w for w in words if len(w) <= LONG_WORD]):
             size = codes.shape[1]
             arcs = list(self._arcs(codes))
             alpha, beta = np.full((size + 1, len(codes)), -np.inf), np.full((size + 1, len(codes)), -np.inf)
@@ -218,6 +268,10 @@ class Model:
     def lattice(self) -> Lattice:
         return Lattice(*_piece_names(self.model_file), self.logp)
 
+    def spelled(self, lattice: Lattice, words: list[str]) -> np.ndarray:
+        """Natural log of what the pieces give to each word."""
+        return lattice.log_marginals(words) + math.log1p(-END)
+
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.1) / (self.tokens + 0.1 * (self.types + 1)))
 
@@ -233,7 +287,7 @@ class Model:
     def end(self) -> tuple[float, float]:
         """Base and mixed score of the end of a text."""
         c = np.array([float(self.n_docs)])
-        return float(self.base(c)[0]), float(self.mixed(c, np.array([math.log(1e-3)]))[0])
+        return float(self.base(c)[0]), float(self.mixed(c, np.array([math.log(END)]))[0])
 
 
 def train(docs: DataFrame, model_file: str, text_col: str = "text", rounds: int = ROUNDS) -> Model:
@@ -278,18 +332,21 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     vocabulary's order alone.
     """
     spark = docs.sparkSession
-    # A level of counts, a few hundred rows, above which there are at most ``frequent`` words.
-    level = F.floor(16 * F.log2("c"))
-    least, room = None, frequent
-    for r in sorted(model.counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
+    # A level of counts, a few hundred rows, above which there are at most ``frequent``
+    # words of a bounded length; of the level that overflows, the share that fits.
+    level, rows = F.floor(16 * F.log2("c")), model.counts.where(F.octet_length("word") <= 64)
+    keep, room = F.lit(False), frequent
+    for r in sorted(rows.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
+        fits = min(1.0, max(0, room) / r["count"])
+        part = F.xxhash64("word").bitwiseAND(F.lit((1 << 40) - 1)) < int(0.99 * fits * (1 << 40))
+        keep = keep | ((level == r["level"]) if fits == 1.0 else (level == r["level"]) & part)
         room -= r["count"]
-        if room < 0:
+        if room <= 0:
             break
-        least = r["level"]
-    top = [] if least is None else sorted(model.counts.where(level >= least).collect(), key=lambda r: (-r.c, r.word))
+    top = sorted(rows.where(keep).collect(), key=lambda r: (-r.c, r.word))
     words = [bytes(r.word) for r in top]
     c = np.array([r.c for r in top], float)
-    mixed = model.mixed(c, model.lattice().log_marginals([w.decode() for w in words])) if words else np.zeros(0)
+    mixed = model.mixed(c, model.spelled(model.lattice(), [w.decode() for w in words])) if words else np.zeros(0)
     table = spark.sparkContext.broadcast((words, model.base(c), mixed))
     plain = Model(None, model.n_docs, model.tokens, model.types, model.discount, model.logp, model.model_file)
     numbers = spark.sparkContext.broadcast(plain)
@@ -327,7 +384,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in slices(batches, 20_000):
             found, back = np.unique(np.array(batch.column(1).to_pylist(), dtype=object), return_inverse=True)
             times, c = (np.nan_to_num(batch.column(i).to_numpy(zero_copy_only=False).astype(float)) for i in (2, 3))
-            log_pieces = lattice.log_marginals([w.decode() for w in found])[back]
+            log_pieces = model.spelled(lattice, [w.decode() for w in found])[back]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.nulls(len(c), pa.int64()), pa.array((times * (c > 0)).astype(np.int64)), pa.array(times * model.base(c)), pa.array(times * model.mixed(c, log_pieces))], names=["rid", "n_tokens", "n_known", "base_score", "score"])
 
     sums = f"rid {kind}, n_tokens long, n_known long, base_score double, score double"

@@ -74,7 +74,7 @@ def test_counts_and_sums(spark, frequent):
         ws = lmscore.words_of(t)
         base = sum(math.log10((c_of(w) + 0.1) / (n + 0.1 * (v + 1))) for w in ws) + end[0]
         logs = lattice.log_marginals([w.decode() for w in ws]) if ws else []
-        mix = sum(math.log10(max(c_of(w) - model.discount, 0) / n + share * math.exp(x)) for w, x in zip(ws, logs, strict=True)) + end[1]
+        mix = sum(math.log10(max(c_of(w) - model.discount, 0) / n + share * (1 - lmscore.END) * math.exp(x)) for w, x in zip(ws, logs, strict=True)) + end[1]
         want.append((d, len(ws) + 1, sum(c_of(w) > 0 for w in ws) + 1, round(base, 4), round(mix, 4)))
     got = [(r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 4), round(r.score, 4)) for r in lmscore.score(df, model, frequent=frequent).collect()]
     key = lambda r: (str(r[0]), r[1:])
@@ -89,3 +89,54 @@ def test_nothing_to_learn_from_and_no_rows(spark):
     r = lmscore.score(df, model).first()
     assert r.n_tokens == 3 and r.n_known == 0 and math.isfinite(r.score)
     assert lmscore.score(none, model).count() == 0
+
+
+@pytest.mark.parametrize("word", ["ab" * 300, "abé" * 150, "b" * 401])
+def test_long_words_alone_as_in_groups(word, monkeypatch):
+    _, lattice, p = toy()
+    alone, uses = lattice.log_marginals([word, "a"]), lattice.expected([word, "ab"])
+    monkeypatch.setattr(lmscore, "LONG_WORD", 10**9)
+    assert np.allclose(alone, lattice.log_marginals([word, "a"])) and np.allclose(uses, lattice.expected([word, "ab"]))
+
+
+def test_a_very_long_word_takes_seconds():
+    import time
+
+    _, lattice, _ = toy()
+    begun = time.perf_counter()
+    assert np.isfinite(lattice.log_marginals(["ab" * 100_000])).all() and np.isfinite(lattice.expected(["ba" * 50_000])).all()
+    assert time.perf_counter() - begun < 20
+
+
+def test_probabilities_sum_to_no_more_than_one():
+    """Over all words of two letters up to a length, the end included."""
+    from itertools import product
+
+    pieces = [f"<0x{b:02X}>" for b in range(256)] + ["▁", "▁a", "a", "b", "ab", "▁ab"]
+    p = np.array([0.0] * 256 + [0.1, 0.1, 0.05, 0.05, 0.05, 0.1])
+    with np.errstate(divide="ignore"):
+        lattice = Lattice(pieces, {b: b for b in range(256)}, np.log(p / p.sum()))
+    words = ["".join(w) for n in range(0, 11) for w in product("ab", repeat=n)]
+    counts = {"a": 5, "ab": 2, "bb": 1}
+    model = lmscore.Model(None, 4, sum(counts.values()) + 4, len(counts) + 1, 0.5, lattice.logp, FILE)
+    logs = model.spelled(lattice, words)
+    assert 0.9 < np.exp(logs).sum() <= 1 - lmscore.END + 1e-9
+    total = (10 ** model.mixed(np.array([float(counts.get(w, 0)) for w in words]), logs)).sum() + 10 ** model.end()[1]
+    assert 0.95 < total <= 1 + 1e-9
+
+
+def test_held_out_words_are_likelier_than_by_plain_counts_with_spelling(spark):
+    """A token of held-out text against the plain counts' share of unseen words spread
+    over the bytes of each: what a base that spelled them would give."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model = lmscore.train(df.where("doc_id % 10 != 0"), FILE)
+    held = df.where("doc_id % 10 = 0")
+    seen = {bytes(r.word): r.c for r in model.counts.collect()}
+    spelled = tokens = 0.0
+    for r in held.collect():
+        for w in lmscore.words_of(r.text):
+            spelled += 0.0 if w in seen else (len(w) + 1) * math.log10(1 / 257)
+            tokens += 1
+    sums = lmscore.score(held, model).agg({"score": "sum", "base_score": "sum", "n_tokens": "sum"}).first()
+    assert sums["sum(score)"] > sums["sum(base_score)"] + spelled
+    assert sums["sum(score)"] / sums["sum(n_tokens)"] > -6
