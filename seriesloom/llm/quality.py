@@ -25,6 +25,8 @@ from seriesloom.llm.common import slices
 
 #: Labelled documents of either label that the field is trained on, about.
 PER_LABEL = 1500
+#: Characters of a document in that sample at most; all are scored.
+LONGEST = 1_000_000
 THRESHOLD = 0.3
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
@@ -189,17 +191,29 @@ def fit(texts: list[str | None], labels: np.ndarray, penalty: float = 1e-3, roun
     return field
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Field:
-    """Train on labelled rows of ``docs``, about ``per_label`` of either label."""
-    marks = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropDuplicates(["doc_id"])
+def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", longest: int = LONGEST) -> Field:
+    """Train on labelled rows of ``docs``, about ``per_label`` of either label and of
+    at most ``longest`` characters, in one task; about a hundred numbers come back.
+    A doc_id with both labels counts as 0."""
+    marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("doc_id")).agg(F.min(F.col(label_col)).cast("int").alias("label"))
     counts = {r[0]: r[1] for r in marks.groupBy("label").count().collect()}  # two numbers
     draw = F.xxhash64(F.lit("sample"), F.col("doc_id")).bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)
     rate = F.when(F.col("label") == 1, min(1.0, per_label / counts.get(1, 1))).otherwise(min(1.0, per_label / counts.get(0, 1)))
     marks = marks.withColumn("draw", draw).where(F.col("draw") < rate)
-    # Bounded by per_label, twice.
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(marks), "doc_id").select("draw", "label", "text").collect()
-    rows = sorted(rows, key=lambda r: (r.draw, r.text or ""))
-    field = fit([r.text for r in rows], np.array([r.label for r in rows], int))
+    # The marks are bounded by per_label, twice.
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(marks), "doc_id").where(F.coalesce(F.char_length("text"), F.lit(0)) <= longest)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, known = [], []
+        for batch in batches:
+            texts += batch.column(0).to_pylist()
+            known += batch.column(1).to_pylist()
+        field = fit(texts, np.array(known, int))
+        yield pa.RecordBatch.from_arrays([pa.array([field.weights.tolist()]), pa.array([field.pair.ravel().tolist()]), pa.array([field.slope]), pa.array([field.shift])], names=["weights", "pair", "slope", "shift"])
+
+    one = rows.repartition(1).sortWithinPartitions("draw", F.coalesce("text", F.lit(""))).select("text", "label")
+    found = one.mapInArrow(learn, "weights array<double>, pair array<double>, slope double, shift double").collect()
+    field = Field(np.array(found[0].weights), np.array(found[0].pair).reshape(2, 2), found[0].slope, found[0].shift) if found else fit([], np.zeros(0, int))
     # The sample holds both labels alike; the shift brings back their true shares.
     if len(counts) == 2:
         share = min(1.0, per_label / counts[1]) / min(1.0, per_label / counts[0])

@@ -70,3 +70,41 @@ def test_held_out_accuracy(spark):
     held = [r for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
     assert all(got[r.doc_id].held_out for r in held)
     assert sum(got[r.doc_id].predicted == r.quality for r in held) >= 0.95 * len(held)
+
+
+def test_scores_equal_a_plain_computation(spark):
+    """Line features, enumeration of all labellings, weights by length, logistic map."""
+    good, bad = texts(40)
+    field = quality.fit(good + bad, np.array([1] * 40 + [0] * 40))
+    rng = random.Random(5)
+    pool = [*good[:5], *bad[:5], "", "a\n\nB!! B!!\nx y z.", "one line", "UPPER\nlower case here.\n\n12 12 12"]
+    rows = [(i, "\n".join(rng.choice(pool).split("\n")[: rng.randint(1, 3)] + rng.choice(pool).split("\n")[:2])) for i in range(12)] + [(20, None), (20, "")]
+    got = sorted(((r.doc_id, r.text or "", r.score) for r in quality.score(spark.createDataFrame(rows, "doc_id long, text string"), field).collect()), key=str)
+    want = []
+    for d, t in rows:
+        own, sizes = quality.line_features(t)
+        lines = (t or "").encode().split(b"\n")
+        assert sizes.tolist() == [len(x) + 1 for x in lines]
+        n, width = len(lines), quality.OWN
+        unary = []
+        for i in range(n):
+            x = [*own[i], *(own[i - 1] if i else [0.0] * width), *(own[i + 1] if i + 1 < n else [0.0] * width), float(i == 0), float(i == n - 1), 1.0]
+            unary.append(float(np.dot(x, field.weights)))
+        total, node = 0.0, np.zeros(n)
+        for y in itertools.product((0, 1), repeat=n):
+            w = np.exp(sum(unary[i] for i in range(n) if y[i]) + sum(field.pair[a, b] for a, b in zip(y, y[1:], strict=False)))
+            total += w
+            node += w * np.array(y)
+        p = min(max(float((node / total * sizes).sum() / sizes.sum()), 1e-6), 1 - 1e-6)
+        want.append((d, t or "", 1 / (1 + np.exp(-(field.slope * np.log(p / (1 - p)) + field.shift)))))
+    for a, b in zip(got, sorted(want, key=str), strict=True):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-9
+
+
+def test_labels_that_disagree_and_long_documents(spark):
+    good, bad = texts(30)
+    docs = spark.createDataFrame(list(enumerate(good + bad)) + [(90, "x" * 5000)], "doc_id long, text string")
+    marks = [(i, int(i < 30)) for i in range(60)] + [(90, 1)]
+    first = quality.train(docs, spark.createDataFrame(marks + [(3, 0)], "doc_id long, quality int"), longest=4000)
+    again = quality.train(docs, spark.createDataFrame([(3, 0)] + [m for m in marks if m[0] not in (3, 90)], "doc_id long, quality int"))
+    assert np.allclose(first.weights, again.weights) and np.allclose(first.pair, again.pair)
