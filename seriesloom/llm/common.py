@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder, as in local tests.
@@ -29,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = LOCAL_CHECKPOINTS
         if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
             spark.sparkContext.setCheckpointDir(found)
@@ -63,15 +65,18 @@ def dropped(df: DataFrame) -> None:
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = "__key") -> DataFrame:
     """``docs`` with a column ``key`` that tells all rows apart and orders them.
 
-    It is the id itself where no id repeats or is null; else the id and a number
-    among the rows of one id, in the order of their texts, null first.
+    It is the id itself where no id repeats or is null; else the id and the row's
+    number in the order of ids, texts and null first, which a sort by ranges of all
+    three gives, so that many rows of one id or of none are no single task's.
     """
     ids = docs.select(F.col(id_col).alias("i"))
     if ids.groupBy("i").count().where("count > 1 OR i IS NULL").isEmpty():
         return docs.withColumn(key, F.col(id_col))
-    order = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_first())
-    docs = stored(docs.withColumn("__no", F.row_number().over(order)), "numbered")
-    return docs.withColumn(key, F.struct(F.col(id_col), F.col("__no"))).drop("__no")
+    order = [F.col(id_col).asc_nulls_first(), F.col(text_col).asc_nulls_first(), F.col("__tie")]
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    rows = stored(rows.drop("__tie").withColumn("__no", F.monotonically_increasing_id()), "numbered")
+    return rows.withColumn(key, F.struct(F.col(id_col), F.col("__no"))).drop("__no")
 
 
 def ascii_lower(text: Column) -> Column:

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.llm.common import fold, table
 
 
+def folded(modulus: int, rest: int) -> Column:
+    """Whether the id's remainder is ``rest``; a null id has none."""
+    return F.coalesce(fold(F.col("doc_id"), modulus) == rest, F.lit(False))
+
+
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What repeats of 200 bytes and more take from each document."""
     from seriesloom.llm.suffixdedup import remove_repeats
@@ -39,7 +44,7 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seriesloom.llm import lmscore
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = F.coalesce(fold(F.col("doc_id"), 10) == 0, F.lit(False))
+    held_out = folded(10, 0)
     model = lmscore.train(docs.where(~held_out), public_tokenizers.path("piece_bpe_32k.model"))
     found = lmscore.score(docs, model)
     return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
@@ -59,7 +64,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seriesloom.llm import quality
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = fold(F.col("doc_id"), 5) == 0
+    held_out = folded(5, 0)
     field = quality.train(docs.where(~held_out), table(spark, sf_dir, "labels").where(~held_out))
     found = quality.score(docs.select("doc_id", held_out.alias("held_out"), "text"), field)
     return found.select("doc_id", "held_out", "score", F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0).alias("predicted"))
@@ -70,7 +75,7 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seriesloom.llm import langid
 
     docs = table(spark, sf_dir, "documents")
-    held_out = fold(F.col("doc_id"), 4) == 2
+    held_out = folded(4, 2)
     model = langid.train(docs.where(~held_out).select("doc_id", "text", "lang"))
     return langid.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
 
