@@ -9,38 +9,50 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions import kernels
 from seriesloom.operators.quality import bounds
-from seriesloom.operators.stats import autocorrelation, stationarity
-from seriesloom.operators.structure import seasonality
+from seriesloom.operators.stats import autocorrelation, tested
+from seriesloom.operators.structure import find_periods
 from seriesloom.sources.frame import along, properties, seconds
 
 # Weights of the sub-scores.
 WEIGHTS = {"data_quality": 0.20, "stationarity": 0.15, "signal_to_noise": 0.20, "autocorrelation": 0.15, "sample_size": 0.15, "regularity": 0.15}
 
 
-def signal_strength(df: DataFrame) -> DataFrame:
-    """Strength of trend and season of each series for its own ``period``."""
+def _strengths(x: np.ndarray, period: int) -> tuple[float, float]:
+    n = len(x)
+    spread = lambda y: max(float(np.var(y)), 1e-15)
+    if n >= 2 * period:
+        trend = kernels.smooth(x, kernels.trend_window(n, 2 * period + 1))
+        season = kernels.phase_means(x - trend, period)[np.arange(n) % period]
+        rest = np.var(x - trend - season)
+        t, s = 1 - rest / spread(x - season), 1 - rest / spread(x - trend)
+    else:
+        t, s = 1 - np.var(np.diff(x)) / spread(x), 0.0
+    return float(np.clip(t, 0, 1)), float(np.clip(s, 0, 1))
+
+
+def signals(df: DataFrame, period: int | None = None, alpha: float = 0.05) -> DataFrame:
+    """``(series_id, adf, kpss, found, strength_trend, strength_seasonal)``: what only
+    Python can tell of a series, in one pass: whether the tests call it stationary
+    (null where undefined), its period, and the strengths of trend and season for that
+    period, or for twelve."""
 
     def run(pdf):
         x = pdf.sort_values("ts")["value"].dropna().to_numpy(dtype=float)
-        period, n = int(pdf["period"].iloc[0]), len(x)
-        spread = lambda y: max(float(np.var(y)), 1e-15)
-        if n >= 2 * period:
-            trend = kernels.smooth(x, kernels.trend_window(n, 2 * period + 1))
-            season = kernels.phase_means(x - trend, period)[np.arange(n) % period]
-            rest = np.var(x - trend - season)
-            t, s = 1 - rest / spread(x - season), 1 - rest / spread(x - trend)
-        else:
-            t, s = 1 - np.var(np.diff(x)) / spread(x), 0.0
-        return pd.DataFrame({"series_id": [pdf["series_id"].iloc[0]], "strength_trend": [float(np.clip(t, 0, 1))], "strength_seasonal": [float(np.clip(s, 0, 1))]})
+        adf, kpss = (tested(name, x, "c", alpha).get("is_stationary") for name in ("ADF", "KPSS"))
+        found = period or (find_periods(x, alpha=alpha)["period"] if len(x) >= 8 else None)
+        trend, season = _strengths(x, found or 12) if len(x) else (None, None)
+        row = [[pdf["series_id"].iloc[0], adf, kpss, found, trend, season]]
+        out = pd.DataFrame(row, columns=["series_id", "adf", "kpss", "found", "strength_trend", "strength_seasonal"])
+        return out.astype({"adf": "boolean", "kpss": "boolean", "found": "Int64", "strength_trend": float, "strength_seasonal": float})
 
-    return df.select("series_id", "ts", "value", "period").groupBy("series_id").applyInPandas(run, "series_id string, strength_trend double, strength_seasonal double")
+    return df.select("series_id", "ts", "value").groupBy("series_id").applyInPandas(run, "series_id string, adf boolean, kpss boolean, found long, strength_trend double, strength_seasonal double")
 
 
 def forecastability(df: DataFrame, period: int | None = None, alpha: float = 0.05) -> DataFrame:
     """One row a series: score from 0 to 100, sub-scores and a kind of model.
 
     Summaries of one row a series are joined; only tests, spectra and smoothers
-    run in Python. Series below four rows give no row.
+    run in Python, in one pass. Series below four rows give no row.
     """
     if period is not None and period < 2:
         raise ValueError(f"period is 2 or more, not {period}")
@@ -48,17 +60,13 @@ def forecastability(df: DataFrame, period: int | None = None, alpha: float = 0.0
     fence = bounds(df)
     out = df.join(fence, "series_id").groupBy("series_id").agg(F.count_if((F.col("value") < F.col("lower_bound")) | (F.col("value") > F.col("upper_bound"))).alias("n_out"))
     gaps = df.select("series_id", (seconds() - F.lag(seconds()).over(along())).alias("gap")).groupBy("series_id").agg((F.max("gap") > 3 * F.median("gap")).alias("large_gap"))
-    tests = stationarity(df, ("ADF", "KPSS"), "c", alpha).groupBy("series_id").agg(
-        F.coalesce(F.max(F.when(F.col("test_name") == "ADF", F.col("is_stationary"))), F.lit(True)).alias("adf"), F.coalesce(F.max(F.when(F.col("test_name") == "KPSS", F.col("is_stationary"))), F.lit(True)).alias("kpss")
-    )
     found = F.col("found")
-    periods = seasonality(df, alpha=alpha).select("series_id", F.col("dominant_period").alias("found")) if period is None else base.select("series_id", F.lit(period).cast("long").alias("found"))
+    told = signals(df, period, alpha).withColumn("adf", F.coalesce("adf", F.lit(True))).withColumn("kpss", F.coalesce("kpss", F.lit(True)))
     acf = autocorrelation(df, 40, alpha).where((F.col("lag") > 0) & (F.col("lag") <= F.col("n") / 2 - 1) & (F.abs("acf") > F.col("conf_upper"))).groupBy("series_id").agg(F.max(F.abs("acf")).alias("top_acf"))
     all_ = base
-    for part in (out, gaps, tests, periods, acf):
+    for part in (out, gaps, told, acf):
         all_ = all_.join(part, "series_id", "left")
     all_ = all_.withColumn("period", F.coalesce(found, F.lit(12)))
-    all_ = all_.join(signal_strength(df.join(all_.select("series_id", "period"), "series_id")), "series_id", "left")
     cut = lambda c: F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), c)), 2)
     pct_nan = 100.0 * (F.col("n") - F.col("n_clean")) / F.col("n")
     pct_out = 100.0 * F.coalesce(F.try_divide("n_out", "n_clean"), F.lit(0.0))

@@ -131,23 +131,24 @@ def _summary(name: str, stat: float, p: float, lags: int, regression: str, alpha
 _TESTS = {"ADF": kernels.adf, "KPSS": kernels.kpss, "PP": kernels.phillips_perron}
 
 
+def tested(name: str, x: np.ndarray, regression: str = "c", alpha: float = 0.05) -> dict:
+    """One test of one series without missing values; empty where it is undefined."""
+    try:
+        if len(x) < 10:
+            return {}
+        stat, p, lags = _TESTS[name](x, regression)
+    except (ValueError, ZeroDivisionError, FloatingPointError):
+        return {}
+    return {} if math.isnan(stat) else _summary(name, stat, p, lags, regression, alpha)
+
+
 def stationarity(df: DataFrame, tests: tuple[str, ...] = ("ADF", "KPSS", "PP"), regression: str = "c", alpha: float = 0.05) -> DataFrame:
     """One row for each series and test. Fewer than ten values, or a test that is
     undefined, give a row with null statistics and is_stationary null."""
 
     def run(pdf):
         x = pdf.sort_values("ts")["value"].dropna().to_numpy(dtype=float)
-        rows = []
-        for name in tests:
-            try:
-                if len(x) < 10:
-                    raise ValueError("too few observations")
-                stat, p, lags = _TESTS[name](x, regression)
-                if math.isnan(stat):
-                    raise ValueError("no spread")
-                rows.append(_summary(name, stat, p, lags, regression, alpha))
-            except (ValueError, ZeroDivisionError, FloatingPointError):
-                rows.append({"test_name": name, "regression": regression})
+        rows = [{"test_name": name, "regression": regression} | tested(name, x, regression, alpha) for name in tests]
         columns = ["test_name", "statistic", "p_value", "critical_values", "n_lags", "regression", "is_stationary"]
         # Objects, so that what a test leaves undefined is None in every column.
         out = pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in columns})
