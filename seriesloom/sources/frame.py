@@ -37,19 +37,37 @@ def from_table(df: DataFrame, time_col: str, value_col: str, key_cols: Sequence[
     return df.select(key.alias("series_id"), F.col(time_col).cast("timestamp_ntz").alias("ts"), F.when(~F.isnan(value), value).alias("value"))
 
 
-def from_arrays(spark: SparkSession, values: Iterable[float], index: Iterable, name: str = "value") -> DataFrame:
+def from_arrays(spark: SparkSession, values: Iterable[float], index: Iterable, name: str = "value", freq: str | None = None, unit: str | None = None) -> DataFrame:
+    """Values and their times as one series. A frequency, if given, must be one that
+    is known; it and the unit stay with the times (``declared``)."""
     values, index = list(values), list(index)
     if len(values) != len(index):
         raise ValueError(f"{len(values)} values and {len(index)} times")
     if not values:
         raise ValueError("a series needs an observation")
     rows = [(name, t, None if v is None or v != v else float(v)) for t, v in zip(index, values, strict=True)]
-    return spark.createDataFrame(rows, "series_id string, ts timestamp_ntz, value double")
+    return declare(spark.createDataFrame(rows, "series_id string, ts timestamp_ntz, value double"), freq, unit)
 
 
-def from_pandas(spark: SparkSession, series, name: str | None = None) -> DataFrame:
-    """A pandas Series with a time index."""
-    return from_arrays(spark, series.tolist(), [t.to_pydatetime() for t in series.index], name or series.name or "value")
+def from_pandas(spark: SparkSession, series, name: str | None = None, index=None, freq: str | None = None, unit: str | None = None) -> DataFrame:
+    """A pandas Series with a time index; ``index``, if given, stands for its own."""
+    at = series.index if index is None else index
+    return from_arrays(spark, series.tolist(), [t.to_pydatetime() if hasattr(t, "to_pydatetime") else t for t in at], name or series.name or "value", freq, unit)
+
+
+def declare(df: DataFrame, freq: str | None = None, unit: str | None = None) -> DataFrame:
+    """``df`` whose times carry a frequency and a unit as metadata."""
+    if freq is not None:
+        validate_freq(freq)
+    told = {k: v for k, v in (("freq", freq), ("unit", unit)) if v is not None}
+    if not told:
+        return df
+    return df.withColumn("ts", F.col("ts").alias("ts", metadata=declared(df) | told))
+
+
+def declared(df: DataFrame) -> dict:
+    """The frequency and unit that ``declare`` left, as far as they are known."""
+    return dict(df.schema["ts"].metadata or {})
 
 
 def read_csv(spark: SparkSession, path: str, time_col: str = "date", value_col: str = "value", key_cols: Sequence[str] = ()) -> DataFrame:
@@ -162,7 +180,8 @@ def properties(df: DataFrame) -> DataFrame:
     whole = [(a, GAP_SECONDS[a]) for a in ("W", "D", "h", "min", "s")]
     times = F.coalesce(*[F.when(F.col("low") % s == 0, F.concat(F.when(F.col("low") / s == 1, "").otherwise((F.col("low") / s).cast("long").cast("string")), F.lit(a))) for a, s in whole])
     ladder = F.coalesce(*[F.when(F.abs(F.col("mid") - s) / s < 0.10, F.lit(a)) for a, s in GAP_SECONDS.items()])
-    freq = F.when(F.col("n") >= 3, F.coalesce(calendar, ending, F.when(even, times), F.when(F.col("business"), "B"), ladder))
+    told = declared(df).get("freq")
+    freq = F.lit(told) if told else F.when(F.col("n") >= 3, F.coalesce(calendar, ending, F.when(even, times), F.when(F.col("business"), "B"), ladder))
     return stats.select(
         "series_id", "n", "start_ts", "end_ts", (micros("end_ts") - micros("start_ts")).alias("duration_us"),
         (F.col("n_nan") > 0).alias("has_nan"), "n_nan", ((F.col("n") < 2) | even).alias("is_regular"), freq.alias("freq"),

@@ -345,3 +345,17 @@ def test_local_regression_decomposition(spark):
     assert structure.stl(series(spark, y[:20]), 12).count() == 0
     with pytest.raises(ValueError):
         structure.stl(series(spark, y), 1)
+
+
+def test_declared_frequency_and_index(spark):
+    s = pd.Series([1.0, 2.0, 3.0, 4.0], index=pd.date_range("2020-01-01", periods=4), name="n")
+    other = pd.date_range("2021-06-01", periods=4, freq="h")
+    df = frame.from_pandas(spark, s, index=other, freq="2h", unit="kW")
+    assert frame.declared(df) == {"freq": "2h", "unit": "kW"}
+    r = frame.properties(df).first()
+    assert r.freq == "2h" and r.start_ts == dt.datetime(2021, 6, 1)
+    assert frame.properties(frame.from_pandas(spark, s)).first().freq == "D"
+    with pytest.raises(ValueError):
+        frame.from_pandas(spark, s, freq="NOTFREQ")
+    with pytest.raises(TypeError):
+        frame.validate(spark.createDataFrame([("a", START, "x")], "series_id string, ts timestamp_ntz, value string"))
