@@ -25,18 +25,18 @@ def sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "2 hours")
     return out.select("series_id", F.col("w.start").alias("start_ts"), F.col("w.end").alias("end_ts"), "n", "mean")
 
 
-def cusum_signals(stream: DataFrame, target: float, sigma: float, threshold: float = 5.0, drift: float = 0.5, idle_ms: int = 7 * 86_400_000) -> DataFrame:
+def cusum_signals(stream: DataFrame, target: float, sigma: float, threshold: float = 5.0, drift: float = 0.5, late: str = "2 hours", idle_ms: int = 7 * 86_400_000) -> DataFrame:
     """Two-sided cumulative sums about a known target, across micro-batches; the
-    state of a series is two numbers, let go when none of it came for ``idle_ms``
-    milliseconds of processing time."""
+    state of a series is two numbers, let go when the stream's watermark, ``late``
+    behind its newest time, is ``idle_ms`` milliseconds past the series' last row."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         up, down = state.get if state.exists else (0.0, 0.0)
-        rows = []
-        for ts, x in pd.concat(list(batches)).sort_values("ts")[["ts", "value"]].itertuples(index=False):
+        rows, found = [], pd.concat(list(batches)).sort_values("ts")[["ts", "value"]]
+        for ts, x in found.itertuples(index=False):
             if x != x:
                 continue
             up, down = max(0.0, up + x - target - drift * sigma), max(0.0, down - x + target - drift * sigma)
@@ -44,7 +44,8 @@ def cusum_signals(stream: DataFrame, target: float, sigma: float, threshold: flo
                 rows.append((key[0], ts, x, "up" if up >= down else "down"))
                 up = down = 0.0
         state.update((up, down))
-        state.setTimeoutDuration(idle_ms)
+        last = int(found["ts"].iloc[-1].timestamp() * 1000)
+        state.setTimeoutTimestamp(max(last + idle_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(rows, columns=["series_id", "ts", "value", "direction"])
 
-    return stream.groupBy("series_id").applyInPandasWithState(run, "series_id string, ts timestamp, value double, direction string", "up double, down double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.withWatermark("ts", late).groupBy("series_id").applyInPandasWithState(run, "series_id string, ts timestamp, value double, direction string", "up double, down double", "append", GroupStateTimeout.EventTimeTimeout)
