@@ -6,7 +6,9 @@ of features. Inverse document frequencies are counted over every training row.
 The weights are learned with follow-the-regularised-leader and elastic-net
 penalties on a bounded sample of labelled rows (``per_language``), and a
 temperature fitted on a held-back fifth of that sample calibrates the scores.
-The model is a fixed-size table; prediction is one pass over the whole texts.
+Learning runs in one task that reads the sample as a stream, once a round; only
+the weights, a table of fixed size, reach the driver. Prediction is one pass over
+the whole texts; a text beyond ``LONG`` characters is read in stretches.
 """
 
 from __future__ import annotations
@@ -22,12 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesloom.llm.common import slices
+from seriesloom.llm.common import dropped, slices, stored
 
 ORDERS = (1, 2, 3, 4)
 FEATURES = 1 << 16
 #: Labelled rows of each language that the weights are learned from, about.
-PER_LANGUAGE = 1000
+PER_LANGUAGE = 1500
+#: Characters of one text whose n-grams are held at once.
+LONG = 1_000_000
 UNDETERMINED = "und"
 _letter = re.compile(r"[^\W\d_]")
 _ROUNDS = 4
@@ -57,10 +61,24 @@ def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield ((kept * np.uint64(0xA24BAED4963EE407)) >> np.uint64(64 - FEATURES.bit_length() + 1)).astype(np.int64), have
 
 
+def stretches(text: str, long: int = LONG) -> Iterator[np.ndarray]:
+    """The features of one text's n-grams, an order and a stretch at a time; an
+    n-gram across two stretches is counted in the later one."""
+    low, back = text.lower(), max(ORDERS) - 1
+    for at in range(0, max(len(low), 1), long):
+        for n, (found, _) in zip(ORDERS, grams([low[max(0, at - back) : at + long]]), strict=True):
+            yield found[max(0, min(at, back) - n + 1) :]
+
+
 def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
     """A text's features and their counts."""
-    found = np.concatenate([g for g, _ in grams([text])])
-    return np.unique(found, return_counts=True)
+    if len(text) <= LONG:
+        return np.unique(np.concatenate([g for g, _ in grams([text])]), return_counts=True)
+    total = np.zeros(FEATURES, np.int64)
+    for found in stretches(text):
+        total += np.bincount(found, minlength=FEATURES)
+    used = np.flatnonzero(total)
+    return used, total[used]
 
 
 @dataclass
@@ -76,7 +94,11 @@ class Model:
         if not self.languages:
             return [UNDETERMINED] * len(whole), np.zeros(len(whole))
         logits, total = np.zeros((len(whole), len(self.languages))), np.zeros(len(whole))
-        for found, have in grams(whole):
+        for i in [i for i, t in enumerate(whole) if len(t) > LONG]:
+            for found in stretches(whole[i]):
+                logits[i] += self.weights[found].sum(axis=0)
+                total[i] += len(found)
+        for found, have in grams([t if len(t) <= LONG else "" for t in whole]):
             has = np.flatnonzero(have)
             if len(has):
                 at = np.cumsum(have)[has] - have[has]
@@ -111,32 +133,26 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(total[used], rows))], names=["f", "n"])
 
-    out, n = np.zeros(FEATURES, np.int64), 0
-    for r in docs.select(F.col(text_col).alias("text")).mapInArrow(run, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect():
-        if r.f < 0:
-            n = r.n
-        else:
-            out[r.f] = r.n
-    return out, n
+    sums = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).toArrow()
+    f, n = sums["f"].to_numpy(), sums["n"].to_numpy()
+    out = np.zeros(FEATURES, np.int64)
+    out[f[f >= 0]] = n[f >= 0]
+    return out, int(n[f < 0].sum())
 
 
-def _sample(docs: DataFrame, per_language: int, id_col: str, text_col: str, label_col: str) -> list:
-    """Labelled rows as feature counts, about ``per_language`` of each language,
-    picked by a hash of the id."""
-    counts = {r[0]: r[1] for r in docs.groupBy(label_col).count().collect()}  # one row a language
-    if not counts:
-        return []
+def sample(docs: DataFrame, rates: dict[str, float], id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """``(label, draw, f, c)``: labelled rows as features and their counts, the
+    given share of each language, picked by a hash of the id."""
     draw = (F.xxhash64(F.lit("sample"), F.col(id_col)).bitwiseAND(F.lit((1 << 40) - 1))) / float(1 << 40)
-    rate = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n))])[F.col(label_col)]
+    rate = F.create_map(*[F.lit(x) for pair in rates.items() for x in pair])[F.col(label_col)]
     picked = docs.where(draw < rate).select(F.col(label_col).alias("label"), draw.alias("draw"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 500, "text"):
             pairs = [counted(t or "") for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f.astype("<u4").tobytes() for f, _ in pairs], pa.binary()), pa.array([c.astype("<u4").tobytes() for _, c in pairs], pa.binary())], names=["label", "draw", "f", "c"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f.astype("<u2").tobytes() for f, _ in pairs], pa.binary()), pa.array([c.astype("<f4").tobytes() for _, c in pairs], pa.binary())], names=["label", "draw", "f", "c"])
 
-    rows = picked.mapInArrow(run, "label string, draw double, f binary, c binary").collect()
-    return sorted(rows, key=lambda r: (r.draw, r.label, r.f))
+    return picked.mapInArrow(run, "label string, draw double, f binary, c binary")
 
 
 class Ftrl:
@@ -166,30 +182,51 @@ class Ftrl:
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", alpha: float = 0.5, l1: float = 0.002, l2: float = 0.01) -> Model:
     """Learn from the rows that have a label. No labelled row: a model without
     languages, which finds every text undetermined."""
-    docs = docs.where(F.col(label_col).isNotNull())
-    df, n = document_frequencies(docs, text_col)
-    idf = np.log((1 + n) / (1 + df)) + 1
-    rows = _sample(docs, per_language, id_col, text_col, label_col)
-    languages = sorted({r.label for r in rows})
+    docs = docs.where(F.col(label_col).isNotNull()).withColumn(label_col, F.col(label_col).cast("string"))
+    counts = {r[0]: r[1] for r in docs.groupBy(label_col).count().collect()}  # one row a language
+    languages = sorted(counts)
     if not languages:
         return Model([], np.zeros((FEATURES, 0)), np.zeros(0), 1.0)
+    df, n = document_frequencies(docs, text_col)
+    idf = np.log((1 + n) / (1 + df)) + 1
+    shared = docs.sparkSession.sparkContext.broadcast(idf)  # one number a feature
     scale = 30.0
-    data = []
-    for r in rows[::-1]:
-        f, c = np.frombuffer(r.f, "<u4"), np.frombuffer(r.c, "<u4").astype(float)
-        x = scale * c / max(1.0, c.sum()) * idf[f]
-        data.append((np.append(f, FEATURES).astype(np.int32), np.append(x, 1.0).astype(np.float32), languages.index(r.label)))
-        rows.pop()  # the driver holds each row in one form only
-    data.reverse()
-    fit, held = [d for i, d in enumerate(data) if i % 5], data[::5]
-    model = Ftrl(FEATURES + 1, len(languages), alpha, 1.0, l1, l2)
-    for _ in range(_ROUNDS):
-        for at, x, label in fit:
-            model.step(at, x, label)
-    w = model.weights()
-    logits = np.array([x @ w[at] for at, x, _ in held])
-    labels = np.array([label for _, _, label in held])
-    return Model(languages, w[:-1] * idf[:, None] * scale, w[-1], _temperature(logits, labels))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, weight = Ftrl(FEATURES + 1, len(languages), alpha, 1.0, l1, l2), shared.value
+        final, logits, labels = None, [], []
+        for batch in batches:
+            for turn, label, f, c in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                at, x = np.frombuffer(f, "<u2").astype(np.int64), np.frombuffer(c, "<f4").astype(float)
+                x = np.append(scale * x / max(1.0, x.sum()) * weight[at], 1.0)
+                at = np.append(at, FEATURES)
+                if turn < _ROUNDS:
+                    model.step(at, x, languages.index(label))
+                else:
+                    final = model.weights() if final is None else final
+                    logits.append(x @ final[at])
+                    labels.append(languages.index(label))
+        w = model.weights()
+        w[:-1] *= weight[:, None] * scale
+        temperature = _temperature(np.array(logits), np.array(labels)) if labels else 1.0
+        yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([temperature])], names=["w", "temperature"])
+
+    rows = stored(sample(docs, {k: min(1.0, per_language / c) for k, c in counts.items()}, id_col, text_col, label_col), "sample")
+    held = F.pmod(F.xxhash64(F.lit("held"), "draw", "f"), F.lit(5)) == 0
+    turns = F.when(held, F.array(F.lit(_ROUNDS))).otherwise(F.sequence(F.lit(0), F.lit(_ROUNDS - 1)))
+    stream = rows.select(F.explode(turns).alias("turn"), "label", "f", "c", "draw").repartition(1).sortWithinPartitions("turn", "draw", "label", "f")
+    spark, size = docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "200")  # rows are large, and one task holds a batch of them
+    try:
+        found = stream.select("turn", "label", "f", "c").mapInArrow(learn, "w binary, temperature double").collect()  # one row, FEATURES x languages numbers
+    finally:
+        spark.conf.set(size, before)
+    dropped(rows)
+    if not found:
+        return Model(languages, np.zeros((FEATURES, len(languages))), np.zeros(len(languages)), 1.0)
+    w = np.frombuffer(found[0].w, float).reshape(FEATURES + 1, len(languages))
+    return Model(languages, w[:-1], w[-1], found[0].temperature)
 
 
 def _temperature(logits: np.ndarray, labels: np.ndarray) -> float:
