@@ -62,6 +62,14 @@ def dropped(df: DataFrame) -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = "__key") -> DataFrame:
     """``docs`` with a column ``key`` that tells all rows apart and orders them.
 
@@ -72,11 +80,12 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key:
     ids = docs.select(F.col(id_col).alias("i"))
     if ids.groupBy("i").count().where("count > 1 OR i IS NULL").isEmpty():
         return docs.withColumn(key, F.col(id_col))
-    order = [F.col(id_col).asc_nulls_first(), F.col(text_col).asc_nulls_first(), F.col("__tie")]
+    tie, no = unused(docs, "__tie"), unused(docs, "__no")
+    order = [F.col(id_col).asc_nulls_first(), F.col(text_col).asc_nulls_first(), F.col(tie)]
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(n, *order).sortWithinPartitions(*order)
-    rows = stored(rows.drop("__tie").withColumn("__no", F.monotonically_increasing_id()), "numbered")
-    return rows.withColumn(key, F.struct(F.col(id_col), F.col("__no"))).drop("__no")
+    rows = docs.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    rows = stored(rows.drop(tie).withColumn(no, F.monotonically_increasing_id()), "numbered")
+    return rows.withColumn(key, F.struct(F.col(id_col).alias("doc_id"), F.col(no).alias("no"))).drop(no)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -118,9 +127,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
 
     Returns ``(node, root)`` for every node that has an edge, root being the
     smallest node of its component. Edges that have not settled after ``rounds``
-    rounds are an error. Each round shuffles the edges twice, moves
-    no group into one task beyond its neighbours' minimum (a map-side
-    aggregate), and is written to the shared folder; the driver sees one count.
+    rounds are an error. Each round shuffles the edges twice, takes neighbours' minima
+    with a map-side aggregate, and is written to the shared folder; the driver sees one
+    count. A hub's edges meet its minimum in one join key: a row of two numbers for
+    each member of the largest component is what one task may read.
     """
     work = stored(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     before = None

@@ -15,7 +15,7 @@ def test_keys_tell_rows_apart_and_follow_ids_and_texts(spark):
 
     rows = [(1, "b"), (1, None), (1, "a"), (1, "a"), (None, "z"), (None, None), (0, "c")] + [(5, f"t{i % 40:02d}") for i in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    found = sorted(keyed(df).collect(), key=lambda r: (r["__key"].doc_id is not None, r["__key"]["doc_id"] or 0, r["__key"]["__no"]))
+    found = sorted(keyed(df).collect(), key=lambda r: (r["__key"].doc_id is not None, r["__key"]["doc_id"] or 0, r["__key"]["no"]))
     assert len({r["__key"] for r in found}) == len(rows)
     order = lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")
     assert [(r.doc_id, r.text) for r in found] == sorted(rows, key=order)
