@@ -9,33 +9,53 @@ one global order of rarity: by their counts over all documents (a fixed table of
 hashed counters), then by hash. Two classes that are similar enough share a word
 among the first ``n - ceil(t * n) + 1`` of each, so only those are posted. Pairs
 that meet on a posted word pass the length filter, the positional filter and a
-parity filter (each word flips one of 64 to 256 bits; as many bits differ at most as
-words do), then their word sets are compared exactly.
+parity filter (each word flips one of 64 or 128 bits; as many bits differ at most as
+words do), then their word sets are compared exactly. A pair that shares one of its
+first two posted words is made there and not again on later ones.
 
 Groups of near copies would meet in long lists and make pairs by the square. So
-first each class is compared with one leader, the first class that shares its
-least or greatest word hash; what a leader settles needs no other partner. Only
-the unsettled look through the lists, against all earlier classes, settled or
-not, which keeps the result exact.
+first each class is compared with a leader, the closest of the first ``LEADERS``
+classes that have two of its five rarest words next to each other in the order; what
+a leader settles needs no other partner. Only the unsettled look through the lists, against
+all earlier classes, settled or not, which keeps the result exact.
+
+Joins ask for sorted exchanges at every size, so that the plan for little data is the
+plan for much, and adaptive execution can split their hot keys.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from fractions import Fraction
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import WORD_GAP, keyed, stored
+from seriesloom.llm.common import dropped, keyed, stored, unused
 
 THRESHOLD = 0.8
 #: Hashed counters of words: a fixed number, whatever the corpus.
-COUNTERS = 1 << 16
+COUNTERS = 1 << 17
+#: First classes of each leader key: a fixed number of rows for every class.
+LEADERS = 8
+#: Words from which a class has 128 parity bits.
+WIDE = 96
+#: White space between words, a line's end aside.
+_GAPS = "\t\x0b\x0c\r"
+
+
+def _words(text: Column) -> Column:
+    """The words of a text; every gap is a space first, so that the split is on a
+    plain character."""
+    for gap in _GAPS:
+        text = F.replace(text, F.lit(gap), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
 
 
-def _words(line: str = "line") -> str:
-    return f"array_remove(split({line}, '{WORD_GAP}'), '')".replace("\\", "\\\\")
+def _word_set(line: Column) -> Column:
+    return F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -44,53 +64,42 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def rarity(docs: DataFrame, text_col: str = "text") -> list[int]:
-    """A rank from 0 (rare) to 127 for each hashed counter, from the counts of
-    all words of all documents."""
-    words = docs.select(F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), WORD_GAP)).alias("w")).where("w != ''")
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(COUNTERS)).alias("c")).agg(F.count("*").alias("n")).collect()
-    ranks = [0] * COUNTERS
-    for r in counts:
-        ranks[r.c] = min(127, int(4 * math.log2(r.n)))
-    return ranks
+    """A rank, from 0 for rare, for each hashed counter, from the counts of all words
+    of all documents. Two digits at most, as plans are printed with them."""
+    whole = F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("\n"), F.lit(" "))
+    words = docs.select(F.explode(_words(whole)).alias("w"))
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(COUNTERS - 1)).alias("c")).agg(F.count("*").alias("n")).toArrow()  # COUNTERS rows at most
+    ranks = np.zeros(COUNTERS, np.int64)
+    ranks[counts["c"].to_numpy()] = np.minimum(99, 2 * np.log2(counts["n"].to_numpy()))
+    return ranks.tolist()
 
 
 def classed(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every line that has words, with its class (k1, k2), the number n of its
-    words, its parities, its least and greatest word hash, and its posted words."""
+    words, its parities, the keys of its leaders, and its posted words."""
     ranks = F.split(F.lit(",".join(map(str, rarity(docs, text_col)))), ",").cast("array<bigint>")
     t = Fraction(str(threshold))
-    blank = "' \\t\\n\\u000b\\f\\r'"  # a cheap test, so that the word sets are made once and not again for a filter
-    df = lines(docs, id_col, text_col).where(f"trim(BOTH {blank} FROM line) != ''").withColumn("h", F.expr(f"array_distinct(transform({_words()}, w -> xxhash64(w)))"))
-    df = df.select("doc_id", "line_no", "h", ranks.alias("ranks"))
-    df = df.select("doc_id", "line_no", F.expr(f"sort_array(transform(h, x -> shiftleft(ranks[int(pmod(x, {COUNTERS}L))], 56) | shiftrightunsigned(x, 8)))").alias("ids"))
-    df = df.withColumn("n", F.size("ids")).withColumn("plain", F.expr("transform(ids, x -> x & 72057594037927935L)"))
-    flip = "shiftleft(1L, int(x & 63))"
+    # A cheap test, so that the word sets are made once and not again for a filter.
+    df = lines(docs, id_col, text_col).where(F.btrim("line", F.lit(f" {_GAPS}")) != "").withColumn("h", _word_set(F.col("line")))
+    df = df.select("doc_id", "line_no", "h", F.size("h").alias("n"), ranks.alias("ranks"))
+    df = df.select("doc_id", "line_no", "h", "n", F.expr(f"sort_array(transform(h, x -> shiftleft(get(ranks, int(x & {COUNTERS - 1}L)), 56) | shiftrightunsigned(x, 8)))").alias("ids"))
+    flip = "p ^ shiftleft(1L, int(x & 63))"
     return df.select(
         "doc_id",
         "line_no",
         F.xxhash64("ids").alias("k1"),
         F.hash("ids").alias("k2"),
         "n",
-        *[F.expr(f"IF(n > {least}, aggregate(plain, 0L, (p, x) -> IF({mine}, p ^ {flip}, p)), 0L)").alias(name) for name, least, mine in _PARITIES],
-        F.array_min("plain").alias("low"),
-        F.array_max("plain").alias("high"),
-        F.expr(f"transform(slice(ids, 1, n - int(ceil(n * {t.numerator}L / {t.denominator}L)) + 1), x -> int(hash(x)))").alias("posted"),
+        F.expr(f"IF(n <= {WIDE}, aggregate(h, 0L, (p, x) -> {flip}), aggregate(h, 0L, (p, x) -> IF((x & 64) = 0, {flip}, p)))").alias("p1"),
+        F.expr(f"IF(n <= {WIDE}, 0L, aggregate(h, 0L, (p, x) -> IF((x & 64) != 0, {flip}, p)))").alias("p2"),
+        F.array(*[F.xxhash64(F.get("ids", F.lit(i)), F.get("ids", F.lit(i + 1))) for i in range(4)]).alias("keys"),
+        F.expr(f"transform(slice(ids, 1, n - int(ceil(n * {t.numerator}L / {t.denominator}L)) + 1), x -> int(x & 2147483647L))").alias("posted"),
     )
 
 
-#: Parities of a class: 64 bits up to 64 words, 128 up to 128, 256 beyond. For each
-#: its name, the words from which it is used, and which hashes flip its bits.
-_PARITIES = (
-    ("p1", 0, "n <= 64 OR ((x & 64) = 0 AND (n <= 128 OR (x & 128) = 0))"),
-    ("p2", 64, "(x & 64) != 0 AND (n <= 128 OR (x & 128) = 0)"),
-    ("p3", 128, "(x & 64) = 0 AND (x & 128) != 0"),
-    ("p4", 128, "(x & 64) != 0 AND (x & 128) != 0"),
-)
-_BITS = [name for name, _, _ in _PARITIES]
+_BITS = ["p1", "p2"]
 #: Bits that differ between two classes, at the width of the narrower.
-_APART = """CASE WHEN a.n > 128 AND b.n > 128 THEN bit_count(a.p1 ^ b.p1) + bit_count(a.p2 ^ b.p2) + bit_count(a.p3 ^ b.p3) + bit_count(a.p4 ^ b.p4)
- WHEN a.n > 64 AND b.n > 64 THEN bit_count(a.p1 ^ a.p3 ^ b.p1 ^ b.p3) + bit_count(a.p2 ^ a.p4 ^ b.p2 ^ b.p4)
- ELSE bit_count(a.p1 ^ a.p2 ^ a.p3 ^ a.p4 ^ b.p1 ^ b.p2 ^ b.p3 ^ b.p4) END"""
+_APART = f"""IF(a.n > {WIDE} AND b.n > {WIDE}, bit_count(a.p1 ^ b.p1) + bit_count(a.p2 ^ b.p2), bit_count(a.p1 ^ a.p2 ^ b.p1 ^ b.p2))"""
 
 
 def _close(t: Fraction) -> str:
@@ -100,69 +109,97 @@ def _close(t: Fraction) -> str:
 
 
 _EARLIER = "(b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.line_no < a.line_no))"
+#: Whether the pair is made here: not on a word behind one of the first two that both
+#: have, one in either half of ``w``.
+_HERE = "NOT (a.at > 0 AND b.at > 0 AND shiftright(a.w ^ b.w, 32) = 0) AND NOT (a.at > 1 AND b.at > 1 AND ((a.w ^ b.w) & 4294967295L) = 0)"
+
+
+def _packed(condition: str) -> str:
+    """A condition on line_no, n, at and done, of the columns they are packed in."""
+    places = {"line_no": "shiftright({}.ln, 32)", "n": "({}.ln & 2147483647L)", "at": "shiftright({}.ad, 1)", "done": "({}.ad & 1)"}
+    return re.sub(r"\b([ab])\.(line_no|n|at|done)\b", lambda m: places[m[2]].format(m[1]), condition)
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, t: Fraction, id_col: str, text_col: str) -> DataFrame:
     """Pairs (doc_id, line_no, to_doc, to_line) whose word sets are similar."""
-    ends = pairs.select("doc_id", "line_no").unionByName(pairs.select(F.col("to_doc").alias("doc_id"), F.col("to_line").alias("line_no"))).distinct()
-    wanted = ends.groupBy("doc_id").agg(F.collect_list("line_no").alias("wanted"))  # at most a text's lines
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(wanted, "doc_id")
-    cut = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"), "wanted").where("array_contains(wanted, line_no)")
-    sets = cut.select("doc_id", "line_no", F.expr(f"array_distinct(transform({_words()}, w -> xxhash64(w)))").alias("h"))
-    left = pairs.join(sets, ["doc_id", "line_no"])
+    ends = pairs.select("doc_id", "line_no").unionByName(pairs.select(F.col("to_doc").alias("doc_id"), F.col("to_line").alias("line_no")))
+    wanted = ends.groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted"))  # at most a text's lines
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(wanted.hint("merge"), "doc_id")
+    # The lines are bound once, and the wanted ones taken by their numbers.
+    cut = F.transform(F.array(F.split("text", "\n")), lambda ls: F.transform("wanted", lambda i: F.struct(i.alias("line_no"), _word_set(F.get(ls, i)).alias("h"))))
+    sets = texts.select("doc_id", F.inline(cut[0]))
+    left = pairs.join(sets.hint("merge"), ["doc_id", "line_no"])
     right = sets.select(F.col("doc_id").alias("to_doc"), F.col("line_no").alias("to_line"), F.col("h").alias("g"))
-    both = left.join(right, ["to_doc", "to_line"]).withColumn("o", F.size(F.array_intersect("h", "g")))
+    both = left.join(right.hint("merge"), ["to_doc", "to_line"]).withColumn("o", F.size(F.array_intersect("h", "g")))
     p, q = t.numerator, t.denominator
     return both.where(f"o * {p + q} >= (size(h) + size(g)) * {p}").select("doc_id", "line_no", "to_doc", "to_line")
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, line_no)`` of every line that an earlier line makes superfluous.
+    """``(doc_id, lines)``: the numbers, ascending, of the lines of each document
+    that an earlier line makes superfluous; documents that lose none are left out.
 
     Ids are not null and do not repeat; they may be structs.
     """
     t = Fraction(str(threshold))
     every = stored(classed(docs, threshold, id_col, text_col), "lines")
-    firsts = every.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "line_no", *_BITS, "low", "high", "posted")).alias("f"))
+    firsts = every.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "line_no", *_BITS, "keys", "posted")).alias("f"))
     classes = stored(firsts.select("k1", "k2", "n", "f.*"), "classes")
 
-    keys = classes.select("k1", "k2", "doc_id", "line_no", "n", *_BITS, F.explode(F.array("low", "high")).alias("key"))
-    leads = keys.groupBy("key").agg(F.min(F.struct("doc_id", "line_no", "n", *_BITS)).alias("b"), F.count("*").alias("size")).where("size > 1").select("key", "b.*")
-    led = keys.alias("a").join(leads.alias("b"), F.expr(f"a.key = b.key AND {_EARLIER} AND {_close(t)}"))
+    keys = classes.select("doc_id", "line_no", "n", *_BITS, F.explode("keys").alias("key"))
+    first = F.row_number().over(Window.partitionBy("key").orderBy("doc_id", "line_no")) <= LEADERS
+    leads = keys.withColumn("first", first).where("first").drop("first")
+    led = keys.alias("a").join(leads.alias("b").hint("merge"), F.expr(f"a.key = b.key AND {_EARLIER} AND {_close(t)}"))
     led = led.selectExpr("a.doc_id", "a.line_no", f"struct({_APART} AS apart, b.doc_id AS to_doc, b.line_no AS to_line) AS b")
     led = stored(led.groupBy("doc_id", "line_no").agg(F.min("b").alias("b")).select("doc_id", "line_no", "b.to_doc", "b.to_line"), "led")  # the closest leader
     settled = stored(_verified(docs, led, t, id_col, text_col).select("doc_id", "line_no").distinct(), "settled")
+    dropped(led)
 
-    marked = classes.join(settled.withColumn("done", F.lit(1)), ["doc_id", "line_no"], "left")
-    posts = marked.select("doc_id", "line_no", "n", *_BITS, F.coalesce("done", F.lit(0)).alias("done"), F.posexplode("posted").alias("at", "word"))
+    marked = classes.join(settled.withColumn("done", F.lit(1)).hint("merge"), ["doc_id", "line_no"], "left").withColumn("done", F.coalesce("done", F.lit(0)))
+    w = F.expr("shiftleft(bigint(posted[0]), 32) | bigint(coalesce(get(posted, 1), 0))")
+    # Few and narrow columns, as there are several rows for every class.
+    posts = marked.select("doc_id", F.expr("shiftleft(bigint(line_no), 32) | n").alias("ln"), *_BITS, w.alias("w"), "done", F.posexplode("posted").alias("at", "word"))
+    posts = posts.select("doc_id", "ln", *_BITS, "w", F.expr("at * 2 + done").alias("ad"), "word").hint("merge")
     most = f"(least(a.at, b.at) + 1 + least(a.n - a.at, b.n - b.at) - 1) * {t.numerator + t.denominator} >= (a.n + b.n) * {t.numerator}"
     # done is weighed on both sides at once, so either side is the same exchange.
-    met = posts.alias("a").join(posts.alias("b"), F.expr(f"a.word = b.word AND {_EARLIER} AND 2 * a.done + b.done < 2 AND {_close(t)} AND {most}"))
-    met = stored(met.selectExpr("a.doc_id", "a.line_no", "b.doc_id AS to_doc", "b.line_no AS to_line").distinct(), "met")
+    meet = _packed(f"{_EARLIER} AND 2 * a.done + b.done < 2 AND {_close(t)} AND {most} AND {_HERE}")
+    met = posts.alias("a").join(posts.alias("b"), F.expr(f"a.word = b.word AND {meet}"))
+    met = met.selectExpr("a.doc_id", f"int({_packed('a.line_no')}) AS line_no", "b.doc_id AS to_doc", f"int({_packed('b.line_no')}) AS to_line")
+    met = stored(met.distinct(), "met")
     found = stored(_verified(docs, met, t, id_col, text_col).select("doc_id", "line_no").distinct(), "found")
+    dropped(met)
 
     gone = classes.select("k1", "k2", "n", "doc_id", "line_no").join(settled.unionByName(found).withColumn("gone", F.lit(True)), ["doc_id", "line_no"], "left")
     gone = gone.select("k1", "k2", "n", F.col("doc_id").alias("first_doc"), F.col("line_no").alias("first_line"), F.coalesce("gone", F.lit(False)).alias("gone"))
     out = every.select("doc_id", "line_no", "k1", "k2", "n").join(gone, ["k1", "k2", "n"])
-    return out.where("gone OR first_doc != doc_id OR first_line != line_no").select("doc_id", "line_no")
+    out = out.where("gone OR first_doc != doc_id OR first_line != line_no")
+    result = stored(out.groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("lines")), "gone")  # at most a text's lines
+    for table in (every, classes, settled, found):
+        dropped(table)
+    return result
 
 
-def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", lines_col: str = "n_lines", removed_col: str = "n_removed") -> DataFrame:
     """``docs`` with the texts' kept lines, and n_lines and n_removed (long).
 
     A null text stays null and has no line; an empty one is one line without
     words. A text all of whose lines go becomes empty. Rows whose doc_id is null
     are left as they are; rows with one doc_id follow each other by text, null
-    first. Columns named n_lines or n_removed are replaced.
+    first. Columns named as ``lines_col`` and ``removed_col`` are replaced.
     """
-    docs = docs.drop("n_lines", "n_removed")
+    docs = docs.drop(lines_col, removed_col)
     named = docs.columns
-    docs = keyed(docs, id_col, text_col)
-    own = docs.where(F.col(id_col).isNotNull()).select(F.col("__key").alias("doc_id"), F.col(text_col).alias("text"))
-    gone = removed_lines(own, threshold).groupBy(F.col("doc_id").alias("__key")).agg(F.collect_set("line_no").alias("__gone"))  # at most a text's lines
-    out = docs.join(gone, "__key", "left")
-    all_lines = F.split(F.col(text_col), "\n")
-    kept = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains("__gone", i)), "\n"))
-    removed = F.coalesce(F.greatest(F.size("__gone"), F.lit(0)), F.lit(0)).cast("long")
-    n_lines = F.coalesce(F.greatest(F.size(all_lines), F.lit(0)), F.lit(0)).cast("long")
-    return out.select(*[F.col(c) if c != text_col else kept.alias(c) for c in named], n_lines.alias("n_lines"), removed.alias("n_removed"))
+    key, gone_col = unused(docs, "__key"), unused(docs, "__gone")
+    docs = keyed(docs, id_col, text_col, key)
+    own = docs.where(F.col(id_col).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text_col).alias("text"))
+    gone = removed_lines(own, threshold).select(F.col("doc_id").alias(key), F.col("lines").alias(gone_col))
+    out = docs.join(gone, key, "left")
+    every = F.split(F.col(text_col), "\n")
+    # One mark a line, in the lines' order, so that long texts take time in proportion.
+    stay = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), gone_col)
+    marks = F.array_sort(F.concat(F.transform(gone_col, lambda i: F.struct(i.alias("i"), F.lit(False).alias("stays"))), F.transform(stay, lambda i: F.struct(i.alias("i"), F.lit(True).alias("stays")))))
+    kept = F.array_join(F.zip_with(every, marks, lambda line, mark: F.when(mark["stays"], line)), "\n")
+    kept = F.when(F.col(gone_col).isNull(), F.col(text_col)).otherwise(kept)
+    removed = F.coalesce(F.greatest(F.size(gone_col), F.lit(0)), F.lit(0)).cast("long")
+    n_lines = F.coalesce(F.greatest(F.size(every), F.lit(0)), F.lit(0)).cast("long")
+    return out.select(*[F.col(c) if c != text_col else kept.alias(c) for c in named], n_lines.alias(lines_col), removed.alias(removed_col))

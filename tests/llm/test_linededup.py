@@ -64,3 +64,30 @@ def test_odd_rows(spark):
 @pytest.mark.parametrize("rows", [[], [(1, None)]])
 def test_no_lines(spark, rows):
     assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_one_text_of_very_many_lines(spark):
+    import time
+
+    lines = [f"w{i % 20000} x{i % 20000} y{i % 20000} common words here" for i in range(60_000)]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(lines[:10]))], "doc_id long, text string")
+    begun = time.perf_counter()
+    found = {r.doc_id: r for r in dedup_lines(df).collect()}
+    assert (found[1].n_lines, found[1].n_removed, found[2].n_removed) == (60_000, 40_000, 10)
+    assert found[1].text == "\n".join(lines[:20_000]) and found[2].text == ""
+    assert time.perf_counter() - begun < 120
+
+
+def test_near_copies_in_a_large_group_against_brute_force(spark):
+    """Copies of one line with one or two words changed, short and long."""
+    rng = random.Random(11)
+    rows, at = [], 0
+    for n in (5, 9, 12, 20, 44):
+        base = [f"b{n}_{i}" for i in range(n)]
+        for _ in range(25):
+            line = list(base)
+            for k in rng.sample(range(n), rng.randint(0, 2)):
+                line[k] = f"u{rng.random()}"
+            rows.append((at, " ".join(line)))
+            at += 1
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
