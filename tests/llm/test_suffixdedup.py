@@ -84,3 +84,34 @@ def test_maximal_repeats_are_the_brute_forced_ones():
                         want[s] = p
         have = {data[p[0] : p[0] + n]: sorted(p.tolist()) for n, p in maximal_repeats(np.frombuffer(data, np.uint8), 3) if n < 7}
         assert {k: v for k, v in have.items() if len(k) >= 3} == {k: v for k, v in want.items() if len(k) < 7}
+
+
+def test_a_periodic_text_makes_few_runs():
+    from seriesloom.llm.suffixdedup import _runs
+
+    for unit in (b"a", b"ab", b"abc ", b"0123456789 and so on, "):
+        text = (unit * 200_000)[:200_000]
+        who, start, count, times, m, h = _runs([text, b"x" * 150, text[:500]], 200)
+        assert len(start) < 20
+        assert (count * times)[who == 0].sum() == len(text) - 199
+        own = who == 0
+        assert (start[own][1:] == (start + count * times)[own][:-1]).all()
+
+
+def test_long_texts_are_cut_without_losing_a_window(monkeypatch):
+    from seriesloom.llm import suffixdedup
+
+    monkeypatch.setattr(suffixdedup, "STRETCH", 64)
+    for n in (0, 1, 199, 200, 201, 263, 264, 265, 1000):
+        text = bytes(i % 251 for i in range(n))
+        cut = list(suffixdedup._stretches([b"ab", text], 200))
+        assert cut[0] == (0, 0, b"ab")
+        starts = [at + i for who, at, part in cut if who == 1 for i in range(len(part) - 199)]
+        assert starts == list(range(max(0, n - 199)))
+        assert all(text[at : at + len(part)] == part for who, at, part in cut if who == 1)
+
+
+def test_a_long_periodic_text_beside_others(spark):
+    rows = [(1, "Ha " * 400_000), (2, "no " * 100), (3, "Ha " * 70), (4, "z" * 300)]
+    got_rows = {r[0]: r for r in got(spark.createDataFrame(rows, "doc_id long, text string"))}
+    assert got_rows[1][1:4] == (1_200_000, 1_200_000, 1) and got_rows[3][2] == 210 and got_rows[2][2] == 300 and got_rows[4][2] == 300
