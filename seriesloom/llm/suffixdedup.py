@@ -6,16 +6,19 @@ Windows are first gathered by minimizer: among the ``K``-byte strings inside a
 window, the one with the least hash, leftmost among equals. Equal windows have
 equal minimizers at equal places, and consecutive windows with one minimizer form
 a run of about a hundred windows, so a run is the unit that is shuffled: its
-minimizer's hash, its content's hash and its place. Three cases follow from a
-map-side aggregate over minimizers, each of which sees the whole corpus:
+minimizer's hash, its content's hash and its place. Equal runs that follow each
+other, as in a text that repeats itself with a short period, are one row with how
+often. Three cases follow from a map-side aggregate over minimizers, each of which
+sees the whole corpus:
 
 * a minimizer that occurs once settles its run: nothing in it repeats;
 * one whose runs all have the same content settles them too: all of it repeats;
 * of a minimizer with different contents, one text of each content is fetched.
 
 The fetched texts are dealt out by minimizer and read as one string per batch, of
-which the enhanced suffix array is built (prefix doubling; LCPs from the ranks of
-the doublings). A stack scan over the LCPs closes the intervals of the
+which the enhanced suffix array is built (prefix doubling from seven symbols, in
+which only suffixes that are not yet told apart are sorted again; LCPs from the ranks
+of the doublings). A stack scan over the LCPs closes the intervals of the
 common-prefix interval tree; an interval of depth ``WINDOW`` or more whose
 occurrences have different left neighbours is a maximal repeat group and is
 output with all its occurrences, and the occurrences say which windows repeat.
@@ -42,6 +45,8 @@ K = 32
 LARGE = 5000
 #: Bytes of fetched text whose suffix array is built at once.
 BATCH = 1_000_000
+#: Windows of one text that are looked through at once.
+STRETCH = 1 << 25
 
 
 def _minimizers(data: np.ndarray, window: int = WINDOW, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -71,13 +76,13 @@ def _minimizers(data: np.ndarray, window: int = WINDOW, k: int = K) -> tuple[np.
 
 
 def _runs(texts: list[bytes], window: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one minimizer: text number, start, windows, minimizer
-    hash, content hash."""
+    """Runs of windows with one minimizer: text number, start, windows, how often the
+    run follows itself, minimizer hash, content hash."""
     from xxhash import xxh3_64_intdigest
 
     whole = b"".join(texts)
     sizes = np.array([len(t) for t in texts], np.int64)
-    empty = tuple(np.zeros(0, np.int64) for _ in range(5))
+    empty = tuple(np.zeros(0, np.int64) for _ in range(6))
     if len(whole) < window:
         return empty
     at, h = _minimizers(np.frombuffer(whole, np.uint8), window)
@@ -94,8 +99,13 @@ def _runs(texts: list[bytes], window: int) -> tuple[np.ndarray, ...]:
     count = np.diff(np.append(first, len(start)))
     begin, anchor = start[first], place[first]
     hashes = np.fromiter((xxh3_64_intdigest(whole[a:b]) for a, b in zip(begin.tolist(), (begin + count - 1 + window).tolist(), strict=True)), np.uint64, len(first))
-    texts_of = number[first]
-    return texts_of, begin - (ends - sizes)[texts_of], count, h[anchor].view(np.int64), hashes.view(np.int64)
+    texts_of, low, hashes = number[first], h[anchor].view(np.int64), hashes.view(np.int64)
+    again = np.zeros(len(first), bool)
+    again[1:] = (texts_of[1:] == texts_of[:-1]) & (low[1:] == low[:-1]) & (hashes[1:] == hashes[:-1]) & (count[1:] == count[:-1])
+    head = np.flatnonzero(~again)
+    times = np.diff(np.append(head, len(first)))
+    texts_of = texts_of[head]
+    return texts_of, begin[head] - (ends - sizes)[texts_of], count[head], times, low[head], hashes[head]
 
 
 def _groups(texts: list[bytes], size: int) -> Iterator[tuple[int, int]]:
@@ -110,44 +120,74 @@ def _groups(texts: list[bytes], size: int) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
+def _stretches(texts: list[bytes], window: int) -> Iterator[tuple[int, int, bytes]]:
+    """(text number, offset, bytes): long texts in stretches that share no window."""
+    for i, t in enumerate(texts):
+        for at in range(0, max(1, len(t) - window + 1), STRETCH):
+            yield i, at, t if len(t) <= STRETCH else t[at : at + STRETCH + window - 1]
+
+
 def runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``(rid, start, count, m, h)``: every text's runs."""
+    """``(rid, start, count, times, m, h)``: every text's runs."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2000, "text"):
             rid = batch.column(0)
-            texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            for a, b in _groups(texts, 400_000):
-                who, start, count, m, h = _runs(texts[a:b], window)
-                yield pa.RecordBatch.from_arrays([rid.take(pa.array(who + a)), pa.array(start), pa.array(count.astype(np.int32)), pa.array(m), pa.array(h)], names=["rid", "start", "count", "m", "h"])
+            cut = list(_stretches([(t or "").encode() for t in batch.column(1).to_pylist()], window))
+            numbers, offsets = np.array([c[0] for c in cut], np.int64), np.array([c[1] for c in cut], np.int64)
+            for a, b in _groups([c[2] for c in cut], 400_000):
+                who, start, count, times, m, h = _runs([c[2] for c in cut[a:b]], window)
+                yield pa.RecordBatch.from_arrays([rid.take(pa.array(numbers[who + a])), pa.array(start + offsets[who + a]), pa.array(count.astype(np.int32)), pa.array(times), pa.array(m), pa.array(h)], names=["rid", "start", "count", "times", "m", "h"])
+
+    return docs.select("rid", "text").mapInArrow(work, f"rid {docs.schema['rid'].dataType.simpleString()}, start long, count int, times long, m long, h long")
 
-    return docs.select("rid", "text").mapInArrow(work, f"rid {docs.schema['rid'].dataType.simpleString()}, start long, count int, m long, h long")
+
+_FIRST = 7  # symbols of nine bits that one 64-bit key holds
 
 
 def suffix_array(symbols: np.ndarray, depth: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Suffix array, LCPs of neighbours (sorted and counted up to twice ``depth``
-    at least, which is longer than any run's text) and the symbol to the left of each suffix (-1 at the start)."""
+    at least, which is longer than any run's text) and the symbol to the left of each
+    suffix (-1 at the start). Symbols are bytes; a larger one ends a text and occurs once."""
     n = len(symbols)
-    rank = symbols.astype(np.int32)
-    span = int(rank.max(initial=0)) + n + 2
-    levels, length = [rank], 1
-    sa = np.argsort(rank, kind="stable")
+    symbols = symbols.astype(np.int64)
+    ends = symbols > 255
+    padded = np.concatenate([np.minimum(symbols, 256) + 1, np.zeros(_FIRST, np.int64)])
+    key, alone = np.zeros(n, np.int64), np.zeros(n, bool)
+    for k in range(_FIRST):
+        key = (key << 9) | padded[k : k + n]
+        alone[: max(0, n - k)] |= ends[k:]
+    sa = np.argsort(key)
+    ordered = key[sa]
+    new = np.ones(n, bool)
+    new[1:] = (ordered[1:] != ordered[:-1]) | alone[sa[1:]]  # what reaches an end is like no other
+    rank = np.empty(n, np.int64)  # the slot at which a suffix's group begins
+    rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    levels, length = [rank.astype(np.int32)], _FIRST
     while length < 2 * depth:
-        nxt = np.zeros(n, np.int64)
-        nxt[: max(0, n - length)] = rank[length:] + 1
-        key = rank * np.int64(span) + nxt
-        sa = np.argsort(key, kind="stable")
-        ordered = key[sa]
-        rank = np.empty(n, np.int32)
-        rank[sa] = np.cumsum(np.concatenate([[0], (ordered[1:] != ordered[:-1])]))
+        slots = np.flatnonzero(~(new & np.append(new[1:], True)))  # groups of two and more
+        some = sa[slots]
+        after = np.where(some + length < n, rank[np.minimum(some + length, n - 1)] + 1, 0)
+        key = (rank[some] << 32) | after
+        order = np.argsort(key)
+        some, key = some[order], key[order]
+        sa[slots] = some
+        own = np.ones(len(slots), bool)
+        own[1:] = key[1:] != key[:-1]
+        new[slots] = own
+        rank[some] = np.maximum.accumulate(np.where(own, slots, 0))
         length *= 2
-        levels.append(rank)
+        levels.append(rank.astype(np.int32))
     a, b = sa[:-1].copy(), sa[1:].copy()
     lcp = np.zeros(max(n - 1, 0), np.int64)
     for k in reversed(range(len(levels))):
-        size, level = 1 << k, levels[k]
-        same = (np.maximum(a, b) + size <= n) & (level[np.minimum(a, n - 1)] == level[np.minimum(b, n - 1)])
-        step = np.where(same, size, 0)
+        size, level = _FIRST << k, levels[k]
+        step = np.where((np.maximum(a, b) + size <= n) & (level[np.minimum(a, n - 1)] == level[np.minimum(b, n - 1)]), size, 0)
+        lcp += step
+        a += step
+        b += step
+    for _ in range(_FIRST - 1):
+        step = (np.maximum(a, b) < n) & (symbols[np.minimum(a, n - 1)] == symbols[np.minimum(b, n - 1)])
         lcp += step
         a += step
         b += step
@@ -280,12 +320,13 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, large: int = LARGE, ba
     occur elsewhere cover; they may overlap. ``docs`` has rid, unique, and text."""
     spark = docs.sparkSession
     every = stored(runs(docs, window), "runs")
-    often = every.groupBy("m").agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi")).where("n > 1").select("m", F.expr("lo = hi").alias("alike"))
+    often = every.groupBy("m").agg(F.sum("times").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi")).where("n > 1").select("m", F.expr("lo = hi").alias("alike"))
     often = stored(often, "often")  # so that both sides of the join are plain exchanges, which adaptive execution can split
     shared = stored(every.join(often, "m"), "shared")
     dropped(every)
+    dropped(often)
 
-    contents = shared.where("NOT alike").groupBy("m", "h").agg(F.count("*").alias("n"), F.min(F.struct("rid", "start", "count")).alias("r"))
+    contents = shared.where("NOT alike").groupBy("m", "h").agg(F.sum("times").alias("n"), F.min(F.struct("rid", "start", "count")).alias("r"))
     contents = stored(contents.select("m", "h", "n", "r.*"), "contents")
     sizes = contents.groupBy("m").agg((F.count("*") > large).alias("large"))
     wanted = contents.join(sizes, "m").groupBy("rid").agg(F.collect_list(F.struct("start", "count", "m", "h", "large")).alias("wanted"))  # at most a text's runs
@@ -302,7 +343,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, large: int = LARGE, ba
     # What has one place takes its hits; contents with several places repeat whole.
     once = contents.where("n = 1").select("m", "h", "rid", "start")
     part = hits.join(once, ["m", "h"]).select("rid", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b") - 1 + window).alias("b"))
-    ends = (F.col("start") + F.col("count") - 1 + window).alias("b")
+    ends = (F.col("start") + F.col("count") * F.col("times") - 1 + window).alias("b")
     whole = shared.where("alike").select("rid", F.col("start").alias("a"), ends)
     again = shared.where("NOT alike").join(contents.where("n > 1").select("m", "h"), ["m", "h"]).select("rid", F.col("start").alias("a"), ends)
     return part.unionByName(whole).unionByName(again)
