@@ -119,7 +119,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, rows = np.zeros(FEATURES, np.int64), 0
-        for batch in slices(batches, 1000, "text", 1_000_000):
+        for batch in slices(batches, 250, "text", 250_000):
             texts = [t or "" for t in batch.column(0).to_pylist()]
             seen = np.zeros((len(texts), FEATURES), bool) if len(texts) * FEATURES < 1 << 26 else None
             if seen is None:
@@ -254,7 +254,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_col: st
     schema = T.StructType(list(docs.schema.fields)).add(lang_col, "string").add(score_col, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1000, text_col, 1_000_000):
+        for batch in slices(batches, 250, text_col, 250_000):
             names, scores = shared.value.predict(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, lang_col, score_col])
 
