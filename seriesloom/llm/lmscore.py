@@ -238,6 +238,20 @@ def _piece_names(model_file: str) -> tuple[list[str], dict[int, int]]:
     return pieces, {int(p[3:5], 16): i for i, p in enumerate(pieces) if sp.is_byte(i)}
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 100_000, size: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """Arrow batches joined up to about ``rows`` rows or ``size`` bytes, so that there
+    are many words of each length at once."""
+    held, n, total = [], 0, 0
+    for batch in slices(batches, rows):
+        held.append(batch)
+        n, total = n + batch.num_rows, total + batch.nbytes
+        if n >= rows or total >= size:
+            yield pa.concat_batches(held)
+            held, n, total = [], 0, 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def word_counts(docs: DataFrame, text_col: str = "text", most: int = 400_000) -> DataFrame:
     """``(word, c)``: every word of the texts and how often it occurs. Tasks add
     up their own rows, ``most`` distinct words at a time."""
@@ -303,7 +317,7 @@ def train(docs: DataFrame, model_file: str, text_col: str = "text", rounds: int
     def expected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = Lattice(*_piece_names(model_file), shared.value)
         total = np.zeros(len(now.logp))
-        for batch in slices(batches, 20_000):
+        for batch in gathered(batches):
             total += now.expected([w.decode() for w in batch.column(0).to_pylist()])
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["piece", "uses"])
@@ -318,6 +332,26 @@ def train(docs: DataFrame, model_file: str, text_col: str = "text", rounds: int
     return Model(counts, n_docs, (row.n or 0) + n_docs, row.v + (n_docs > 0), discount, logp, model_file)
 
 
+def commonest(counts: DataFrame, frequent: int = FREQUENT) -> DataFrame:
+    """The rows of the commonest words of a bounded length, at most about ``frequent``.
+
+    A level of counts, a few hundred rows, is found above which there are at most that
+    many; of the level that overflows, the share that fits."""
+    level, rows = F.floor(16 * F.log2("c")), counts.where(F.octet_length("word") <= 64)
+    keep, room = F.lit(False), frequent
+    for r in sorted(rows.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
+        fits = min(1.0, max(0, room) / r["count"])
+        if fits == 1.0:  # with all levels above it: one comparison, however many they are
+            keep = level >= r["level"]
+        else:
+            part = F.xxhash64("word").bitwiseAND(F.lit((1 << 40) - 1)) < int(0.99 * fits * (1 << 40))
+            keep = keep | ((level == r["level"]) & part)
+        room -= r["count"]
+        if room <= 0:
+            break
+    return rows.where(keep)
+
+
 class _Codes(dict):
     def __missing__(self, key):
         return -1
@@ -332,20 +366,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     vocabulary's order alone.
     """
     spark = docs.sparkSession
-    # A level of counts, a few hundred rows, above which there are at most ``frequent``
-    # words of a bounded length; of the level that overflows, the share that fits.
-    level, rows = F.floor(16 * F.log2("c")), model.counts.where(F.octet_length("word") <= 64)
-    keep, room = F.lit(False), frequent
-    for r in sorted(rows.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
-        fits = min(1.0, max(0, room) / r["count"])
-        part = F.xxhash64("word").bitwiseAND(F.lit((1 << 40) - 1)) < int(0.99 * fits * (1 << 40))
-        keep = keep | ((level == r["level"]) if fits == 1.0 else (level == r["level"]) & part)
-        room -= r["count"]
-        if room <= 0:
-            break
-    top = sorted(rows.where(keep).collect(), key=lambda r: (-r.c, r.word))
-    words = [bytes(r.word) for r in top]
-    c = np.array([r.c for r in top], float)
+    top = commonest(model.counts, frequent).toArrow()
+    top = top.sort_by([("c", "descending"), ("word", "ascending")])
+    words = top["word"].to_pylist()
+    c = top["c"].to_numpy().astype(float)
     mixed = model.mixed(c, model.spelled(model.lattice(), [w.decode() for w in words])) if words else np.zeros(0)
     table = spark.sparkContext.broadcast((words, model.base(c), mixed))
     plain = Model(None, model.n_docs, model.tokens, model.types, model.discount, model.logp, model.model_file)
@@ -381,8 +405,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, lattice = numbers.value, numbers.value.lattice()
-        for batch in slices(batches, 20_000):
-            found, back = np.unique(np.array(batch.column(1).to_pylist(), dtype=object), return_inverse=True)
+        for batch in gathered(batches):
+            coded = batch.column(1).dictionary_encode()
+            found, back = coded.dictionary.to_pylist(), coded.indices.to_numpy()
             times, c = (np.nan_to_num(batch.column(i).to_numpy(zero_copy_only=False).astype(float)) for i in (2, 3))
             log_pieces = model.spelled(lattice, [w.decode() for w in found])[back]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.nulls(len(c), pa.int64()), pa.array((times * (c > 0)).astype(np.int64)), pa.array(times * model.base(c)), pa.array(times * model.mixed(c, log_pieces))], names=["rid", "n_tokens", "n_known", "base_score", "score"])

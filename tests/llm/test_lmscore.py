@@ -140,3 +140,26 @@ def test_held_out_words_are_likelier_than_by_plain_counts_with_spelling(spark):
     sums = lmscore.score(held, model).agg({"score": "sum", "base_score": "sum", "n_tokens": "sum"}).first()
     assert sums["sum(score)"] > sums["sum(base_score)"] + spelled
     assert sums["sum(score)"] / sums["sum(n_tokens)"] > -6
+
+
+def test_commonest_words_are_one_comparison_for_any_number_of_levels(spark):
+    counts = spark.createDataFrame([(f"w{i}".encode(), i) for i in range(1, 400)] + [(b"long" * 20, 900)], "word binary, c long")
+    for frequent in (0, 1, 7, 150, 10_000):
+        found = lmscore.commonest(counts, frequent)
+        assert found._jdf.queryExecution().optimizedPlan().toString().upper().count("LOG2(") <= 2
+        got = sorted(r.c for r in found.collect())
+        assert len(got) <= frequent and 900 not in got
+        below = max((c for c in range(1, 400) if c not in got), default=0)
+        level = lambda c: math.floor(16 * math.log2(c))
+        assert all(c in got for c in range(1, 400) if below and level(c) > level(below))
+
+
+def test_gathered_batches_keep_all_rows():
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_arrays([pa.array([b"x" * (i % 50)] * i, pa.binary())], names=["word"]) for i in range(1, 60)]
+    whole = [w for b in batches for w in b.column(0).to_pylist()]
+    for rows, size in ((1, 1), (100, 10**9), (10**9, 500), (10**9, 10**9)):
+        out = list(lmscore.gathered(iter(batches), rows, size))
+        assert [w for b in out for w in b.column(0).to_pylist()] == whole
+    assert len(out) == 1 and not list(lmscore.gathered(iter([])))
