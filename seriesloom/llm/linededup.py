@@ -14,9 +14,11 @@ words do), then their word sets are compared exactly. A pair that shares one of
 first two posted words is made there and not again on later ones.
 
 Groups of near copies would meet in long lists and make pairs by the square. So
-first each class is compared with a leader, the closest of the first ``LEADERS``
-classes that have two of its five rarest words next to each other in the order; what
-a leader settles needs no other partner. Only the unsettled look through the lists, against
+first each class is compared with leaders, the ``CLOSEST`` of the first ``LEADERS``
+classes that have two of nine of its words next to each other; what a leader settles
+needs no other partner. The nine are those of least hash among its words of a middling
+count: where copies differ, in slips or a sentence of their own, is often rarer than
+what they share, and the rarest words would leave them without their group's leaders. Only the unsettled look through the lists, against
 all earlier classes, settled or not, which keeps the result exact.
 
 Joins ask for sorted exchanges at every size, so that the plan for little data is the
@@ -39,9 +41,13 @@ THRESHOLD = 0.8
 #: Hashed counters of words: a fixed number, whatever the corpus.
 COUNTERS = 1 << 17
 #: First classes of each leader key: a fixed number of rows for every class.
-LEADERS = 8
-#: Words from which a class has 128 parity bits.
-WIDE = 96
+LEADERS = 16
+#: Words that make leader keys, two by two, and the closest leaders that are compared.
+KEY_WORDS = 9
+CLOSEST = 8
+#: Words from which a class has 128 parity bits: 64 bits of two unrelated sets of 50
+#: differ by 32 at most times, which is too near to what similar sets may differ by.
+WIDE = 40
 #: White space between words, a line's end aside.
 _GAPS = "\t\x0b\x0c\r"
 
@@ -77,12 +83,17 @@ def rarity(docs: DataFrame, text_col: str = "text") -> list[int]:
 def classed(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every line that has words, with its class (k1, k2), the number n of its
     words, its parities, the keys of its leaders, and its posted words."""
-    ranks = F.split(F.lit(",".join(map(str, rarity(docs, text_col)))), ",").cast("array<bigint>")
+    ranked = rarity(docs, text_col)
+    # From twice the middle counter's count to a sixteenth of the largest.
+    low, high = int(np.median([r for r in ranked if r] or [0])) + 2, max(ranked) - 8
+    ranks = F.split(F.lit(",".join(map(str, ranked))), ",").cast("array<bigint>")
     t = Fraction(str(threshold))
     # A cheap test, so that the word sets are made once and not again for a filter.
     df = lines(docs, id_col, text_col).where(F.btrim("line", F.lit(f" {_GAPS}")) != "").withColumn("h", _word_set(F.col("line")))
     df = df.select("doc_id", "line_no", "h", F.size("h").alias("n"), ranks.alias("ranks"))
     df = df.select("doc_id", "line_no", "h", "n", F.expr(f"sort_array(transform(h, x -> shiftleft(get(ranks, int(x & {COUNTERS - 1}L)), 56) | shiftrightunsigned(x, 8)))").alias("ids"))
+    middling = f"filter(ids, x -> x >= {low << 56}L AND x < {(high + 1) << 56}L)"
+    df = df.withColumn("some", F.expr(f"slice(concat(slice(sort_array(transform({middling}, x -> x & {(1 << 56) - 1}L)), 1, {KEY_WORDS}), ids), 1, {KEY_WORDS})"))
     flip = "p ^ shiftleft(1L, int(x & 63))"
     return df.select(
         "doc_id",
@@ -92,7 +103,7 @@ def classed(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
         "n",
         F.expr(f"IF(n <= {WIDE}, aggregate(h, 0L, (p, x) -> {flip}), aggregate(h, 0L, (p, x) -> IF((x & 64) = 0, {flip}, p)))").alias("p1"),
         F.expr(f"IF(n <= {WIDE}, 0L, aggregate(h, 0L, (p, x) -> IF((x & 64) != 0, {flip}, p)))").alias("p2"),
-        F.array(*[F.xxhash64(F.get("ids", F.lit(i)), F.get("ids", F.lit(i + 1))) for i in range(4)]).alias("keys"),
+        F.array_distinct(F.array(*[F.xxhash64(F.get("some", F.lit(i)), F.get("some", F.lit(i + 1))) for i in range(KEY_WORDS - 1)])).alias("keys"),
         F.expr(f"transform(slice(ids, 1, n - int(ceil(n * {t.numerator}L / {t.denominator}L)) + 1), x -> int(x & 2147483647L))").alias("posted"),
     )
 
@@ -151,7 +162,8 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     leads = keys.withColumn("first", first).where("first").drop("first")
     led = keys.alias("a").join(leads.alias("b").hint("merge"), F.expr(f"a.key = b.key AND {_EARLIER} AND {_close(t)}"))
     led = led.selectExpr("a.doc_id", "a.line_no", f"struct({_APART} AS apart, b.doc_id AS to_doc, b.line_no AS to_line) AS b")
-    led = stored(led.groupBy("doc_id", "line_no").agg(F.min("b").alias("b")).select("doc_id", "line_no", "b.to_doc", "b.to_line"), "led")  # the closest leader
+    near = led.groupBy("doc_id", "line_no").agg(F.slice(F.array_sort(F.collect_set("b")), 1, CLOSEST).alias("b"))  # of the leaders of its keys
+    led = stored(near.select("doc_id", "line_no", F.explode("b").alias("b")).select("doc_id", "line_no", "b.to_doc", "b.to_line"), "led")
     settled = stored(_verified(docs, led, t, id_col, text_col).select("doc_id", "line_no").distinct(), "settled")
     dropped(led)
 

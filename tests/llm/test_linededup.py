@@ -91,3 +91,24 @@ def test_near_copies_in_a_large_group_against_brute_force(spark):
             rows.append((at, " ".join(line)))
             at += 1
     assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_copies_with_a_rare_sentence_of_their_own_meet_their_leaders(spark, monkeypatch):
+    """What copies do not share is rarer than what they share; pairs by the square
+    would be 7,140."""
+    from seriesloom.llm import linededup
+
+    base = " ".join(f"b{i}" for i in range(50))
+    rows = [(i, " ".join(f"own{i}_{k}" for k in range(5)) + f" {base}") for i in range(120)]
+    rows.append((500, " ".join(f"noise{i} noise{i}" for i in range(300)) + " the" * 4000))
+    made = {}
+
+    def counted(df, label, **options):
+        made[label] = kept(df, label, **options)
+        made[label + " rows"] = made[label].count()
+        return made[label]
+
+    kept = linededup.stored
+    monkeypatch.setattr(linededup, "stored", counted)
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    assert made["met rows"] < 500
