@@ -103,7 +103,7 @@ def classed(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
         "n",
         F.expr(f"IF(n <= {WIDE}, aggregate(h, 0L, (p, x) -> {flip}), aggregate(h, 0L, (p, x) -> IF((x & 64) = 0, {flip}, p)))").alias("p1"),
         F.expr(f"IF(n <= {WIDE}, 0L, aggregate(h, 0L, (p, x) -> IF((x & 64) != 0, {flip}, p)))").alias("p2"),
-        F.array_distinct(F.array(*[F.xxhash64(F.get("some", F.lit(i)), F.get("some", F.lit(i + 1))) for i in range(KEY_WORDS - 1)])).alias("keys"),
+        F.array_distinct(F.array(*[F.hash(F.get("some", F.lit(i)), F.get("some", F.lit(i + 1))) for i in range(KEY_WORDS - 1)])).alias("keys"),
         F.expr(f"transform(slice(ids, 1, n - int(ceil(n * {t.numerator}L / {t.denominator}L)) + 1), x -> int(x & 2147483647L))").alias("posted"),
     )
 
