@@ -7,8 +7,10 @@ similar by Jaccard, whether that one stays or goes. Lines without words stay.
 Equal sets are one class with its first place. The words of a class are put in
 one global order of rarity: by their counts over all documents (a fixed table of
 hashed counters), then by hash. Two classes that are similar enough share a word
-among the first ``n - ceil(t * n) + 1`` of each, so only those are posted. Pairs
-that meet on a posted word pass the length filter, the positional filter and a
+among the first ``n - ceil(t * n) + 1`` of each, so only those are posted; of the one
+with fewer words ``n - ceil(2t / (1 + t) * n) + 1`` do. The lists are cut by octaves of
+n, which most similar pairs have in common; the class of fewer words is also listed in
+the octave after, if it can have a partner there. Pairs that meet on a posted word pass the length filter, the positional filter and a
 parity filter (each word flips one of 64 or 128 bits; as many bits differ at most as
 words do), then their word sets are compared exactly. A pair that shares one of its
 first two posted words is made there and not again on later ones.
@@ -21,8 +23,9 @@ count: where copies differ, in slips or a sentence of their own, is often rarer
 what they share, and the rarest words would leave them without their group's leaders. Only the unsettled look through the lists, against
 all earlier classes, settled or not, which keeps the result exact.
 
-Joins ask for sorted exchanges at every size, so that the plan for little data is the
-plan for much, and adaptive execution can split their hot keys.
+Joins ask for exchanges at every size, so that the plan for little data is the plan
+for much, and adaptive execution can split their hot keys. They are sorted but for the
+leaders, of which a key has few, so that a hash table holds them.
 """
 
 from __future__ import annotations
@@ -53,15 +56,18 @@ _GAPS = "\t\x0b\x0c\r"
 
 
 def _words(text: Column) -> Column:
-    """The words of a text; every gap is a space first, so that the split is on a
-    plain character."""
+    """The words of a text, and an empty one for each gap too many; every gap is a
+    space first, so that the split is on a plain character. Most texts have no other
+    gap, which one look tells."""
+    spaced = text
     for gap in _GAPS:
-        text = F.replace(text, F.lit(gap), F.lit(" "))
-    return F.array_remove(F.split(text, " "), "")
+        spaced = F.replace(spaced, F.lit(gap), F.lit(" "))
+    return F.split(F.when(F.rlike(text, F.lit(f"[{_GAPS}]")), spaced).otherwise(text), " ")
 
 
 def _word_set(line: Column) -> Column:
-    return F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
+    """Hashes of a line's words, each once."""
+    return F.array_distinct(F.array_remove(F.transform(_words(line), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -73,13 +79,18 @@ def rarity(docs: DataFrame, text_col: str = "text") -> list[int]:
     """A rank, from 0 for rare, for each hashed counter, from the counts of all words
     of all documents. Two digits at most, as plans are printed with them."""
     whole = F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("\n"), F.lit(" "))
-    words = docs.select(F.explode(_words(whole)).alias("w"))
+    words = docs.select(F.explode(_words(whole)).alias("w")).where("w != ''")
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(COUNTERS - 1)).alias("c")).agg(F.count("*").alias("n")).toArrow()  # COUNTERS rows at most
     ranks = np.zeros(COUNTERS, np.int64)
     ranks[counts["c"].to_numpy()] = np.minimum(99, 2 * np.log2(counts["n"].to_numpy()))
     return ranks.tolist()
 
 
+def _below(numbers: str, bound: int) -> Column:
+    """How many of an array of sorted numbers are less than ``bound``."""
+    return F.expr(f"int(array_position(sort_array(concat({numbers}, array({bound}L))), {bound}L)) - 1")
+
+
 def classed(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every line that has words, with its class (k1, k2), the number n of its
     words, its parities, the keys of its leaders, and its posted words."""
@@ -89,22 +100,32 @@ def classed(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     ranks = F.split(F.lit(",".join(map(str, ranked))), ",").cast("array<bigint>")
     t = Fraction(str(threshold))
     # A cheap test, so that the word sets are made once and not again for a filter.
-    df = lines(docs, id_col, text_col).where(F.btrim("line", F.lit(f" {_GAPS}")) != "").withColumn("h", _word_set(F.col("line")))
+    df = lines(docs, id_col, text_col).where(F.ltrim("line", F.lit(f" {_GAPS}")) != "")
+    # Arrays that hold no null for certain are sorted as plain numbers.
+    df = df.select("doc_id", "line_no", F.sort_array(_word_set(F.col("line"))).alias("h"))
     df = df.select("doc_id", "line_no", "h", F.size("h").alias("n"), ranks.alias("ranks"))
-    df = df.select("doc_id", "line_no", "h", "n", F.expr(f"sort_array(transform(h, x -> shiftleft(get(ranks, int(x & {COUNTERS - 1}L)), 56) | shiftrightunsigned(x, 8)))").alias("ids"))
-    middling = f"filter(ids, x -> x >= {low << 56}L AND x < {(high + 1) << 56}L)"
-    df = df.withColumn("some", F.expr(f"slice(concat(slice(sort_array(transform({middling}, x -> x & {(1 << 56) - 1}L)), 1, {KEY_WORDS}), ids), 1, {KEY_WORDS})"))
-    flip = "p ^ shiftleft(1L, int(x & 63))"
+    ids = f"sort_array(transform(h, x -> shiftleft(coalesce(get(ranks, int(x & {COUNTERS - 1}L)), 0L), 56) | shiftrightunsigned(x, 8)))"
+    df = df.select("doc_id", "line_no", "h", "n", F.expr(ids).alias("ids"), _below("h", 0).alias("z"))
+    # The ids are in the order of ranks, so the middling ones are a stretch of them. All
+    # slices are columns before a lambda sees them: within one they take boxed numbers.
+    df = df.withColumns({"start": _below("ids", low << 56), "end": _below("ids", (high + 1) << 56)})
+    cuts = {"middling": "start + 1, greatest(end - start, 0)", "rare": f"1, n - int(ceil(n * {t.numerator}L / {t.denominator}L)) + 1"}
+    # Words of negative hash flip bits of the one half, the others of the other.
+    halves = {"minus": "1, z", "plus": "z + 1, n"}
+    df = df.select("doc_id", "line_no", "n", "ids", *[F.expr(f"slice({a}, {cut})").alias(k) for a, by in (("ids", cuts), ("h", halves)) for k, cut in by.items()])
+    some = f"slice(concat(slice(sort_array(transform(middling, x -> x & {(1 << 56) - 1}L)), 1, {KEY_WORDS}), ids), 1, {KEY_WORDS})"
+    flipped = [F.expr(f"aggregate({k}, 0L, (p, x) -> p ^ shiftleft(1L, int(x & 63)))").alias(f"p_{k}") for k in halves]
+    df = df.select("doc_id", "line_no", "n", "ids", "rare", F.expr(some).alias("some"), *flipped)
     return df.select(
         "doc_id",
         "line_no",
         F.xxhash64("ids").alias("k1"),
         F.hash("ids").alias("k2"),
         "n",
-        F.expr(f"IF(n <= {WIDE}, aggregate(h, 0L, (p, x) -> {flip}), aggregate(h, 0L, (p, x) -> IF((x & 64) = 0, {flip}, p)))").alias("p1"),
-        F.expr(f"IF(n <= {WIDE}, 0L, aggregate(h, 0L, (p, x) -> IF((x & 64) != 0, {flip}, p)))").alias("p2"),
+        F.expr(f"IF(n <= {WIDE}, p_minus ^ p_plus, p_minus)").alias("p1"),
+        F.expr(f"IF(n <= {WIDE}, 0L, p_plus)").alias("p2"),
         F.array_distinct(F.array(*[F.hash(F.get("some", F.lit(i)), F.get("some", F.lit(i + 1))) for i in range(KEY_WORDS - 1)])).alias("keys"),
-        F.expr(f"transform(slice(ids, 1, n - int(ceil(n * {t.numerator}L / {t.denominator}L)) + 1), x -> int(x & 2147483647L))").alias("posted"),
+        F.expr("transform(rare, x -> int(x & 2147483647L))").alias("posted"),
     )
 
 
@@ -119,6 +140,8 @@ def _close(t: Fraction) -> str:
     return f"a.n * {p} <= b.n * {q} AND b.n * {p} <= a.n * {q} AND (a.n + b.n - {_APART}) * {p + q} >= (a.n + b.n) * {2 * p}"
 
 
+#: Hashes hardly repeat, so dictionaries of them are built in vain.
+_HASHES = {f"parquet.enable.dictionary#{c}": "false" for c in ("k1", "k2", *_BITS, "keys.list.element", "posted.list.element")}
 _EARLIER = "(b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.line_no < a.line_no))"
 #: Whether the pair is made here: not on a word behind one of the first two that both
 #: have, one in either half of ``w``.
@@ -126,9 +149,9 @@ _HERE = "NOT (a.at > 0 AND b.at > 0 AND shiftright(a.w ^ b.w, 32) = 0) AND NOT (
 
 
 def _packed(condition: str) -> str:
-    """A condition on line_no, n, at and done, of the columns they are packed in."""
-    places = {"line_no": "shiftright({}.ln, 32)", "n": "({}.ln & 2147483647L)", "at": "shiftright({}.ad, 1)", "done": "({}.ad & 1)"}
-    return re.sub(r"\b([ab])\.(line_no|n|at|done)\b", lambda m: places[m[2]].format(m[1]), condition)
+    """A condition on line_no, n, at, guest and done, of the columns they are packed in."""
+    places = {"line_no": "shiftright({}.ln, 32)", "n": "({}.ln & 2147483647L)", "at": "shiftright({}.ad, 2)", "guest": "({}.ad & 2)", "done": "({}.ad & 1)"}
+    return re.sub(r"\b([ab])\.(line_no|n|at|guest|done)\b", lambda m: places[m[2]].format(m[1]), condition)
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, t: Fraction, id_col: str, text_col: str) -> DataFrame:
@@ -153,14 +176,16 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     Ids are not null and do not repeat; they may be structs.
     """
     t = Fraction(str(threshold))
-    every = stored(classed(docs, threshold, id_col, text_col), "lines")
-    firsts = every.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "line_no", *_BITS, "keys", "posted")).alias("f"))
-    classes = stored(firsts.select("k1", "k2", "n", "f.*"), "classes")
+    whole = stored(classed(docs, threshold, id_col, text_col), "lines", **_HASHES)
+    firsts = whole.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "line_no", *_BITS, "keys", "posted")).alias("f"))
+    classes = stored(firsts.select("k1", "k2", "n", "f.*"), "classes", **_HASHES)
+    every = stored(whole.select("doc_id", "line_no", "k1", "k2", "n"), "places")
+    dropped(whole)
 
     keys = classes.select("doc_id", "line_no", "n", *_BITS, F.explode("keys").alias("key"))
     first = F.row_number().over(Window.partitionBy("key").orderBy("doc_id", "line_no")) <= LEADERS
     leads = keys.withColumn("first", first).where("first").drop("first")
-    led = keys.alias("a").join(leads.alias("b").hint("merge"), F.expr(f"a.key = b.key AND {_EARLIER} AND {_close(t)}"))
+    led = keys.alias("a").join(leads.alias("b").hint("shuffle_hash"), F.expr(f"a.key = b.key AND {_EARLIER} AND {_close(t)}"))
     led = led.selectExpr("a.doc_id", "a.line_no", f"struct({_APART} AS apart, b.doc_id AS to_doc, b.line_no AS to_line) AS b")
     near = led.groupBy("doc_id", "line_no").agg(F.slice(F.array_sort(F.collect_set("b")), 1, CLOSEST).alias("b"))  # of the leaders of its keys
     led = stored(near.select("doc_id", "line_no", F.explode("b").alias("b")).select("doc_id", "line_no", "b.to_doc", "b.to_line"), "led")
@@ -169,14 +194,25 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
 
     marked = classes.join(settled.withColumn("done", F.lit(1)).hint("merge"), ["doc_id", "line_no"], "left").withColumn("done", F.coalesce("done", F.lit(0)))
     w = F.expr("shiftleft(bigint(posted[0]), 32) | bigint(coalesce(get(posted, 1), 0))")
+    # Of two classes b is that of fewer words, which needs less of its words posted. Lists
+    # are cut by octaves of n; b is a guest in a later one where an a can be.
+    p, q = t.numerator, t.denominator
+    octaves = [F.expr(f"int(floor(log2({n})))").alias(k) for k, n in (("home", "n"), ("last", f"n * {q}L / {p} + 1e-6"))]
+    posts = marked.select("doc_id", "line_no", "n", *_BITS, w.alias("w"), "done", *octaves, F.posexplode("posted").alias("at", "word"))
+    # At less than n - ceil(2t / (1 + t) * n) + 1.
+    posts = posts.select("*", F.explode(F.expr(f"sequence(home, IF(at * {p + q} <= n * {q - p}, last, home))")).alias("octave"))
     # Few and narrow columns, as there are several rows for every class.
-    posts = marked.select("doc_id", F.expr("shiftleft(bigint(line_no), 32) | n").alias("ln"), *_BITS, w.alias("w"), "done", F.posexplode("posted").alias("at", "word"))
-    posts = posts.select("doc_id", "ln", *_BITS, "w", F.expr("at * 2 + done").alias("ad"), "word").hint("merge")
-    most = f"(least(a.at, b.at) + 1 + least(a.n - a.at, b.n - b.at) - 1) * {t.numerator + t.denominator} >= (a.n + b.n) * {t.numerator}"
-    # done is weighed on both sides at once, so either side is the same exchange.
-    meet = _packed(f"{_EARLIER} AND 2 * a.done + b.done < 2 AND {_close(t)} AND {most} AND {_HERE}")
+    posts = posts.select("doc_id", F.expr("shiftleft(bigint(line_no), 32) | n").alias("ln"), *_BITS, "w", F.expr("at * 4 + IF(octave = home, 0, 2) + done").alias("ad"), F.hash("word", "octave").alias("word")).hint("merge")
+    # All is weighed on both sides at once, so either side is the same exchange. The first
+    # condition never holds where a is a guest.
+    short = f"b.at * {p + q} <= b.n * {q - p} - a.guest * {1 << 31}L"
+    fewer = f"(b.n < a.n OR (b.n = a.n AND {_EARLIER}))"
+    most = f"(least(a.at, b.at) + 1 + least(a.n - a.at, b.n - b.at) - 1) * {p + q} >= (a.n + b.n) * {p}"
+    meet = _packed(f"{short} AND {fewer} AND {_close(t)} AND IF({_EARLIER}, a.done, b.done) = 0 AND {most} AND {_HERE}")
     met = posts.alias("a").join(posts.alias("b"), F.expr(f"a.word = b.word AND {meet}"))
-    met = met.selectExpr("a.doc_id", f"int({_packed('a.line_no')}) AS line_no", "b.doc_id AS to_doc", f"int({_packed('b.line_no')}) AS to_line")
+    sides = [f"struct({x}.doc_id AS doc_id, int({_packed(f'{x}.line_no')}) AS line_no)" for x in "ab"]
+    met = met.selectExpr(f"greatest({', '.join(sides)}) AS late", f"least({', '.join(sides)}) AS early")
+    met = met.selectExpr("late.doc_id", "late.line_no", "early.doc_id AS to_doc", "early.line_no AS to_line")
     met = stored(met.distinct(), "met")
     found = stored(_verified(docs, met, t, id_col, text_col).select("doc_id", "line_no").distinct(), "found")
     dropped(met)
@@ -207,10 +243,9 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
     gone = removed_lines(own, threshold).select(F.col("doc_id").alias(key), F.col("lines").alias(gone_col))
     out = docs.join(gone, key, "left")
     every = F.split(F.col(text_col), "\n")
-    # One mark a line, in the lines' order, so that long texts take time in proportion.
+    # The lines are bound once, and those that stay taken by their numbers.
     stay = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), gone_col)
-    marks = F.array_sort(F.concat(F.transform(gone_col, lambda i: F.struct(i.alias("i"), F.lit(False).alias("stays"))), F.transform(stay, lambda i: F.struct(i.alias("i"), F.lit(True).alias("stays")))))
-    kept = F.array_join(F.zip_with(every, marks, lambda line, mark: F.when(mark["stays"], line)), "\n")
+    kept = F.transform(F.array(every), lambda ls: F.array_join(F.transform(stay, lambda i: F.get(ls, i)), "\n"))[0]
     kept = F.when(F.col(gone_col).isNull(), F.col(text_col)).otherwise(kept)
     removed = F.coalesce(F.greatest(F.size(gone_col), F.lit(0)), F.lit(0)).cast("long")
     n_lines = F.coalesce(F.greatest(F.size(every), F.lit(0)), F.lit(0)).cast("long")

@@ -112,3 +112,35 @@ def test_copies_with_a_rare_sentence_of_their_own_meet_their_leaders(spark, monk
     monkeypatch.setattr(linededup, "stored", counted)
     assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
     assert made["met rows"] < 500
+
+
+def test_copies_with_words_left_out_across_octaves_of_lengths(spark):
+    """The longer line of a pair has one of 2, 4, 8, ... words or a few more, the shorter fewer."""
+    rng = random.Random(3)
+    rows, at = [], 0
+    for n in (2, 4, 5, 8, 10, 16, 19, 32, 40, 64, 75, 128, 150):
+        for k in range(12):
+            base = [f"b{n}_{k}_{i}" for i in range(n)]
+            both = [base, rng.sample(base, -(-4 * n // 5) - (k % 3 == 2))]
+            for line in both if k % 2 else reversed(both):
+                rows.append((at, " ".join(line)))
+                at += 1
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_the_line_of_fewer_words_is_found_by_fewer_posted_words(spark, monkeypatch):
+    """Lines of 20 words that share 17 are too far apart, but not all by their parities."""
+    from seriesloom.llm import linededup
+
+    rows = [(2 * g + h, " ".join([f"c{g}_{i}" for i in range(17)] + [f"o{g}_{h}_{i}" for i in range(3)])) for g in range(400) for h in (0, 1)]
+    made = {}
+
+    def counted(df, label, **options):
+        made[label] = kept(df, label, **options)
+        made[label + " rows"] = made[label].count()
+        return made[label]
+
+    kept = linededup.stored
+    monkeypatch.setattr(linededup, "stored", counted)
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    assert made["met rows"] < 30
