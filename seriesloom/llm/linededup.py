@@ -23,9 +23,8 @@ count: where copies differ, in slips or a sentence of their own, is often rarer
 what they share, and the rarest words would leave them without their group's leaders. Only the unsettled look through the lists, against
 all earlier classes, settled or not, which keeps the result exact.
 
-Joins ask for exchanges at every size, so that the plan for little data is the plan
-for much, and adaptive execution can split their hot keys. They are sorted but for the
-leaders, of which a key has few, so that a hash table holds them.
+Joins ask for sorted exchanges at every size, so that the plan for little data is the
+plan for much, and adaptive execution can split their hot keys.
 """
 
 from __future__ import annotations
@@ -141,7 +140,7 @@ def _close(t: Fraction) -> str:
 
 
 #: Hashes hardly repeat, so dictionaries of them are built in vain.
-_HASHES = {f"parquet.enable.dictionary#{c}": "false" for c in ("k1", "k2", *_BITS, "keys.list.element", "posted.list.element")}
+_HASHES = {f"parquet.enable.dictionary#{c}": "false" for c in ("k1", "k2", *_BITS, "keys.list.element", "posted.list.element", "h.list.element")}
 _EARLIER = "(b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.line_no < a.line_no))"
 #: Whether the pair is made here: not on a word behind one of the first two that both
 #: have, one in either half of ``w``.
@@ -154,19 +153,22 @@ def _packed(condition: str) -> str:
     return re.sub(r"\b([ab])\.(line_no|n|at|guest|done)\b", lambda m: places[m[2]].format(m[1]), condition)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, t: Fraction, id_col: str, text_col: str) -> DataFrame:
-    """Pairs (doc_id, line_no, to_doc, to_line) whose word sets are similar."""
+def _verified(docs: DataFrame, pairs: DataFrame, t: Fraction, id_col: str, text_col: str, label: str) -> DataFrame:
+    """The lines (doc_id, line_no), stored, whose word sets are similar to those of one of
+    their (to_doc, to_line)."""
     ends = pairs.select("doc_id", "line_no").unionByName(pairs.select(F.col("to_doc").alias("doc_id"), F.col("to_line").alias("line_no")))
     wanted = ends.groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted"))  # at most a text's lines
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(wanted.hint("merge"), "doc_id")
     # The lines are bound once, and the wanted ones taken by their numbers.
     cut = F.transform(F.array(F.split("text", "\n")), lambda ls: F.transform("wanted", lambda i: F.struct(i.alias("line_no"), _word_set(F.get(ls, i)).alias("h"))))
-    sets = texts.select("doc_id", F.inline(cut[0]))
+    sets = stored(texts.select("doc_id", F.inline(cut[0])), "sets", **_HASHES)  # for either side
     left = pairs.join(sets.hint("merge"), ["doc_id", "line_no"])
     right = sets.select(F.col("doc_id").alias("to_doc"), F.col("line_no").alias("to_line"), F.col("h").alias("g"))
     both = left.join(right.hint("merge"), ["to_doc", "to_line"]).withColumn("o", F.size(F.array_intersect("h", "g")))
     p, q = t.numerator, t.denominator
-    return both.where(f"o * {p + q} >= (size(h) + size(g)) * {p}").select("doc_id", "line_no", "to_doc", "to_line")
+    found = stored(both.where(f"o * {p + q} >= (size(h) + size(g)) * {p}").select("doc_id", "line_no").distinct(), label)
+    dropped(sets)
+    return found
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,11 +187,11 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     keys = classes.select("doc_id", "line_no", "n", *_BITS, F.explode("keys").alias("key"))
     first = F.row_number().over(Window.partitionBy("key").orderBy("doc_id", "line_no")) <= LEADERS
     leads = keys.withColumn("first", first).where("first").drop("first")
-    led = keys.alias("a").join(leads.alias("b").hint("shuffle_hash"), F.expr(f"a.key = b.key AND {_EARLIER} AND {_close(t)}"))
+    led = keys.alias("a").join(leads.alias("b").hint("merge"), F.expr(f"a.key = b.key AND {_EARLIER} AND {_close(t)}"))
     led = led.selectExpr("a.doc_id", "a.line_no", f"struct({_APART} AS apart, b.doc_id AS to_doc, b.line_no AS to_line) AS b")
     near = led.groupBy("doc_id", "line_no").agg(F.slice(F.array_sort(F.collect_set("b")), 1, CLOSEST).alias("b"))  # of the leaders of its keys
     led = stored(near.select("doc_id", "line_no", F.explode("b").alias("b")).select("doc_id", "line_no", "b.to_doc", "b.to_line"), "led")
-    settled = stored(_verified(docs, led, t, id_col, text_col).select("doc_id", "line_no").distinct(), "settled")
+    settled = _verified(docs, led, t, id_col, text_col, "settled")
     dropped(led)
 
     marked = classes.join(settled.withColumn("done", F.lit(1)).hint("merge"), ["doc_id", "line_no"], "left").withColumn("done", F.coalesce("done", F.lit(0)))
@@ -214,7 +216,7 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     met = met.selectExpr(f"greatest({', '.join(sides)}) AS late", f"least({', '.join(sides)}) AS early")
     met = met.selectExpr("late.doc_id", "late.line_no", "early.doc_id AS to_doc", "early.line_no AS to_line")
     met = stored(met.distinct(), "met")
-    found = stored(_verified(docs, met, t, id_col, text_col).select("doc_id", "line_no").distinct(), "found")
+    found = _verified(docs, met, t, id_col, text_col, "found")
     dropped(met)
 
     gone = classes.select("k1", "k2", "n", "doc_id", "line_no").join(settled.unionByName(found).withColumn("gone", F.lit(True)), ["doc_id", "line_no"], "left")
