@@ -170,7 +170,7 @@ def _long_list_edges(entries: DataFrame, distance: int) -> DataFrame:
     near = entries.join(flips, "s").select("s", "key", "fp", F.explode("flips").alias("flip"))
     near = near.select("s", "key", F.expr("fp ^ flip").alias("mid"), "fp")
     low = near.groupBy("s", "key", "mid").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
-    return near.join(low, ["s", "key", "mid"]).where("fp != a").select("a", F.col("fp").alias("b")).distinct()
+    return near.join(low.hint("merge"), ["s", "key", "mid"]).where("fp != a").select("a", F.col("fp").alias("b")).distinct()
 
 
 def links(codes: DataFrame, distance: int = DISTANCE, long_list: int = LONG_LIST) -> DataFrame:
@@ -182,7 +182,9 @@ def links(codes: DataFrame, distance: int = DISTANCE, long_list: int = LONG_LIST
     masks = _masks(distance)
     keyed = codes.select("fp", F.posexplode(F.array(*[F.expr(f"fp & {m}L") if m != -(1 << 63) else F.col("fp") for m in masks])).alias("s", "key"))
     sizes = keyed.groupBy("s", "key").agg(F.count("*").alias("size")).where("size > 1")
-    listed = stored(keyed.join(sizes, ["s", "key"]).select("s", "key", "fp", "size"), "lists")
+    # Spark takes an exploded table for hardly larger than what it is made of, and would
+    # gather its 70 rows a code on the driver.
+    listed = stored(keyed.join(sizes.hint("merge"), ["s", "key"]).select("s", "key", "fp", "size"), "lists")
     short = listed.where(F.col("size") <= long_list).select("s", "key", "fp")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     edges = short.repartition(n, "s", "key").sortWithinPartitions("s", "key", "fp").mapInArrow(_list_edges(distance), "a long, b long").distinct()
@@ -209,7 +211,8 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str = "do
     joined = codes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = joined.groupBy("root").agg(F.min("low").alias("component_id"))
     named = joined.select("fp", "root").join(lowest, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # Nor do rows of many copies go by the size of their packed file.
+    return rows.join(named.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 _LANES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9, 0xFF51AFD7ED558CCD], np.uint64)

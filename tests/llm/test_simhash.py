@@ -81,3 +81,24 @@ def test_links_join_what_all_pairs_join(spark, long_list):
     have = [tuple(r) for r in links(spark.createDataFrame([(c,) for c in codes], "fp long"), long_list=long_list).collect()]
     assert classes(have) == want
     assert simhash.LONG_LIST > 1000
+
+
+@pytest.mark.parametrize("long_list", [4096, 2])
+def test_exploded_tables_are_not_broadcast(spark, long_list, monkeypatch):
+    """However small Spark takes them for."""
+    plans = {}
+
+    def seen(df, label, **options):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return stored(df, label, **options)
+
+    stored = simhash.stored
+    monkeypatch.setattr(simhash, "stored", seen)
+    df = spark.createDataFrame([(i, f"a b c d {i // 9}") for i in range(40)], "doc_id long, text string")
+    last = near_duplicates(df, long_list=long_list)
+    assert "BroadcastHashJoin" not in plans["lists"] and "SortMergeJoin" in plans["lists"]
+    assert last._jdf.queryExecution().executedPlan().toString().split("BroadcastHashJoin")[0].count("SortMergeJoin") == 1
+    edges = simhash._long_list_edges(spark.createDataFrame([(0, 0, 1 << 40), (0, 0, 3 << 40)], "s int, key long, fp long"), 4)
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin") == 2  # the fixed table of flips, on either side
+    assert [tuple(r) for r in edges.collect()] == [(1 << 40, 3 << 40)]
