@@ -193,7 +193,8 @@ def stl(y: np.ndarray, period: int, robust: bool = True, seasonal_degree: int =
         if robust:
             rest = np.abs(y - trend - seasonal)
             scale = 6 * float(np.median(rest))
-            share = np.clip(rest / scale, 0, None) if scale > 0 else np.zeros(n)
+            # Remainders of rounding's size are none: weights by them would be noise.
+            share = np.clip(rest / scale, 0, None) if scale > 1e-12 * float(np.abs(y).max()) else np.zeros(n)
             weights = np.where(share <= 0.001, 1.0, np.where(share <= 0.999, (1 - share**2) ** 2, 0.0))
     return trend, seasonal, y - trend - seasonal
 
