@@ -17,8 +17,8 @@ first two posted words is made there and not again on later ones.
 
 Groups of near copies would meet in long lists and make pairs by the square. So
 first each class is compared with leaders, the ``CLOSEST`` of the first ``LEADERS``
-classes that have two of nine of its words next to each other; what a leader settles
-needs no other partner. The nine are those of least hash among its words of a middling
+classes that have two of five of its words next to each other; what a leader settles
+needs no other partner. The five are those of least hash among its words of a middling
 count: where copies differ, in slips or a sentence of their own, is often rarer than
 what they share, and the rarest words would leave them without their group's leaders. Only the unsettled look through the lists, against
 all earlier classes, settled or not, which keeps the result exact.
@@ -32,6 +32,7 @@ from __future__ import annotations
 import math
 import re
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -45,7 +46,7 @@ COUNTERS = 1 << 17
 #: First classes of each leader key: a fixed number of rows for every class.
 LEADERS = 16
 #: Words that make leader keys, two by two, and the closest leaders that are compared.
-KEY_WORDS = 9
+KEY_WORDS = 5
 CLOSEST = 8
 #: Words from which a class has 128 parity bits: 64 bits of two unrelated sets of 50
 #: differ by 32 at most times, which is too near to what similar sets may differ by.
@@ -54,66 +55,69 @@ WIDE = 40
 _GAPS = "\t\x0b\x0c\r"
 
 
-def _words(text: Column) -> Column:
-    """The words of a text, and an empty one for each gap too many; every gap is a
-    space first, so that the split is on a plain character. Most texts have no other
-    gap, which one look tells."""
+def _spaced(text: Column) -> Column:
+    """A text, null an empty one, with a space for every gap. Most have no other gap,
+    which is looked for as a plain character."""
+    text = F.coalesce(text, F.lit(""))
     spaced = text
     for gap in _GAPS:
         spaced = F.replace(spaced, F.lit(gap), F.lit(" "))
-    return F.split(F.when(F.rlike(text, F.lit(f"[{_GAPS}]")), spaced).otherwise(text), " ")
+    return F.when(reduce(Column.__or__, [F.contains(text, F.lit(gap)) for gap in _GAPS]), spaced).otherwise(text)
 
 
 def _word_set(line: Column) -> Column:
-    """Hashes of a line's words, each once."""
-    return F.array_distinct(F.array_remove(F.transform(_words(line), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
+    """Hashes of the words of a line whose gaps are spaces, each once."""
+    hashes = F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
+    gaps = F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" ")) | (line == "")
+    return F.array_distinct(F.when(gaps, F.array_remove(hashes, F.xxhash64(F.lit("")))).otherwise(hashes))
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, line_no, line)`` for every line of every text."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line_no", "line"))
+    """``(doc_id, line_no, line)`` for every line of every text, gaps as spaces."""
+    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(_spaced(F.col(text_col)), "\n")).alias("line_no", "line"))
 
 
-def rarity(docs: DataFrame, text_col: str = "text") -> list[int]:
+def rarity(docs: DataFrame, text_col: str = "text") -> tuple[list[int], int]:
     """A rank, from 0 for rare, for each hashed counter, from the counts of all words
-    of all documents. Two digits at most, as plans are printed with them."""
-    whole = F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("\n"), F.lit(" "))
-    words = docs.select(F.explode(_words(whole)).alias("w")).where("w != ''")
+    of all documents (two digits at most, as plans are printed with them); and the rank
+    with half of all words before it."""
+    words = docs.select(F.explode(F.split(F.replace(_spaced(F.col(text_col)), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w != ''")
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(COUNTERS - 1)).alias("c")).agg(F.count("*").alias("n")).toArrow()  # COUNTERS rows at most
-    ranks = np.zeros(COUNTERS, np.int64)
-    ranks[counts["c"].to_numpy()] = np.minimum(99, 2 * np.log2(counts["n"].to_numpy()))
-    return ranks.tolist()
-
-
-def _below(numbers: str, bound: int) -> Column:
-    """How many of an array of sorted numbers are less than ``bound``."""
-    return F.expr(f"int(array_position(sort_array(concat({numbers}, array({bound}L))), {bound}L)) - 1")
+    n = np.zeros(COUNTERS)
+    n[counts["c"].to_numpy()] = counts["n"].to_numpy()
+    ranks = np.minimum(99, 2 * np.log2(np.maximum(n, 1))).astype(np.int64)
+    before = np.cumsum(np.bincount(ranks, n))
+    return ranks.tolist(), int(np.searchsorted(before, before[-1] / 2))
 
 
 def classed(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every line that has words, with its class (k1, k2), the number n of its
     words, its parities, the keys of its leaders, and its posted words."""
-    ranked = rarity(docs, text_col)
+    ranked, half = rarity(docs, text_col)
     # From twice the middle counter's count to a sixteenth of the largest.
     low, high = int(np.median([r for r in ranked if r] or [0])) + 2, max(ranked) - 8
     ranks = F.split(F.lit(",".join(map(str, ranked))), ",").cast("array<bigint>")
     t = Fraction(str(threshold))
     # A cheap test, so that the word sets are made once and not again for a filter.
-    df = lines(docs, id_col, text_col).where(F.ltrim("line", F.lit(f" {_GAPS}")) != "")
+    df = lines(docs, id_col, text_col).where(F.ltrim("line") != "")
+    df = df.select("doc_id", "line_no", _word_set(F.col("line")).alias("h"), ranks.alias("ranks"))
     # Arrays that hold no null for certain are sorted as plain numbers.
-    df = df.select("doc_id", "line_no", F.sort_array(_word_set(F.col("line"))).alias("h"))
-    df = df.select("doc_id", "line_no", "h", F.size("h").alias("n"), ranks.alias("ranks"))
     ids = f"sort_array(transform(h, x -> shiftleft(coalesce(get(ranks, int(x & {COUNTERS - 1}L)), 0L), 56) | shiftrightunsigned(x, 8)))"
-    df = df.select("doc_id", "line_no", "h", "n", F.expr(ids).alias("ids"), _below("h", 0).alias("z"))
-    # The ids are in the order of ranks, so the middling ones are a stretch of them. All
+    df = df.select("doc_id", "line_no", F.size("h").alias("n"), F.expr(ids).alias("ids"))
+    # The ids are in the order of ranks, so those of some ranks are a stretch of them. All
     # slices are columns before a lambda sees them: within one they take boxed numbers.
-    df = df.withColumns({"start": _below("ids", low << 56), "end": _below("ids", (high + 1) << 56)})
+    bounds = {"start": low, "end": high + 1, "half": half}
+    df = df.withColumn("bounded", F.expr(f"sort_array(concat(ids, array({', '.join(f'{rank << 56}L' for rank in bounds.values())})))"))
+    for k, rank in bounds.items():
+        # The bounds of less rank come before; of two bounds that are alike the first is found.
+        before = sum(other < rank for other in bounds.values())
+        df = df.withColumn(k, F.expr(f"int(array_position(bounded, {rank << 56}L)) - {1 + before}"))
     cuts = {"middling": "start + 1, greatest(end - start, 0)", "rare": f"1, n - int(ceil(n * {t.numerator}L / {t.denominator}L)) + 1"}
-    # Words of negative hash flip bits of the one half, the others of the other.
-    halves = {"minus": "1, z", "plus": "z + 1, n"}
-    df = df.select("doc_id", "line_no", "n", "ids", *[F.expr(f"slice({a}, {cut})").alias(k) for a, by in (("ids", cuts), ("h", halves)) for k, cut in by.items()])
+    # Words of the ranks before the half flip bits of the one half, the others of the other.
+    cuts |= {"minus": "1, half", "plus": "half + 1, n"}
+    df = df.select("doc_id", "line_no", "n", "ids", *[F.expr(f"slice(ids, {cut})").alias(k) for k, cut in cuts.items()])
     some = f"slice(concat(slice(sort_array(transform(middling, x -> x & {(1 << 56) - 1}L)), 1, {KEY_WORDS}), ids), 1, {KEY_WORDS})"
-    flipped = [F.expr(f"aggregate({k}, 0L, (p, x) -> p ^ shiftleft(1L, int(x & 63)))").alias(f"p_{k}") for k in halves]
+    flipped = [F.expr(f"aggregate({k}, 0L, (p, x) -> p ^ shiftleft(1L, int(x & 63)))").alias(f"p_{k}") for k in ("minus", "plus")]
     df = df.select("doc_id", "line_no", "n", "ids", "rare", F.expr(some).alias("some"), *flipped)
     return df.select(
         "doc_id",
@@ -158,7 +162,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, t: Fraction, id_col: str, text_
     their (to_doc, to_line)."""
     ends = pairs.select("doc_id", "line_no").unionByName(pairs.select(F.col("to_doc").alias("doc_id"), F.col("to_line").alias("line_no")))
     wanted = ends.groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted"))  # at most a text's lines
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(wanted.hint("merge"), "doc_id")
+    texts = docs.select(F.col(id_col).alias("doc_id"), _spaced(F.col(text_col)).alias("text")).join(wanted.hint("merge"), "doc_id")
     # The lines are bound once, and the wanted ones taken by their numbers.
     cut = F.transform(F.array(F.split("text", "\n")), lambda ls: F.transform("wanted", lambda i: F.struct(i.alias("line_no"), _word_set(F.get(ls, i)).alias("h"))))
     sets = stored(texts.select("doc_id", F.inline(cut[0])), "sets", **_HASHES)  # for either side
@@ -185,12 +189,16 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     dropped(whole)
 
     keys = classes.select("doc_id", "line_no", "n", *_BITS, F.explode("keys").alias("key"))
+    # Most keys are of one class only, and are not sorted any further.
+    several = keys.groupBy("key").count().where("count > 1").select("key")
+    keys = stored(keys.join(several.hint("merge"), "key", "left_semi"), "keys")
     first = F.row_number().over(Window.partitionBy("key").orderBy("doc_id", "line_no")) <= LEADERS
     leads = keys.withColumn("first", first).where("first").drop("first")
     led = keys.alias("a").join(leads.alias("b").hint("merge"), F.expr(f"a.key = b.key AND {_EARLIER} AND {_close(t)}"))
     led = led.selectExpr("a.doc_id", "a.line_no", f"struct({_APART} AS apart, b.doc_id AS to_doc, b.line_no AS to_line) AS b")
     near = led.groupBy("doc_id", "line_no").agg(F.slice(F.array_sort(F.collect_set("b")), 1, CLOSEST).alias("b"))  # of the leaders of its keys
     led = stored(near.select("doc_id", "line_no", F.explode("b").alias("b")).select("doc_id", "line_no", "b.to_doc", "b.to_line"), "led")
+    dropped(keys)
     settled = _verified(docs, led, t, id_col, text_col, "settled")
     dropped(led)
 
@@ -243,7 +251,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
     docs = keyed(docs, id_col, text_col, key)
     own = docs.where(F.col(id_col).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text_col).alias("text"))
     gone = removed_lines(own, threshold).select(F.col("doc_id").alias(key), F.col("lines").alias(gone_col))
-    out = docs.join(gone, key, "left")
+    out = docs.join(gone.hint("merge"), key, "left")
     every = F.split(F.col(text_col), "\n")
     # The lines are bound once, and those that stay taken by their numbers.
     stay = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), gone_col)

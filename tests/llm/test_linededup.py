@@ -144,3 +144,38 @@ def test_the_line_of_fewer_words_is_found_by_fewer_posted_words(spark, monkeypat
     monkeypatch.setattr(linededup, "stored", counted)
     assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
     assert made["met rows"] < 30
+
+
+def test_leader_keys_that_one_line_alone_has_are_left_out(spark, monkeypatch):
+    """Of 300 lines without a common word only the last three have keys in common."""
+    from seriesloom.llm import linededup
+
+    rows = [(i, " ".join(f"w{i}_{k}" for k in range(12))) for i in range(300)]
+    rows += [(300, rows[0][1] + " more"), (301, rows[0][1] + " other"), (302, rows[0][1])]
+    made = {}
+
+    def counted(df, label, **options):
+        made[label] = kept(df, label, **options)
+        made[label + " rows"] = made[label].count()
+        return made[label]
+
+    kept = linededup.stored
+    monkeypatch.setattr(linededup, "stored", counted)
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    assert made["keys rows"] <= 4 * 3
+
+
+def test_subsets_of_lines_of_every_length(spark):
+    rng = random.Random(7)
+    rows = []
+    for n in range(2, 100):
+        base = [f"b{n}_{i}" for i in range(n)]
+        both = [base, rng.sample(base, -(-4 * n // 5) - (n % 3 == 2))]
+        rows += [(2 * n + k, " ".join(line)) for k, line in enumerate(both if n % 2 else reversed(both))]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_gaps_of_all_kinds(spark):
+    texts = ["a b c d e", " a b c d e", "a b c d e ", "a\tb\x0bc\x0cd\re", "\ta  b c\t\td e\r", " ", "\t", "\x0b\x0c\r", "\r\n\r\n", "e d c b a\r\nf", "f\r"]
+    rows = list(enumerate(texts))
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
